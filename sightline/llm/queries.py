@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, mixing, substring_dedup
+from . import fingerprints, jaccard_join, lexicon, mixing, substring_dedup, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix_to_weights(_documents(spark, sf_dir), weights=(3, 1, 2), share=1.5, max_passes=2)
     return mix.select("doc_id", "size", "source_size", "target", "taken")
@@ -23,16 +29,32 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("doc_id", "n_shingles", "component_id")
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_files.write_token_files(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), end_id=2)
+    return token_files.read_token_files(manifest)
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(_documents(spark, sf_dir)).drop("next_fingerprint")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring_dedup.remove_repeats(_documents(spark, sf_dir), width=35)
     return done.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op9_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.encode_decode(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mix": op1_source_mix,
         "op3_ngram_jaccard": op3_ngram_jaccard,
+        "op4_token_files": op4_token_files,
+        "op5_fingerprints": op5_fingerprints,
         "op7_substring_dedup": op7_substring_dedup,
+        "op9_bpe_lexicon": op9_bpe_lexicon,
     }
 
 
