@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, jaccard_join, lexicon, mixing, substring_dedup, token_files
+from . import fingerprints, jaccard_join, language_id, lexicon, mixing, substring_dedup, token_files, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,10 +43,19 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.score_toxicity(_documents(spark, sf_dir), labels, folds=5, held_out=0)
+
+
 def op9_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.encode_decode(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_documents(spark, sf_dir), folds=4, held_out=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mix": op1_source_mix,
@@ -54,7 +63,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_files": op4_token_files,
         "op5_fingerprints": op5_fingerprints,
         "op7_substring_dedup": op7_substring_dedup,
+        "op8_toxicity": op8_toxicity,
         "op9_bpe_lexicon": op9_bpe_lexicon,
+        "op10_language_id": op10_language_id,
     }
 
 
