@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, jaccard_join, language_id, lexicon, mixing, substring_dedup, token_files, toxicity
+from . import fingerprints, jaccard_join, language_id, lexicon, lm_scoring, mixing, substring_dedup, token_files, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1")
+    return lm_scoring.score(_documents(spark, sf_dir), good.select("doc_id"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = jaccard_join.link_documents(_documents(spark, sf_dir), width=5, percent=80)
     return linked.select("doc_id", "n_shingles", "component_id")
@@ -59,6 +64,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mix": op1_source_mix,
+        "op2_lm_scoring": op2_lm_scoring,
         "op3_ngram_jaccard": op3_ngram_jaccard,
         "op4_token_files": op4_token_files,
         "op5_fingerprints": op5_fingerprints,
