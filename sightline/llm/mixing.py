@@ -65,9 +65,37 @@ def mix_to_weights(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), shar
     rows share a hash and so are treated alike; other columns are ignored; no rows give no rows.
     ``share`` must not exceed ``max_passes``. Equal input gives equal output, in any partitioning.
     """
+    sized = materialize(_sized(docs))
+    return _taken(sized, _plan(sized, weights, share, max_passes, bits)).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_passes: int = 2, bits: int = 12) -> DataFrame:
+    """The mix itself: each row of (doc_id, text, source, n_chars, ...) once for each pass over it.
+
+    A pass that the budget ends within a document has that document's first words, joined by one
+    space, and their n_chars. Other rules as for ``mix_to_weights``.
+    """
+    state = _plan(materialize(_sized(docs)), weights, share, max_passes, bits)
+    row = F.struct(*(F.col(c) for c in docs.columns)).alias("_row")
+    taken = _taken(_sized(docs, row), state).filter("taken > 0")
+    passes = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("taken") / F.col("size")) - 1)
+    parts = taken.select("_row", "size", "taken", F.explode(passes).alias("_pass"))
+    words = F.least(F.col("size"), F.col("taken") - F.col("_pass") * F.col("size"))
+    whole = words == F.col("size")
+    cut = F.array_join(F.slice(F.regexp_extract_all(F.col("_row.text"), F.lit(WORD), F.lit(0)), F.lit(1), words.cast("int")), " ")
+    text = F.when(whole, F.col("_row.text")).otherwise(cut)
+    changed = {"text": text, "n_chars": F.when(whole, F.col("_row.n_chars")).otherwise(F.length(cut).cast("long"))}
+    return parts.select(*(changed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))
+
+
+def _sized(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), document_hash(F.col("doc_id")).alias("hash"), *more)
+
+
+def _plan(sized: DataFrame, weights: tuple[float, ...], share: float, max_passes: int, bits: int) -> DataFrame:
+    """One row a source: whole passes, and the hash at which the part pass ends."""
     if share > max_passes:
         raise ValueError("share exceeds max_passes: no mix of that size exists")
-    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), document_hash(F.col("doc_id")).alias("hash")))
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_passes)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     state = targets.withColumn("passes", passes)
@@ -77,7 +105,7 @@ def mix_to_weights(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), shar
         if state.filter((F.col("rest") > 0) & (F.col("least") < F.col("most"))).isEmpty():
             break
         state = materialize(_refine(sized, state, min(depth, HASH_BITS), depth - bits))
-    return _taken(sized, state)
+    return state
 
 
 def _refine(sized: DataFrame, state: DataFrame, depth: int, above: int) -> DataFrame:
@@ -107,4 +135,4 @@ def _taken(sized: DataFrame, state: DataFrame) -> DataFrame:
         .cast("long")
     )
     joined = sized.join(state, sized["source"].eqNullSafe(state["_source"]))
-    return joined.select("doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + once).alias("taken"))
+    return joined.withColumn("taken", F.col("passes") * F.col("size") + once)

@@ -34,8 +34,8 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, anchor: int = ANCHOR) -
     """doc_id, n_words, n_removed, kept_sha256, kept (text) of every document of (doc_id, text).
 
     A word goes if a window of ``width`` words that covers it also starts anywhere else, in the
-    same document or another; windows are those of the input. ``kept`` joins the other words
-    by one space. Words are runs of bytes other than space and U+0009 to U+000D.
+    same document or another; windows are those of the input. ``kept_sha256`` digests the other words
+    joined by one space, and ``kept`` is that, or the whole text if no word goes. Words are runs of bytes other than space and U+0009 to U+000D.
 
     Null and empty texts have no words and keep ''; texts of fewer than ``width`` words keep all;
     equal rows repeat each other and so lose every word that a window covers; a null doc_id is
@@ -140,7 +140,7 @@ def _digests(batches: Iterator[pa.RecordBatch], width: int, wanted=None) -> Iter
                 removed = int(gone.sum())
                 kept_words = [kept_words[k] for k in np.flatnonzero(~gone)]
             kept = b" ".join(kept_words)
-            for column, value in zip(out, (batch.column("doc_id")[part.first + i].as_py(), int(b - a), removed, hashlib.sha256(kept).hexdigest(), kept.decode()), strict=True):
+            for column, value in zip(out, (batch.column("doc_id")[part.first + i].as_py(), int(b - a), removed, hashlib.sha256(kept).hexdigest(), (kept if removed else part.text(i)).decode()), strict=True):
                 column.append(value)
         if out[0]:
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
