@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, jaccard_join, language_id, lexicon, lm_scoring, mixing, substring_dedup, token_files, toxicity
+from . import ann, fingerprints, jaccard_join, language_id, lexicon, lm_scoring, mixing, substring_dedup, token_files, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(_documents(spark, sf_dir)).drop("next_fingerprint")
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda vec_id: vec_id % 20 == 0, k=20)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring_dedup.remove_repeats(_documents(spark, sf_dir), width=35)
     return done.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -68,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_ngram_jaccard": op3_ngram_jaccard,
         "op4_token_files": op4_token_files,
         "op5_fingerprints": op5_fingerprints,
+        "op6_nearest_neighbours": op6_nearest_neighbours,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_toxicity": op8_toxicity,
         "op9_bpe_lexicon": op9_bpe_lexicon,
