@@ -96,8 +96,8 @@ levels as (
          (budget - coalesce(sum(cap) over (w rows between unbounded preceding and 1 preceding), 0))
            / sum(weight) over (w rows between current row and unbounded following) as level
   from weighed window w as (order by cap / weight, source is null, source)),
-chosen as (select *, (select min_by(level, fill) from levels where fill >= level) as at from levels),
-targets as (select source, source_size, round(least(at * weight, cap), 6) as target from chosen),
+chosen as (select *, (select min_by(level, fill) from levels where fill >= level) as common from levels),
+targets as (select source, source_size, round(least(common * weight, cap), 6) as target from chosen),
 planned as (
   select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as passes from targets),
 summed as (
