@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions import compat, text
-from ..operators import analytics, evaluation, matching, state
+from ..functions import bangla, compat, text
+from ..operators import analytics, evaluation, matching, quantities, state
 from ..sources import bridge
 
 COMPANY, START, END, AS_OF = "co1", "2024-01-05 00:00:00", "2024-01-25 23:59:59", "2024-01-28"
@@ -424,6 +425,36 @@ def _overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return some.select("g", F.round(matching.overlap_confidence(F.col("words"), F.lit(4), F.lit(12)), 9).alias("confidence"))
 
 
+# Phrases and the quantities in them, by place.
+PHRASES = [
+    ("১২", [(12, None)]), ("2.5", [(2.5, None)]), ("দেড়", [(1.5, None)]), ("আড়াই", [(2.5, None)]), ("আধা", [(0.5, None)]), ("সাড়ে তিন", [(3.5, None)]), ("সোয়া তিন", [(3.25, None)]),
+    ("পৌনে চার", [(3.75, None)]), ("সাড়ে", []), ("ডজন", []), ("দেড় ডজন", [(18, "piece")]), ("সাড়ে তিন ডজন", [(42, "piece")]), ("পৌনে দুই ডজন", [(21, "piece")]), ("তিন হালি", [(12, "piece")]),
+    ("দুই গণ্ডা", [(8, "piece")]), ("পাঁচ শ", [(500, None)]), ("তিন হাজার পাঁচ শ", [(3500, None)]), ("আড়াই লাখ", [(250000, None)]), ("দুই কোটি", [(20000000, None)]), ("দেড়শ", [(150, None)]),
+    ("আড়াইশ", [(250, None)]), ("পাঁচ টাকা", [(5, "BDT")]), ("দুই কার্টন", [(2, "carton")]), ("তিন কেজি", [(3, "kg")]), ("দেড় ডজন কার্টন", [(18, "carton")]), ("দের ডজন", [(18, "piece")]),
+    ("সারে তিন", [(3.5, None)]), ("পোনে চার", [(3.75, None)]), ("দের দর্জন", [(18, "piece")]), ("তীন", [(3, None)]), ("তিন কার্টন আর দুই ডজন আর পাঁচ কেজি", [(3, "carton"), (24, "piece"), (5, "kg")]),
+    ("দোকানে", []), ("ভালো", []), ("কিন্তু", []), ("ক", []),
+]
+SPOKEN = [("হুইল", "Wheel"), ("প্রাণ", "PRAN"), ("প্রান", "PRAN"), ("এক্সেল", "Excel"), ("হারপিক", "Harpic"), ("নিউ", "New"), ("ম্যাঙ্গো", "mango")]
+
+
+def _values(rows: list[tuple]) -> str:
+    shown = lambda v: "null" if v is None else f"'{v}'" if isinstance(v, str) else repr(v)
+    return ", ".join("(" + ", ".join(map(shown, r)) + ")" for r in rows)
+
+
+@_register("fixture_t2_quantities", "select i::bigint as doc_id, n::bigint as n, v::double as value, u::varchar as unit from (values " + _values([(i, k + 1, v, u) for i, (_, found) in enumerate(PHRASES) for k, (v, u) in enumerate(found)]) + ") t(i, n, v, u)")
+def _quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quantities.quantities(spark.createDataFrame([(i, p) for i, (p, _) in enumerate(PHRASES)], "doc_id long, text string"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("s"))
+    return found.select("doc_id", place.cast("long").alias("n"), "value", "unit")
+
+
+@_register("fixture_phonetic_bn", "select * from (values " + _values([(b, True) for b, _ in SPOKEN]) + ") t(spoken, same)")
+def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(SPOKEN, "spoken string, written string")
+    return rows.select("spoken", (bangla.phonetic_key("spoken") == bangla.phonetic_key("written")).alias("same"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["a2_share_of_voice"](spark, sf_dir)
 
