@@ -21,11 +21,11 @@ from pyspark.sql.window import Window
 from .store import materialize
 
 #: Neighbours of a node in the graph, and how many nodes that have it as a neighbour it meets.
-NEIGHBOURS, REVERSE = 40, 40
+NEIGHBOURS, REVERSE = 48, 48
 #: Trees for the first neighbours, nodes of a leaf, and vectors that the trees are fitted on.
-TREES, LEAF, TREE_SAMPLE = 12, 2048, 20_000
+TREES, LEAF, TREE_SAMPLE = 16, 2048, 20_000
 #: Of each leaf or meeting, the best partners that a node hears of.
-FROM_LEAF, FROM_MEETING = 24, 12
+FROM_LEAF, FROM_MEETING = 24, 16
 ROUNDS = 2
 #: Nodes that a query expands in a round, rounds, and nodes on its list.
 EXPAND, SEARCH_ROUNDS, LISTED = 16, 3, 64

@@ -29,16 +29,18 @@ SLOT_BITS = 20
 #: Shingles in slots with more than this above the mean are frequent, and very frequent.
 FREQUENT, VERY_FREQUENT = 32, 1024
 #: Members of a signature up to which all its pairs are verified at once.
-SMALL = 8
+SMALL = 4
+#: Rows of a crowded signature that one task compares; larger ones are dealt as pairs of blocks.
+BLOCK = 1024
 
 
-def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, class_hi, class_lo of every document of (doc_id, text).
 
     Documents with equal words form one class (class_hi, class_lo: a 128-bit digest). Classes
-    are linked at the threshold, exactly: a signature held by a few classes yields all their
-    pairs; one held by many yields a star first, and later only the pairs between classes
-    that the links so far leave in different components, which are all that can still matter.
+    are linked at the threshold, exactly: a signature held by few classes yields all their pairs;
+    one held by many first yields a star around its most central class, and later every
+    pair that the links so far leave in different components, which are all that can matter.
 
     Null, empty and all-space texts have no shingles, link with nothing and are their own
     component; a text of fewer than ``width`` words is one shingle; equal rows are one class;
@@ -46,43 +48,32 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     classes = materialize(docs.mapInArrow(lambda it: _classes(it, width), "doc_id long, hi long, lo long, n long"))
-    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     counts = sketch.dense(docs.select("text"), 1 << SLOT_BITS, np.int64, lambda batch, into: _count(batch, into, width))
-    frequency = docs.sparkSession.sparkContext.broadcast(_slot_classes(counts, total))
-
-    signatures = docs.select("text").mapInArrow(lambda it: _signatures(it, width, percent, frequency.value), f"sig long, {NODE}")
-    ordered = signatures.repartition("sig").sortWithinPartitions("sig", "n", "hi", "lo")
-    candidates = materialize(ordered.mapInArrow(lambda it: _star(it, percent), "sig long, a_hi long, a_lo long, hi long, lo long, n long"))
-    pairs = candidates.filter("a_hi is not null").select(_node("a_", "a"), _node("", "b")).distinct()
-    crowded = candidates.filter("a_hi is null").select("sig", "hi", "lo", "n")
-    pairs = materialize(pairs)
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowded.select(_node("", "node"))).distinct()
-    texts = _texts(docs, wanted)
+    slots = docs.sparkSession.sparkContext.broadcast((np.minimum(counts, 1 << 30).astype(np.int32), _slot_classes(counts)))
+
+    signatures = docs.select("text").mapInArrow(lambda it: _signatures(it, width, percent, *slots.value), "sig long, rank long, hi long, lo long")
+    ordered = signatures.repartition("sig").sortWithinPartitions("sig", "rank", "hi", "lo")
+    candidates = materialize(ordered.mapInArrow(lambda it: _star(it, percent, small), "sig long, a_hi long, a_lo long, hi long, lo long"))
+    pairs = materialize(candidates.filter("a_hi is not null").select(_node("a_", "a"), _node("", "b")).distinct())
+    crowded = candidates.filter("a_hi is null").select("sig", _node("", "node"))
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowded.select("node")).distinct()
+    texts = _texts(docs, wanted, width)
     links = materialize(_verified(texts, pairs, width, percent))
-    if links.isEmpty():
-        return _result(classes, None)
     labels = components(links)
-    more = _across(crowded, labels, percent).join(pairs, ["a", "b"], "left_anti")
-    more = materialize(_verified(texts, more, width, percent))
+    across = materialize(_across(crowded, labels, texts, percent, block).join(pairs, ["a", "b"], "left_anti"))
+    more = materialize(_verified(texts, across, width, percent, marked=True))
     return _result(classes, labels if more.isEmpty() else components(links.union(more)))
 
 
-NODE = "hi long, lo long, n long"
-
-
 def _node(prefix: str, name: str):
     return F.struct(F.col(prefix + "hi").alias("hi"), F.col(prefix + "lo").alias("lo")).alias(name)
 
 
-def _result(classes: DataFrame, labels: DataFrame | None) -> DataFrame:
-    least = classes.groupBy("hi", "lo").agg(F.min("doc_id").alias("least"), F.first("n").alias("size")).select(_node("", "node"), "least", "size")
-    if labels is not None:
-        least = least.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
-        root = F.coalesce("component", "node")
-        ids = least.filter("component is not null").groupBy(F.col("component").alias("_root")).agg(F.min("least").alias("lowest"))
-        least = least.join(ids, root == F.col("_root"), "left").select("node", F.coalesce("lowest", "least").alias("component_id"))
-    else:
-        least = least.select("node", F.col("least").alias("component_id"))
+def _result(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    least = classes.groupBy("hi", "lo").agg(F.min("doc_id").alias("least")).select(_node("", "node"), "least")
+    least = least.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+    ids = least.filter("component is not null").groupBy(F.col("component").alias("_root")).agg(F.min("least").alias("lowest"))
+    least = least.join(ids, F.col("component") == F.col("_root"), "left").select("node", F.coalesce("lowest", "least").alias("component_id"))
     keyed = classes.withColumn("_node", _node("", "x"))
     out = keyed.join(least, F.col("_node") == F.col("node"))
     alone = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
@@ -120,9 +111,9 @@ def _count(batch: pa.RecordBatch, into: np.ndarray, width: int) -> None:
         into += np.bincount(_slot(for_all), minlength=len(into))
 
 
-def _slot_classes(counts: np.ndarray, total: int) -> np.ndarray:
+def _slot_classes(counts: np.ndarray) -> np.ndarray:
     """1 (rare), 2 (frequent) or 3 (very frequent) for each slot."""
-    usual = total / len(counts) + 6 * (total / len(counts)) ** 0.5
+    usual = counts.mean() + 6 * counts.mean() ** 0.5
     return (1 + (counts > usual + FREQUENT) + (counts > usual + VERY_FREQUENT)).astype(np.uint8)
 
 
@@ -183,17 +174,23 @@ def _combinations(found: np.ndarray, group: np.ndarray, k: int, level: int) -> n
     return np.concatenate(out) if out else found[:0]
 
 
-def _signatures(batches: Iterator[pa.RecordBatch], width: int, percent: int, classes: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _signatures(batches: Iterator[pa.RecordBatch], width: int, percent: int, counts: np.ndarray, classes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Signatures of each class; ``rank`` holds the size in its low half, and sorts central classes first.
+
+    A class is central if its shingles are frequent on average: the text that many others vary.
+    """
     for _, _, rows in _documents(batches):
         seen, got = {}, []
         for row in rows:
             if len(row) and (key := _digest(row)) not in seen:
-                seen[key] = len(found := shingles(row, width))
+                found = shingles(row, width)
+                weight = min(int(16 * counts[_slot(found)].mean()), 0x7FFFFFFF)
+                seen[key] = (0x7FFFFFFF - weight) << 32 | len(found)
                 got.append(prefix_signatures(found, percent, classes))
         if got:
-            counts = [len(g) for g in got]
-            node = [np.repeat(np.array(x, np.int64), counts) for x in ([k[0] for k in seen], [k[1] for k in seen], list(seen.values()))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64)), *map(pa.array, node)], ["sig", "hi", "lo", "n"])
+            lengths = [len(g) for g in got]
+            node = [np.repeat(np.array(x, np.int64), lengths) for x in (list(seen.values()), [k[0] for k in seen], [k[1] for k in seen])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64)), *map(pa.array, node)], ["sig", "rank", "hi", "lo"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -213,78 +210,147 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         yield rest, np.zeros(1, np.int64)
 
 
-def _star(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _star(batches: Iterator[pa.RecordBatch], percent: int, small: int) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of each signature; the rows of crowded signatures again, without a partner."""
-    names = ["sig", "a_hi", "a_lo", "hi", "lo", "n"]
+    names = ["sig", "a_hi", "a_lo", "hi", "lo"]
     for table, begins in _groups(batches):
         fresh = np.ones(len(table), bool)
         fresh[1:] = (table[1:] != table[:-1]).any(1)
-        sizes = np.diff(np.append(begins, len(table)))
-        pairs, crowded = [], []
-        table, group = table[fresh], np.repeat(np.arange(len(begins)), sizes)[fresh]
+        group = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(table))))[fresh]
+        table = table[fresh]
         sizes = np.bincount(group, minlength=len(begins))
         starts = np.cumsum(sizes) - sizes
-        small = sizes[group] <= SMALL
-        for gap in range(1, SMALL):
-            near = (group[gap:] == group[:-gap]) & small[gap:]
-            pairs.append((table[:-gap][near], table[gap:][near]))
-        for at in np.flatnonzero(sizes > SMALL):
-            members = table[starts[at] : starts[at] + sizes[at]]
-            crowded.append(members)
-            lead = 0
-            while lead < len(members):
-                end = int(np.searchsorted(members[:, 3], members[lead, 3] * 100 // percent, "right"))
-                pairs.append((np.repeat(members[lead : lead + 1], end - lead - 1, 0), members[lead + 1 : end]))
-                lead = end
-        a, b = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
-        fits = 100 * a[:, 3] >= percent * b[:, 3]
-        both = np.unique(np.concatenate([a[fits, 1:3], b[fits, 1:4]], 1), axis=0)
+        n = table[:, 1] & 0xFFFFFFFF
+        few = sizes[group] <= small
+        places = []
+        for gap in range(1, small):
+            near = np.flatnonzero((group[gap:] == group[:-gap]) & few[gap:])
+            places.append((near, near + gap))
+        crowded = np.flatnonzero(~few)
+        for k in np.flatnonzero(sizes > small):
+            left = np.arange(starts[k], starts[k] + sizes[k])
+            while len(left) > 1:  # a star for those whose sizes fit the most central one, then for the rest
+                lead, left = left[0], left[1:]
+                fits = 100 * np.minimum(n[left], n[lead]) >= percent * np.maximum(n[left], n[lead])
+                places.append((np.full(int(fits.sum()), lead), left[fits]))
+                left = left[~fits]
+        a, b = (np.concatenate([p[k] for p in places]) if places else crowded[:0] for k in (0, 1))
+        fits = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+        both = np.concatenate([table[a[fits], 2:], table[b[fits], 2:]], 1)
+        swap = (both[:, 0] > both[:, 2]) | ((both[:, 0] == both[:, 2]) & (both[:, 1] > both[:, 3]))
+        both[swap] = both[swap][:, [2, 3, 0, 1]]
+        both = np.unique(both, axis=0)
         if len(both):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(both), pa.int64()), *(pa.array(both[:, k]) for k in range(5))], names)
-        if crowded:
-            rows = np.concatenate(crowded)
-            none = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), none, none, *(pa.array(rows[:, k]) for k in (1, 2, 3))], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(both), pa.int64()), *(pa.array(both[:, k]) for k in range(4))], names)
+        if len(crowded):
+            none = pa.nulls(len(crowded), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(table[crowded, 0]), none, none, pa.array(table[crowded, 2]), pa.array(table[crowded, 3])], names)
 
 
-def _across(crowded: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of crowded signatures whose classes are still in different components."""
-    rows = crowded.withColumn("_node", _node("", "x")).join(labels, F.col("_node") == F.col("node"), "left")
-    rows = rows.select("sig", "hi", "lo", "n", F.xxhash64(F.coalesce("component", "_node")).alias("label"))
-    rows = materialize(rows)
-    mixed = rows.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("sig")
-    left = rows.join(mixed, "sig", "left_semi").repartition("sig").sortWithinPartitions("sig", "n", "hi", "lo")
-    pairs = left.mapInArrow(lambda it: _cross_pairs(it, percent), "a_hi long, a_lo long, hi long, lo long")
-    return pairs.select(_node("a_", "a"), _node("", "b")).distinct()
+def _across(crowded: DataFrame, labels: DataFrame, texts: DataFrame, percent: int, block: int) -> DataFrame:
+    """Pairs within crowded signatures, between components, that their marks do not rule out.
 
+    Only signatures that still hold several components are read, and of those with equal members
+    only one. Large ones are dealt as pairs of blocks of about ``block`` rows, so that no task
+    holds a whole one.
+    """
+    labels = labels.withColumnRenamed("node", "_node")
+    rows = crowded.join(labels, crowded["node"] == labels["_node"], "left")
+    rows = materialize(rows.select("sig", "node", F.xxhash64(F.coalesce("component", "node")).alias("label")))
+    members = [F.sum(F.pmod(F.xxhash64("node", F.lit(k)), F.lit(1 << 40))).alias(f"members_{k}") for k in (0, 1)]
+    mixed = rows.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m"), *members).filter("x != y")
+    mixed = materialize(mixed.groupBy("m", "members_0", "members_1").agg(F.min("sig").alias("sig")).select("sig", "m"))
+    rows = rows.join(mixed, "sig").join(texts.select("node", "n", "marks"), "node")
+    blocks = F.ceil(F.col("m") / block).cast("long")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    rows = rows.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).select("sig", "x", "y", "own", "label", "node.hi", "node.lo", "n", "marks")
+    rows = rows.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y")
+    found = rows.mapInArrow(lambda it: _across_labels(it, percent), "a_hi long, a_lo long, b_hi long, b_lo long")
+    return found.select(_node("a_", "a"), _node("b_", "b")).distinct()
+
+
+def _across_labels(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    rest: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if rest is not None:
+            table = pa.concat_tables([rest, table]).combine_chunks()
+        keys = np.stack([table.column(c).to_numpy() for c in ("sig", "x", "y")], 1)
+        begins = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))
+        yield from _emit([table.slice(a, b - a) for a, b in zip(begins[:-1], begins[1:], strict=True)], percent)
+        rest = table.slice(begins[-1])
+    if rest is not None and len(rest):
+        yield from _emit([rest], percent)
+
+
+def _emit(groups: list[pa.Table], percent: int) -> Iterator[pa.RecordBatch]:
+    found = np.concatenate([np.zeros((0, 4), np.int64), *(_maybe_linked(g, percent) for g in groups)])
+    if len(found):
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.unique(found, axis=0).T.copy()], ENDS)
+
+
+def _maybe_linked(table: pa.Table, percent: int) -> np.ndarray:
+    """Pairs of different labels, within a block or between two, that the marks allow."""
+    labels, own, n, hi, lo = (table.column(c).to_numpy() for c in ("label", "own", "n", "hi", "lo"))
+    bitmaps = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("marks")]
+    width = np.array([len(x) for x in bitmaps])
+    levels = {w: (at := np.flatnonzero(width == w), np.stack([bitmaps[k] for k in at])) for w in np.unique(width).tolist()}
+    apart = own.min() != own.max()
+    values, counts = np.unique(labels, return_counts=True)
+    out = []
+    for i in np.flatnonzero(labels != values[np.argmax(counts)]):
+        fits = (labels != labels[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+        if apart:
+            fits &= own != own[i]
+        near = []
+        for w, (at, theirs) in levels.items():
+            mine, theirs, at = bitmaps[i], theirs[fits[at]], at[fits[at]]
+            if len(at):
+                common = min(w, len(mine))
+                mine, theirs = mine.reshape(-1, common), theirs.reshape(len(at), -1, common)
+                mine, theirs = np.bitwise_or.reduce(mine, 0), np.bitwise_or.reduce(theirs, 1)
+                most = np.minimum(n[i] - np.bitwise_count(mine & ~theirs).sum(1, dtype=np.int64), n[at] - np.bitwise_count(theirs & ~mine).sum(1, dtype=np.int64))
+                near.append(at[100 * most >= percent * (n[i] + n[at] - most)])
+        j = np.concatenate(near) if near else np.zeros(0, np.int64)
+        mine = np.broadcast_to([hi[i], lo[i]], (len(j), 2))
+        pair = np.concatenate([mine, np.stack([hi[j], lo[j]], 1)], 1)
+        swap = (pair[:, 0] > pair[:, 2]) | ((pair[:, 0] == pair[:, 2]) & (pair[:, 1] > pair[:, 3]))
+        pair[swap] = pair[swap][:, [2, 3, 0, 1]]
+        out.append(pair)
+    return np.concatenate(out) if out else np.zeros((0, 4), np.int64)
+
+
+def mark_bits(n: int) -> int:
+    """Bits of the marks of a set of n: two to four for each member, a power of two."""
+    return max(64, 1 << (2 * n - 1).bit_length())
+
+
+def marks(found: np.ndarray, bits: int) -> np.ndarray:
+    """A bitmap of a set: member h sets bit h mod ``bits``. Folding its halves together halves ``bits``.
+
+    Each bit that one set has and another lacks proves a member that the other lacks, so bitmaps
+    bound the intersection from above.
+    """
+    flags = np.zeros(bits, np.uint8)
+    flags[(found & U(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(flags, bitorder="little")
 
-def _cross_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for table, begins in _groups(batches):
-        for members in np.split(table, begins[1:]):
-            labels, which = np.unique(members[:, 4], return_inverse=True)
-            main = np.argmax(np.bincount(which))
-            for i in np.flatnonzero(which != main):
-                size = members[i, 3]
-                fits = (which != which[i]) & (100 * np.minimum(members[:, 3], size) >= percent * np.maximum(members[:, 3], size))
-                fits &= (which == main) | (np.arange(len(members)) > i)
-                for j in (np.flatnonzero(fits),):
-                    one, other = np.minimum(i, j), np.maximum(i, j)
-                    yield pa.RecordBatch.from_arrays([pa.array(members[one, 1]), pa.array(members[one, 2]), pa.array(members[other, 1]), pa.array(members[other, 2])], ["a_hi", "a_lo", "hi", "lo"])
-
-
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """One text for each wanted class; a task sends each class once, however many copies it reads."""
-    keyed = docs.mapInArrow(_keyed, "hi long, lo long, text string").select(_node("", "node"), "text")
-    return materialize(keyed.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
 
+def _may_link(n_a: int, marks_a: np.ndarray, n_b: int, marks_b: np.ndarray, percent: int) -> bool:
+    while len(marks_a) > len(marks_b):
+        marks_a = np.bitwise_or(*np.split(marks_a, 2))
+    while len(marks_b) > len(marks_a):
+        marks_b = np.bitwise_or(*np.split(marks_b, 2))
+    most = min(n_a - int(np.bitwise_count(marks_a & ~marks_b).sum()), n_b - int(np.bitwise_count(marks_b & ~marks_a).sum()))
+    return 100 * most >= percent * (n_a + n_b - most)
 
-def _verified(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that reach the threshold, judged on the texts of a member of each."""
-    joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
-    joined = joined.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
-    flat = joined.select("a_text", "b_text", *(F.col(f"{x}.{y}").alias(f"{x}_{y}") for x in "ab" for y in ("hi", "lo")))
-    kept = flat.mapInArrow(lambda it: _check(it, width, percent), "a_hi long, a_lo long, b_hi long, b_lo long")
-    return kept.select(_node("a_", "a"), _node("b_", "b"))
+
+def _texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """node, n, marks, text of each wanted class; a task sends a class once, however many copies it reads."""
+    keyed = docs.mapInArrow(_keyed, "hi long, lo long, text string").select(_node("", "node"), "text")
+    texts = keyed.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    marked = texts.select("node.*", "text").mapInArrow(lambda it: _marked(it, width), "hi long, lo long, n long, marks binary, text string")
+    return materialize(marked.select(_node("", "node"), "n", "marks", "text"))
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,16 +362,54 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(pa.array([k[x] for k in keys.values()], pa.int64()) for x in (0, 1)), text], ["hi", "lo", "text"])
 
 
+def _marked(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = list(_sets(batch.column("text"), width))
+        bitmaps = [marks(x, mark_bits(len(x))).tobytes() for x in sets]
+        n = pa.array([len(x) for x in sets], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("hi"), batch.column("lo"), n, pa.array(bitmaps, pa.binary()), batch.column("text")], ["hi", "lo", "n", "marks", "text"])
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, width: int, percent: int, marked: bool = False) -> DataFrame:
+    """The pairs (a, b) of classes that reach the threshold: by marks first, unless ``marked``, then by texts."""
+    ends = [F.col(f"{x}.{y}").alias(f"{x}_{y}") for x in "ab" for y in ("hi", "lo")]
+    names = "a_hi long, a_lo long, b_hi long, b_lo long"
+
+    def beside(pairs: DataFrame, *columns: str) -> DataFrame:
+        for x in "ab":
+            pairs = pairs.join(texts.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in columns)), x)
+        return pairs.select(*ends, *(f"{x}_{c}" for x in "ab" for c in columns))
+
+    if not marked:
+        maybe = beside(pairs, "n", "marks").mapInArrow(lambda it: _check_marks(it, percent), names)
+        pairs = materialize(maybe.select(_node("a_", "a"), _node("b_", "b")))
+    kept = beside(pairs, "text").mapInArrow(lambda it: _check_sets(it, width, percent), names)
+    return kept.select(_node("a_", "a"), _node("b_", "b"))
+
+
+ENDS = ["a_hi", "a_lo", "b_hi", "b_lo"]
+
+
+def _check_marks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n_a, n_b = (batch.column(c).to_pylist() for c in ("a_n", "b_n"))
+        of_a, of_b = ([np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(c)] for c in ("a_marks", "b_marks"))
+        keep = [_may_link(*row, percent) for row in zip(n_a, of_a, n_b, of_b, strict=True)]
+        yield batch.select(ENDS).filter(pa.array(keep, pa.bool_()))
+
+
 def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
     for part in slices(column):
         w = words(part, lower=True)
         yield from (shingles(w.hash[a:b], width) for a, b in zip(w.of_row[:-1], w.of_row[1:], strict=True))
 
 
-def _check(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _check_sets(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
-        for x, y in zip(_sets(batch.column("a_text"), width), _sets(batch.column("b_text"), width), strict=True):
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * common >= percent * (len(x) + len(y) - common))
-        yield batch.select(["a_hi", "a_lo", "b_hi", "b_lo"]).filter(pa.array(keep, pa.bool_()))
+        keep = [_alike(x, y, percent) for x, y in zip(_sets(batch.column("a_text"), width), _sets(batch.column("b_text"), width), strict=True)]
+        yield batch.select(ENDS).filter(pa.array(keep, pa.bool_()))

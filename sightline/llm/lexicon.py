@@ -21,11 +21,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .pretokens import byte_letters, split
+from .store import materialize
 from .textkit import slices
 
-LEXICON_WORDS = 1 << 16
+LEXICON_WORDS = 1 << 15
 MEMO_WORDS = 200_000
 SLICE_BYTES = 1 << 21
 NO_RANK = np.int64(1) << 40
@@ -160,15 +162,15 @@ def compile_lexicon(entries: list[tuple[bytes, list[int]]]) -> bytes:
             before += count[t]
     finals = [int(states[s][0]) for s in reversed(order)]
     firsts = np.concatenate([[0], np.cumsum([len(ids) for _, ids in entries])])
-    arrays = [np.array(x, np.int64) for x in (keys, targets, skips, finals, firsts, [i for _, ids in entries for i in ids])]
-    return np.array([len(a) for a in arrays], np.int64).tobytes() + b"".join(a.tobytes() for a in arrays)
+    arrays = [np.array(x, np.int32) for x in (keys, targets, skips, finals, firsts, [i for _, ids in entries for i in ids])]
+    return np.array([len(a) for a in arrays], np.int32).tobytes() + b"".join(a.tobytes() for a in arrays)
 
 
 class Lexicon:
     """A memory-mapped automaton; ``find`` looks up many words at once."""
 
     def __init__(self, path: str):
-        block = np.memmap(path, np.int64, "r")
+        block = np.memmap(path, np.int32, "r")
         ends = 6 + np.concatenate([[0], np.cumsum(block[:6])])
         self.keys, self.targets, self.skips, self.finals, self.firsts, self.ids = (block[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
 
@@ -250,9 +252,16 @@ def word_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, tokenizer_path: str, size: int = LEXICON_WORDS, longest: int = 64) -> bytes:
-    """The ``size`` most frequent words of at most ``longest`` bytes, compiled; a few MB at any scale."""
-    top = word_counts(docs, tokenizer_path).filter(F.octet_length("word") <= longest).orderBy(F.desc("n"), "word").limit(size).collect()
-    found = [bytes(r.word) for r in top]
+    """The most frequent words of at most ``longest`` bytes, ``size`` at most, compiled; some MB at any scale.
+
+    The least count that leaves no more than ``size`` words comes from the number of words with each
+    count, so that only the words of the lexicon reach the driver.
+    """
+    counts = materialize(word_counts(docs, tokenizer_path).filter(F.octet_length("word") <= longest))
+    by_count = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    levels = counts.groupBy("n").agg(F.count("*").alias("words")).withColumn("upto", F.sum("words").over(by_count))  # one row a count
+    least = levels.filter(F.col("upto") <= size).agg(F.min("n")).first()[0]
+    found = [bytes(r.word) for r in counts.filter(F.col("n") >= least).select("word").collect()] if least else []
     return compile_lexicon(list(zip(found, merges(tokenizer_path).ids(found), strict=True)) if found else [])
 
 

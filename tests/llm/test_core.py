@@ -69,7 +69,6 @@ def test_jaccard_join(spark, rows):
 
 def test_jaccard_join_frequent_classes(spark, monkeypatch):
     """Crowded signatures, pairs and triples: many variants of few texts, with low class limits."""
-    monkeypatch.setattr(jaccard_join, "SMALL", 2)
     rng = np.random.default_rng(5)
     rows = []
     for base in range(3):
@@ -82,10 +81,19 @@ def test_jaccard_join_frequent_classes(spark, monkeypatch):
     for limits in ((32, 1024), (3, 20), (-1, 10), (-99, -99)):
         monkeypatch.setattr(jaccard_join, "FREQUENT", limits[0])
         monkeypatch.setattr(jaccard_join, "VERY_FREQUENT", limits[1])
-        got = jaccard_join.link_documents(frame(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()
+        got = jaccard_join.link_documents(frame(spark, rows), small=2, block=16).select("doc_id", "n_shingles", "component_id").collect()
         assert Counter(map(tuple, got)) == brute_components(rows)
 
 
+def test_marks_never_rule_out_a_link():
+    rng = np.random.default_rng(2)
+    for _ in range(500):
+        x = np.unique(rng.integers(0, 2**64, int(rng.integers(1, 400)), dtype=np.uint64))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < rng.uniform(0.7, 1)], rng.integers(0, 2**64, int(rng.integers(1, 30)), dtype=np.uint64)]))
+        a, b = (jaccard_join.marks(s, jaccard_join.mark_bits(len(s))) for s in (x, y))
+        assert jaccard_join._may_link(len(x), a, len(y), b, 80) or not jaccard_join._alike(x, y, 80)
+
+
 def test_prefixes_share_a_signature():
     """Any two sets at the threshold share one, whatever the classes are."""
     rng = np.random.default_rng(1)
