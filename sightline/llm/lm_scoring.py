@@ -1,107 +1,91 @@
 """Cross-entropy difference of documents under a target and a background n-gram model.
 
-Both models are interpolated bigram models of the same form over one vocabulary, the most
-frequent words of all documents, so that a per-token loss difference compares like with like.
+Both models are interpolated bigram models of the same form over one vocabulary, all words of
+all documents, so that a per-token loss difference compares like with like. Counts are
+Spark tables: no pair or word is dropped, and nothing that grows with the input is collected or broadcast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import sketch
 from .store import materialize
-from .textkit import Slice, U, mix, slices, words
+from .textkit import Slice, U, slices, words
 
-#: Words of the shared vocabulary; all others are one unknown word.
-VOCABULARY = 1 << 15
-#: Bigrams are counted by hash slot: the size of both tables is fixed at any scale.
-SLOT_BITS = 20
 #: Share of the bigram estimate, and the pseudo-count of each word in the unigram estimate.
 BIGRAM_SHARE, SMOOTHING = 0.6, 0.5
-#: Distinct words that a task gathers before it passes their counts on.
-FLUSH_WORDS = 1 << 20
+#: What stands before the first word of a text.
+START = U(0x5354415254)
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> np.ndarray:
-    """Sorted hashes of the ``size`` most frequent words (ties by hash) of all whole texts."""
-
-    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending, held = [], 0
-        for batch in batches:
-            for part in slices(batch.column("text")):
-                pending.append(np.unique(words(part, lower=True).hash, return_counts=True))
-                held += len(pending[-1][0])
-                if held > FLUSH_WORDS:
-                    yield _summed(pending)
-                    pending, held = [], 0
-        if pending:
-            yield _summed(pending)
-
-    counts = docs.select("text").mapInArrow(task, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(size).select("word").collect()
-    return np.sort(np.array([r.word for r in top], np.int64).view(U))
+def _tokens(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of the word before, hash of the word, first word of each row) of the words of a slice."""
+    w = words(part, lower=True)
+    before = np.concatenate([[START], w.hash[:-1]])[: len(w.hash)].astype(U)
+    first = w.of_row[:-1]
+    before[first[first < w.of_row[1:]]] = START
+    return before, w.hash, w.of_row
 
 
-def _summed(pending: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    found, where = np.unique(np.concatenate([w for w, _ in pending]), return_inverse=True)
-    n = np.bincount(where, np.concatenate([c for _, c in pending])).astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["word", "n"])
+def _distinct(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where one of each distinct combination is, and how often it occurs."""
+    order = np.lexsort(keys)
+    fresh = np.zeros(len(order), bool)
+    fresh[:1] = True
+    for k in keys:
+        fresh[1:] |= k[order][1:] != k[order][:-1]
+    begins = np.flatnonzero(fresh)
+    return order[begins], np.diff(np.append(begins, len(order)))
 
 
-def _tokens(part: Slice, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token, token before, first token of each row); 0 is unknown, len(known) + 1 the start of a text."""
-    w = words(part, lower=True)
-    at = np.searchsorted(known, w.hash)
-    at[at == len(known)] = 0
-    token = np.where(known[at] == w.hash, at + 1, 0) if len(known) else np.zeros(len(w.hash), np.int64)
-    before = np.concatenate([[0], token[:-1]])[: len(token)]
-    first = w.of_row[:-1]
-    before[first[first < w.of_row[1:]]] = len(known) + 1
-    return token, before, w.of_row
+def _pair_rows(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """(``column``, before, word, n): the pairs of each value of ``column`` in a slice."""
+    for batch in batches:
+        for part in slices(batch.column("text")):
+            before, word, of_row = _tokens(part)
+            own = batch.column(column).to_numpy(zero_copy_only=False)[part.first : part.last]
+            own = np.repeat(own, np.diff(of_row))
+            at, n = _distinct(own, word, before)
+            columns = [pa.array(own[at]), pa.array(before[at].view(np.int64)), pa.array(word[at].view(np.int64)), pa.array(n.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, [column, "before", "word", "n"])
 
 
-def _slot(before: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return (mix(before.astype(U) << U(32) | token.astype(U)) >> U(64 - SLOT_BITS)).astype(np.int64)
+def _rows(column: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    return lambda batches: _pair_rows(batches, column)
 
 
-class Model:
-    """Interpolated bigram model: counts of pairs by slot, of words as contexts, and of words."""
+def _lengths(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = [np.diff(words(part).of_row) for part in slices(batch.column("text"))]
+        n = pa.array(np.concatenate(n) if n else np.zeros(0, np.int64), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), n], ["doc_id", "key", "n_tokens"])
 
-    def __init__(self, pairs: np.ndarray, contexts: np.ndarray, singles: np.ndarray):
-        self.pairs = pairs.astype(np.float32)
-        self.contexts = np.maximum(contexts, 1).astype(np.float32)
-        self.unigram = ((singles + SMOOTHING) / (singles.sum() + SMOOTHING * len(singles))).astype(np.float64)
 
-    def losses(self, token: np.ndarray, before: np.ndarray) -> np.ndarray:
-        bigram = np.minimum(1, self.pairs[_slot(before, token)] / self.contexts[before])
-        return -np.log(BIGRAM_SHARE * bigram + (1 - BIGRAM_SHARE) * self.unigram[token])
+def fit(marked: DataFrame) -> DataFrame:
+    """(before, word, target_loss, background_loss) of every pair of words in rows of (text, target)."""
 
+    def both(n: str) -> list[Column]:
+        return [F.sum(f"{side}_pair").alias(f"{side}_{n}") for side in ("target", "background")]
 
-def fit(marked: DataFrame, known: np.ndarray) -> tuple[Model, Model]:
-    """Target and background models from all rows of (text, target)."""
-    width = len(known) + 2
-    slots = 1 << SLOT_BITS
-    each = slots + 2 * width
+    rows = marked.select("text", "target").mapInArrow(_rows("target"), "target boolean, before long, word long, n long")
+    sides = [F.sum(F.when(F.col("target") == which, F.col("n")).otherwise(0)).alias(name) for which, name in ((True, "target_pair"), (False, "background_pair"))]
+    pairs = materialize(rows.groupBy("before", "word").agg(*sides))
+    contexts = pairs.groupBy("before").agg(*both("context"))
+    singles = materialize(pairs.groupBy("word").agg(*both("single")))
+    size = singles.agg(F.count("*").alias("words"), *(F.coalesce(F.sum(f"{s}_single"), F.lit(0)).alias(s) for s in ("target", "background"))).first()
 
-    def fill(batch: pa.RecordBatch, total: np.ndarray) -> None:
-        target = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
-        for part in slices(batch.column("text")):
-            token, before, of_row = _tokens(part, known)
-            mine = np.repeat(target[part.first : part.last], np.diff(of_row))
-            for which in (True, False):
-                t, b = token[mine == which], before[mine == which]
-                into = total[:each] if which else total[each:]
-                into[:slots] += np.bincount(_slot(b, t), minlength=slots)
-                into[slots : slots + width] += np.bincount(b, minlength=width)
-                into[slots + width :] += np.bincount(t, minlength=width)
+    def loss(side: str) -> Column:
+        bigram = F.col(f"{side}_pair") / F.greatest(F.col(f"{side}_context"), F.lit(1))
+        unigram = (F.col(f"{side}_single") + SMOOTHING) / F.lit(size[side] + SMOOTHING * (size.words + 2))
+        return -F.log(BIGRAM_SHARE * bigram + (1 - BIGRAM_SHARE) * unigram)
 
-    counts = sketch.dense(marked.select("text", "target"), 2 * each, np.int64, fill)
-    return tuple(Model(*np.split(c, [slots, slots + width])) for c in (counts[:each], counts[each:]))
+    joined = pairs.join(contexts, "before").join(singles, "word")
+    return joined.select("before", "word", loss("target").alias("target_loss"), loss("background").alias("background_loss"))
 
 
 def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
@@ -110,27 +94,17 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     ``target_ids`` (doc_id) names the documents of the target model; all others are the background.
     Losses are mean nats per word; ``score`` is target minus background, lower for texts that are
     more like the target. Null, empty and all-space texts have no tokens, and null losses and score.
-    Without target documents the target model is uniform. Equal texts get equal scores; a null
-    doc_id is never a target; other columns are ignored; no rows give no rows.
+    Without target documents the target model is uniform. Equal texts get equal scores, but for
+    rounding; a null doc_id is never a target; other columns are ignored; no rows give no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = vocabulary(docs)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("key"))
     targets = materialize(target_ids.select(F.col("doc_id").cast("long").alias("_target")).distinct())
     marked = docs.join(targets, docs["doc_id"] == targets["_target"], "left").select("text", F.col("_target").isNotNull().alias("target"))
-    shared = docs.sparkSession.sparkContext.broadcast((known, *fit(marked, known)))
-
-    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, target, background = shared.value
-        for batch in batches:
-            for part in slices(batch.column("text")):
-                token, before, of_row = _tokens(part, known)
-                n = np.diff(of_row)
-                means = []
-                for model in (target, background):
-                    total = np.concatenate([[0.0], np.cumsum(model.losses(token, before))])[of_row]
-                    means.append(np.diff(total) / np.maximum(n, 1))
-                ids = batch.column("doc_id").slice(part.first, part.last - part.first)
-                columns = [pa.array(x, mask=n == 0) for x in (*means, means[0] - means[1])]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n), *columns], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return docs.mapInArrow(task, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    losses = fit(marked)
+    rows = docs.select("text", "key").mapInArrow(_rows("key"), "key long, before long, word long, n long")
+    # rows of one key have equal texts, so that their common mean is that of each
+    means = [(F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(c) for c in ("target_loss", "background_loss")]
+    means = rows.join(losses, ["before", "word"]).groupBy("key").agg(*means)
+    lengths = docs.mapInArrow(_lengths, "doc_id long, key long, n_tokens long")
+    scored = lengths.join(means, "key", "left")
+    return scored.select("doc_id", "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))

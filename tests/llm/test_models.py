@@ -108,6 +108,18 @@ def test_lm_scores_equal_plain_models(spark):
     assert lm_scoring.score(spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "doc_id long")).count() == 0
 
 
+def test_lm_keeps_every_word_and_pair(spark):
+    """More words than the 32,768 that were told apart once, and pairs that no other may add to."""
+    rng = np.random.default_rng(3)
+    rows = [(k, " ".join(f"w{x}" for x in (rng.zipf(1.2, 3000) + rng.integers(0, 60_000, 3000) * (rng.random(3000) < 0.5)).clip(0, 10**9)), "s") for k in range(40)]
+    targets = {0, 1, 2, 3}
+    assert len({w for _, t, _ in rows for w in t.split()}) > 1 << 15
+    got = lm_scoring.score(frame(spark, rows), spark.createDataFrame([(x,) for x in targets], "doc_id long")).collect()
+    got = sorted(((r.doc_id, r.n_tokens, r.score) for r in got), key=str)
+    for a, b in zip(got, brute_scores(rows, targets), strict=True):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-9
+
+
 def test_lm_prefers_target(spark, docs):
     targets = docs.filter("lang = 'de' and doc_id % 2 = 0").select("doc_id")
     got = lm_scoring.score(docs, targets).join(docs.select("doc_id", "lang"), "doc_id").filter("doc_id % 2 = 1 and n_tokens > 20").collect()
