@@ -186,8 +186,11 @@ def _word_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return np.concatenate(rows), np.concatenate(hashes)
 
 
-def train(labelled: DataFrame, costs: np.ndarray) -> dict:
-    """A model (sorted feature hashes, weights, bias) from a bounded sample of (text, toxic)."""
+def train(labelled: DataFrame, costs: np.ndarray, rates: tuple[float, float] = (1.0, 1.0)) -> dict:
+    """A model (sorted feature hashes, weights, bias) from a bounded sample of (text, toxic).
+
+    ``rates``: the shares of the clean and of the toxic rows that the sample has; the bias is that for all rows.
+    """
 
     def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(costs)
@@ -204,15 +207,15 @@ def train(labelled: DataFrame, costs: np.ndarray) -> dict:
             labels += batch.column("toxic").to_pylist()
             keys += batch.column("at").to_pylist()
             found += [np.frombuffer(x.as_buffer(), U) for x in batch.column("x")]
-        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(_fit(np.array(labels), np.array(keys), found))], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(_fit(np.array(labels), np.array(keys), found, rates))], pa.binary())})
 
     fitted = labelled.mapInArrow(extract, "toxic int, at long, x binary").repartition(1).mapInArrow(fit, "model binary").collect()
     return pickle.loads(fitted[0].model)
 
 
-def _fit(labels: np.ndarray, keys: np.ndarray, found: list[np.ndarray]) -> dict:
+def _fit(labels: np.ndarray, keys: np.ndarray, found: list[np.ndarray], rates: tuple[float, float] = (1.0, 1.0)) -> dict:
     if len(np.unique(labels)) < 2:  # nothing to tell apart: the smoothed share of label 1
-        return {"hashes": np.zeros(0, U), "weights": np.zeros(0), "bias": float(np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5)))}
+        return {"hashes": np.zeros(0, U), "weights": np.zeros(0), "bias": float(np.log((labels.sum() / rates[1] + 0.5) / ((1 - labels).sum() / rates[0] + 0.5)))}
     every, where = np.unique(np.concatenate(found), return_inverse=True)
     of_row = np.repeat(np.arange(len(found)), [len(x) for x in found])
     toxic = np.bincount(where, labels[of_row], len(every))
@@ -232,7 +235,7 @@ def _fit(labels: np.ndarray, keys: np.ndarray, found: list[np.ndarray]) -> dict:
     w = model.weights()
     w = w[:, 1] - w[:, 0]
     used = np.flatnonzero(w[:-1])
-    return {"hashes": every[kept[used]], "weights": w[used], "bias": float(w[-1])}
+    return {"hashes": every[kept[used]], "weights": w[used], "bias": float(w[-1] - np.log(rates[1] / rates[0]))}
 
 
 class Scorer:
@@ -261,7 +264,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out:
 
     ``labels`` has (doc_id, toxic); a document with several labels counts as toxic if any is, and
     null labels count as none. Rows outside fold ``held_out`` teach the classifier, up to ``sample``
-    of each label, chosen by a hash of doc_id. The character model counts all texts. Null and
+    of each label, chosen by a hash of doc_id; the bias is corrected for the shares chosen. The character model counts all texts. Null and
     empty texts get the score of a text without features; without labels of both kinds every
     score is the smoothed share of toxic ones; equal texts get equal scores; a null doc_id has the fold of '';
     other columns are ignored; no rows give no rows.
@@ -280,9 +283,10 @@ def learned_score(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out:
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(fold(F.col("doc_id"), folds) != held_out).withColumn("at", F.xxhash64("doc_id"))
     known = materialize(known)
     sizes = dict(known.groupBy("toxic").count().collect())
-    share = F.when(F.col("toxic") == 1, sample[1] / max(1, sizes.get(1, 0))).otherwise(sample[0] / max(1, sizes.get(0, 0)))
+    rates = tuple(min(1.0, sample[label] / max(1, sizes.get(label, 0))) for label in (0, 1))
+    share = F.when(F.col("toxic") == 1, rates[1]).otherwise(rates[0])
     chosen = materialize(known.filter(F.pmod("at", F.lit(1 << 30)) / (1 << 30) < share))  # about sum(sample) rows of 20 bytes
-    model = train(docs.join(F.broadcast(chosen), "doc_id"), costs)
+    model = train(docs.join(F.broadcast(chosen), "doc_id"), costs, rates)
     shared = docs.sparkSession.sparkContext.broadcast((model, costs))
     scorers: list[Scorer] = []  # of the worker
 

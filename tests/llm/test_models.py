@@ -46,6 +46,18 @@ def test_toxicity_accuracy(spark, docs, labels):
     assert truth[order][-truth.sum() :].mean() > 0.6
 
 
+def test_toxicity_does_not_depend_on_the_sample(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    every = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs, labels).collect()}
+    tenth = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs, labels, sample={1: 3000, 0: 353}).collect()}
+    # 353 clean rows make another model, but its errors lean to neither side
+    assert abs(sum(tenth.values()) - sum(every.values())) < 0.05 * sum(every.values())
+    assert sum(every[k] != tenth[k] for k in every) < 0.015 * len(every)
+    labels = np.array([1] * 20 + [0] * 30)
+    plain, shifted = (toxicity._fit(labels, np.arange(50), [np.array([1, 2 + x], np.uint64) for x in labels], rates) for rates in ((1.0, 1.0), (0.1, 1.0)))
+    assert abs(plain["bias"] - shifted["bias"] - np.log(10)) < 1e-9
+
+
 def test_toxicity_sees_through_disguises(spark, docs, labels):
     base = "Than stin it thststre erer theaingha thbleer antiing {} thouingble edinst bleheed re onhwed."
     toxic = ["idiot", "1d10t", "i d i o t", "i.d.i.o.t", "iiidiot", "STUPID", "5tup1d", "s-t-u-p-i-d", "stuuuupid", "m0r0n"]
