@@ -8,6 +8,8 @@ logistic regression over the words, and beginnings of words, of the text and its
 
 from __future__ import annotations
 
+import itertools
+import os
 import pickle
 from collections.abc import Callable, Iterable, Iterator
 
@@ -32,8 +34,8 @@ PREFIXES = (4, 5, 6)
 SAMPLE = {1: 3000, 0: 5000}
 #: Features that a model may hold, and in how many rows of the sample each must occur.
 MAX_FEATURES, LEAST_ROWS = 1 << 16, 4
-#: Signs of a disguised word; longer ones (encoded data) are left as they are.
-LONGEST = 200
+#: Signs after which a decoder puts away what all its paths agree on, and of the longest text that a memo keeps.
+PIECE = 200
 EPOCHS = 5
 SLICE_BYTES = 1 << 19
 
@@ -65,9 +67,8 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return -np.log((counts + 20 * after_one) / (counts.sum(2, keepdims=True) + 20))
 
 
-def lattice(text: str, spaced: bool) -> list[list[tuple[str, float]]]:
+def lattice(text: str, spaced: bool) -> Iterator[list[tuple[str, float]]]:
     """What each stretch of ``text`` (lower case) may stand for, with its cost."""
-    out: list[list[tuple[str, float]]] = []
     k = 0
     while k < len(text):
         letter, n = text[k], 1
@@ -75,36 +76,46 @@ def lattice(text: str, spaced: bool) -> list[list[tuple[str, float]]]:
             n += 1
         choices = [(c, SIGN_COST) for c in LEET.get(letter, "")] or [(letter, 0.0)]
         if letter in SEPARATORS and spaced:
-            out.append([("", 0.0), (" ", GAP_COST)])
+            yield [("", 0.0), (" ", GAP_COST)]
         elif letter.isalpha() or letter in LEET:
             once = [(c, cost + STRETCH_COST * (n > 1)) for c, cost in choices]
-            out.append(once + [(c * 2, cost + STRETCH_COST * (n > 2)) for c, cost in choices] * (n > 1))
+            yield once + [(c * 2, cost + STRETCH_COST * (n > 2)) for c, cost in choices] * (n > 1)
         else:
-            out.append([(" ", 0.0)])
+            yield [(" ", 0.0)]
         k += n
-    return out
 
 
 def symbol(letter: str) -> int:
     return ord(letter) - 96 if "a" <= letter <= "z" else 27 if letter.isalpha() else 0
 
 
+def symbols(letter: str) -> list[int]:
+    """A symbol for each byte, as the character model counts them."""
+    return [symbol(letter)] * (len(letter.encode()) if letter.isalpha() else 1)
+
+
 def restore(text: str, costs: np.ndarray, spaced: bool = False) -> str:
-    """The least-cost path through the lattice of ``text``, under the character model."""
-    states = {(0, 0): (0.0, "")}
-    for choices in [*lattice(text, spaced), [(" ", 0.0)]]:
+    """The least-cost path through the lattice of ``text``, under the character model.
+
+    A text may have any length: what all paths agree on is put away after each ``PIECE`` steps.
+    """
+    states, done = {(0, 0): (0.0, "")}, []
+    for k, choices in enumerate(itertools.chain(lattice(text, spaced), [[(" ", 0.0)]]), 1):
         after: dict[tuple[int, int], tuple[float, str]] = {}
         for (p, q), (cost, path) in states.items():
             for letters, extra in choices:
                 a, b, total = p, q, cost + extra
-                for letter in letters:
-                    c = symbol(letter)
+                for c in itertools.chain.from_iterable(map(symbols, letters)):
                     total += float(costs[a, b, c])
                     a, b = b, c
                 if (a, b) not in after or total < after[a, b][0]:
                     after[a, b] = (total, path + letters)
         states = after
-    return min(states.values())[1].strip()
+        if k % PIECE == 0:
+            common = os.path.commonprefix([path for _, path in states.values()])
+            done.append(common)
+            states = {at: (cost, path[len(common) :]) for at, (cost, path) in states.items()}
+    return ("".join(done) + min(states.values())[1]).strip()
 
 
 class Restorer:
@@ -132,7 +143,9 @@ class Restorer:
         hit = (letters > 0) & ((count(leet) > 0) | (count(stretched) > 0)) & (letters * 5 >= size * 2)
         hit |= (count(dotted) * 2 + 1 >= size) & (count(dotted) >= 2) & (letters >= 2)
         alone = (size == 1) & ((letters == 1) | sign[w.start])
-        return self._each(part, data, w, np.flatnonzero(hit & (size <= LONGEST))) + self._runs(part, data, w, alone)
+        wide = np.flatnonzero((size > 1) & (size <= 4) & (count((data & 0xC0) == 0x80) == size - 1))  # one code point of several bytes
+        alone[wide] = [data[w.start[k] : w.end[k]].tobytes().decode().isalpha() for k in wide.tolist()]
+        return self._each(part, data, w, np.flatnonzero(hit)) + self._runs(part, data, w, alone)
 
     def _each(self, part: Slice, data: np.ndarray, w: Words, hits: np.ndarray) -> list[tuple[int, bytes]]:
         rows = np.searchsorted(w.of_row, hits, "right") - 1
@@ -148,14 +161,16 @@ class Restorer:
         begins = alone & ~np.concatenate([[False], alone[:-1] & (row[1:] == row[:-1])])
         ends = alone & ~np.append(alone[1:] & (row[1:] == row[:-1]), False)
         first, last = np.flatnonzero(begins), np.flatnonzero(ends)
-        long = (last - first >= 2) & (last - first < LONGEST)
-        return [(int(row[a]), self._of(" ".join(map(chr, data[w.start[a : b + 1]].tolist())), True)) for a, b in zip(first[long].tolist(), last[long].tolist(), strict=True)]
+        long = last - first >= 2
+        return [(int(row[a]), self._of(" ".join(data[w.start[a] : w.end[b]].tobytes().decode().split()), True)) for a, b in zip(first[long].tolist(), last[long].tolist(), strict=True)]
 
     def _of(self, raw: str, spaced: bool) -> bytes:
         if (found := self.memo.get((raw, spaced))) is None:
+            found = restore(raw, self.costs, spaced).encode()
             if len(self.memo) > 100_000:
                 self.memo.clear()
-            found = self.memo[raw, spaced] = restore(raw, self.costs, spaced).encode()
+            if len(raw) <= PIECE:
+                self.memo[raw, spaced] = found
         return found
 
 

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +86,20 @@ def test_restore_follows_the_model():
         assert toxicity.restore(disguised, costs, spaced) == "idiot"
 
 
+def test_restorer_reads_long_runs_and_wide_letters():
+    costs = np.full((28,) * 3, 5.0)
+    for word in ("idiot", "schön"):
+        s = [0, 0, *(c for x in word for c in toxicity.symbols(x)), 0, 0, *(c for x in word for c in toxicity.symbols(x))]
+        for a, b, c in zip(s, s[1:], s[2:], strict=False):
+            costs[a, b, c] = 0.1
+    long = ["i d i o t " * 300, ".".join("idiot") + "." + ".".join("idiot" * 99), "i" * 500 + "diot", "so s c h ö n da", "plain words"]
+    parts = list(toxicity.slices(pa.array(long)))
+    got = dict(toxicity.Restorer(costs).restored(parts[0]))
+    assert len(parts) == 1 and sorted(got) == [0, 1, 2, 3]
+    assert got[0].split().count(b"idiot") == 300 and got[1].count(b"idiot") == 100
+    assert got[2] == b"idiot" and got[3].decode() == "schön"
+
+
 def brute_scores(rows, targets):
     """The same models with plain dictionaries, no hash slots."""
     texts = [WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)})) for _, t, _ in rows]
