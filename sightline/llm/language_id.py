@@ -18,7 +18,7 @@ SLOT_BITS = 15
 ORDERS = (1, 2, 3)
 #: Rows that the classifier is fitted on, for each language at most; document frequencies use all.
 SAMPLE_PER_LANGUAGE = 1000
-#: Languages that one model may hold.
+#: Languages that one model may hold; more are an error, none is left out.
 MAX_LANGUAGES = 1000
 EPOCHS = 2
 CALIBRATION_SHARE = 5
@@ -58,7 +58,9 @@ def train(rows: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> dict:
     is kept from training, to fit the temperature.
     """
     rows = rows.select("text", "lang", F.xxhash64("key").alias("at"))
-    sizes = dict(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
+    sizes = dict(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect())
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages: the weights of one model would not fit")
     languages = sorted(sizes)
     if not languages:
         return {"languages": []}

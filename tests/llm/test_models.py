@@ -33,6 +33,13 @@ def test_language_odd_rows(spark):
     assert {r.lang_pred for r in language_id.identify(unknown).collect()} == {"und"}
 
 
+def test_language_leaves_none_out(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
+    rows = frame(spark, [(k, "some words", "s") for k in range(40)]).withColumn("lang", F.concat(F.lit("l"), F.col("doc_id") % 3))
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        language_id.identify(rows)
+
+
 @pytest.fixture(scope="module")
 def labels(spark):
     return spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
