@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .components import components
-from .store import materialize
+from .store import materialize, row_key
 from .textkit import U, mix, shingles, slices, words
 
 WIDTH = 5
@@ -37,9 +37,10 @@ BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
 
 
 def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_hi, class_lo of every document of (doc_id, text).
+    """doc_id, n_shingles, component_id, class_hi, class_lo, component, row_a, row_b of every document of (doc_id, text).
 
-    Documents with equal words form one class (class_hi, class_lo: a 128-bit digest). Classes
+    Documents with equal words form one class (class_hi, class_lo: a 128-bit digest); ``component`` tells
+    components apart even if ids repeat (null: no words), and row_a, row_b are store.row_key. Classes
     are linked at the threshold, exactly: a signature held by few classes yields all their pairs;
     one held by many first yields a star around its most central class. Later its members that the
     links so far leave in different components are compared in blocks within a task, which
@@ -49,8 +50,8 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     component; a text of fewer than ``width`` words is one shingle; equal rows are one class;
     component_id is null only if no doc_id of the component is known; other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    classes = materialize(docs.mapInArrow(lambda it: _classes(it, width), "doc_id long, hi long, lo long, n long"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *row_key())
+    classes = materialize(docs.mapInArrow(lambda it: _classes(it, width), "doc_id long, row_a long, row_b long, hi long, lo long, n long"))
     counts = sketch.dense(docs.select("text"), 1 << SLOT_BITS, np.int64, lambda batch, into: _count(batch, into, width))
     slots = docs.sparkSession.sparkContext.broadcast((np.minimum(counts, 1 << 30).astype(np.int32), _slot_classes(counts)))
 
@@ -75,11 +76,12 @@ def _result(classes: DataFrame, labels: DataFrame) -> DataFrame:
     least = classes.groupBy("hi", "lo").agg(F.min("doc_id").alias("least")).select(_node("", "node"), "least")
     least = least.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     ids = least.filter("component is not null").groupBy(F.col("component").alias("_root")).agg(F.min("least").alias("lowest"))
-    least = least.join(ids, F.col("component") == F.col("_root"), "left").select("node", F.coalesce("lowest", "least").alias("component_id"))
+    least = least.join(ids, F.col("component") == F.col("_root"), "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("lowest", "least").alias("component_id"))
     keyed = classes.withColumn("_node", _node("", "x"))
     out = keyed.join(least, F.col("_node") == F.col("node"))
     alone = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"), F.col("hi").alias("class_hi"), F.col("lo").alias("class_lo"))
+    component = F.when(F.col("n") > 0, F.col("component")).alias("component")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"), F.col("hi").alias("class_hi"), F.col("lo").alias("class_lo"), component, "row_a", "row_b")
 
 
 def _documents(batches: Iterator[pa.RecordBatch]):
@@ -99,8 +101,8 @@ def _classes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
     for batch, part, rows in _documents(batches):
         digests = np.array([_digest(row) for row in rows], np.int64)
         sizes = np.array([len(shingles(row, width)) for row in rows], np.int64)
-        ids = batch.column("doc_id").slice(part.first, part.last - part.first)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(sizes)], ["doc_id", "hi", "lo", "n"])
+        own = [batch.column(c).slice(part.first, part.last - part.first) for c in ("doc_id", "row_a", "row_b")]
+        yield pa.RecordBatch.from_arrays([*own, pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(sizes)], ["doc_id", "row_a", "row_b", "hi", "lo", "n"])
 
 
 def _slot(hashes: np.ndarray) -> np.ndarray:
@@ -408,7 +410,7 @@ def _may_link(n_a: int, marks_a: np.ndarray, n_b: int, marks_b: np.ndarray, perc
 
 def _texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """node, n, marks, text of each wanted class; a task sends a class once, however many copies it reads."""
-    keyed = docs.mapInArrow(_keyed, "hi long, lo long, text string").select(_node("", "node"), "text")
+    keyed = docs.select("text").mapInArrow(_keyed, "hi long, lo long, text string").select(_node("", "node"), "text")
     texts = keyed.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     marked = texts.select("node.*", "text").mapInArrow(lambda it: _marked(it, width), "hi long, lo long, n long, marks binary, text string")
     return materialize(marked.select(_node("", "node"), "n", "marks", "text"))

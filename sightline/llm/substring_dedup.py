@@ -4,7 +4,7 @@ Every window of every document is hashed. Equal windows hold the same *anchor*,
 hash among their shorter word runs, so a window whose anchor occurs only once is known to be
 unique. Anchors (a tenth as many as windows) are counted in Spark first; the windows with a
 repeated anchor are then counted in Spark one by one, by their own hash, and the repeated
-ones merge into maximal intervals of removed words.
+ones merge into maximal intervals of removed words. A window is known by two hashes, 96 bits.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .store import materialize
-from .textkit import Slice, U, Words, run_hash, slices, sliding, window_hash, words
+from .store import materialize, row_key
+from .textkit import Slice, U, Words, mix, run_hash, slices, sliding, window_hash, words
 
 WINDOW = 35
 ANCHOR = 12
@@ -27,11 +27,12 @@ ANCHOR = 12
 #: that more windows are counted, and without a filter all of them, with the same result.
 BLOOM_MAX_BITS = 28
 
-KEY = "doc_id long, tag long"
+KEY = "row_a long, row_b long"
+ROW = ["row_a", "row_b"]
 
 
 def remove_repeats(docs: DataFrame, width: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept (text) of every document of (doc_id, text).
+    """doc_id, n_words, n_removed, kept_sha256, kept (text), row_a, row_b (store.row_key) of every document of (doc_id, text).
 
     A word goes if a window of ``width`` words that covers it also starts anywhere else, in the
     same document or another; windows are those of the input. ``kept_sha256`` digests the other words
@@ -39,30 +40,29 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, anchor: int = ANCHOR) -
 
     Null and empty texts have no words and keep ''; texts of fewer than ``width`` words keep all;
     equal rows repeat each other and so lose every word that a window covers; a null doc_id is
-    an id like any other; other columns are ignored; no rows give no rows.
+    an id like any other; a word and a text may have any length; other columns are ignored; no rows give no rows.
     """
     anchor = min(anchor, width)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tag"))
-    found = _scan(docs, "hash long", lambda h: _anchor_rows(h, width, anchor))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *row_key())
+    found = _scan(docs, "hash long", lambda h: (_anchor_rows(h, width, anchor),))
     again = materialize(found.groupBy("hash").count().filter("count > 1").select("hash"))
     bits = min(BLOOM_MAX_BITS, max(10, int(16 * max(1, again.count())).bit_length()))
     table = docs.sparkSession.sparkContext.broadcast(sketch.bloom(again, bits))
     suspects = lambda h: _suspects(h, width, anchor, table.value, bits)
 
-    counted = _scan(docs, "hash long", lambda h: window_hash(h, width)[suspects(h)]).groupBy("hash").count()
-    repeated = materialize(counted.filter("count > 1").select("hash"))
-    windows = _scan(docs, f"{KEY}, hash long, at int", lambda h: _window_rows(h, width, suspects(h)))
-    starts = windows.join(repeated, "hash", "left_semi").groupBy("doc_id", "tag").agg(F.collect_list("at").alias("starts"))
+    counted = _scan(docs, "hash long, proof int", lambda h: _window_rows(h, width, suspects(h))).groupBy("hash", "proof").count()
+    repeated = materialize(counted.filter("count > 1").select("hash", "proof"))
+    windows = _scan(docs, f"{KEY}, hash long, proof int, at int", lambda h: _window_rows(h, width, suspects(h)))
+    starts = windows.join(repeated, ["hash", "proof"], "left_semi").groupBy(*ROW).agg(F.collect_set("at").alias("starts"))
 
     any_suspect = lambda h: bool(suspects(h).any())
     clean = docs.mapInArrow(lambda it: _digests(it, width, lambda h: not any_suspect(h)), OUT)
-    texts = docs.mapInArrow(lambda it: _texts(it, any_suspect), f"{KEY}, text string")
-    starts = starts.withColumnsRenamed({"doc_id": "_doc_id", "tag": "_tag"})
-    marked = texts.join(starts, (texts["tag"] == starts["_tag"]) & texts["doc_id"].eqNullSafe(starts["_doc_id"]), "left")
-    return clean.unionByName(marked.select("doc_id", "tag", "text", "starts").mapInArrow(lambda it: _digests(it, width), OUT))
+    texts = docs.mapInArrow(lambda it: _texts(it, any_suspect), f"doc_id long, {KEY}, text string")
+    marked = texts.join(starts, ROW, "left")
+    return clean.unionByName(marked.select("doc_id", *ROW, "text", "starts").mapInArrow(lambda it: _digests(it, width), OUT))
 
 
-OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+OUT = f"doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, {KEY}"
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Slice, Words]]:
@@ -72,19 +72,19 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, S
 
 
 def _scan(docs: DataFrame, schema: str, rows_of) -> DataFrame:
-    """Rows made from each document's word hashes; the key columns are added if the schema has them."""
-    keyed = schema.startswith("doc_id")
+    """Rows made from each document's word hashes; ``rows_of`` gives the hashes and, as the schema asks, their proofs and places."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    keyed = names[0] in ROW
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, part, w in _rows(batches):
             got = [rows_of(w.hash[a:b]) for a, b in zip(w.of_row[:-1], w.of_row[1:], strict=True)]
-            if not keyed:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64))], ["hash"])
-                continue
-            which = pa.array(np.repeat(np.arange(part.first, part.last), [len(g[0]) for g in got]))
-            keys = [batch.column(c).take(which) for c in ("doc_id", "tag")]
-            hashes, at = (np.concatenate([g[k] for g in got]) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(hashes.view(np.int64)), pa.array(at.astype(np.int32))], ["doc_id", "tag", "hash", "at"])
+            columns = [np.concatenate([g[k] for g in got]) for k in range(len(names) - 2 * keyed)]
+            columns = [pa.array(c.view(np.int64) if c.dtype == U else c) for c in columns]
+            if keyed:
+                which = pa.array(np.repeat(np.arange(part.first, part.last), [len(g[0]) for g in got]))
+                columns = [batch.column(c).take(which) for c in ROW] + columns
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.mapInArrow(task, schema)
 
@@ -108,26 +108,34 @@ def _suspects(hashes: np.ndarray, width: int, anchor: int, table: np.ndarray, bi
     return sketch.in_bloom(table, _anchors(hashes, width, anchor)[1], bits)
 
 
-def _window_rows(hashes: np.ndarray, width: int, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+#: Sets the second hash of a window apart from the first.
+PROOF = U(0xA0761D6478BD642F)
+
+
+def _window_rows(hashes: np.ndarray, width: int, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, proof, place) of the windows of a mask; the proof is half of a hash of otherwise mixed words."""
     at = np.flatnonzero(mask)
-    return run_hash(hashes, at, at + width), at
+    proof = (run_hash(mix(hashes ^ PROOF), at, at + width) >> U(32)).astype(np.uint32).view(np.int32)
+    return run_hash(hashes, at, at + width), proof, at.astype(np.int32)
 
 
 def _texts(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
     for batch, part, w in _rows(batches):
         rows = [part.first + i for i in range(part.last - part.first) if wanted(w.hash[w.of_row[i] : w.of_row[i + 1]])]
         if rows:
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(rows)) for c in ("doc_id", "tag", "text")], ["doc_id", "tag", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(rows)) for c in ("doc_id", *ROW, "text")], ["doc_id", *ROW, "text"])
 
 
 def _digests(batches: Iterator[pa.RecordBatch], width: int, wanted=None) -> Iterator[pa.RecordBatch]:
     for batch, part, w in _rows(batches):
         marked = "starts" in batch.schema.names
         out: list[list] = [[], [], [], [], []]
+        done = []
         for i in range(part.last - part.first):
             a, b = w.of_row[i], w.of_row[i + 1]
             if wanted and not wanted(w.hash[a:b]):
                 continue
+            done.append(part.first + i)
             starts = batch.column("starts")[part.first + i].values if marked else None
             kept_words, removed = part.text(i).split(), 0
             if starts is not None and len(starts):
@@ -144,4 +152,5 @@ def _digests(batches: Iterator[pa.RecordBatch], width: int, wanted=None) -> Iter
                 column.append(value)
         if out[0]:
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+            keys = [batch.column(c).take(pa.array(done)) for c in ROW]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(out, types, strict=True)), *keys], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", *ROW])
