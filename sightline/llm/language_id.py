@@ -54,10 +54,10 @@ def train(rows: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> dict:
     """A model from (text, lang, key): languages, weights, idf and temperature; a few MB at most.
 
     Document frequencies are counted over all rows. The classifier is fitted on about ``sample`` rows
-    for each language: those with a hash of ``key`` below the share that makes so many. A fifth of them
-    is kept from training, to fit the temperature.
+    for each language: those with a hash of ``key`` and text below the share that makes so many, equal rows
+    once. A fifth of them is kept from training, to fit the temperature.
     """
-    rows = rows.select("text", "lang", F.xxhash64("key").alias("at"))
+    rows = rows.select("text", "lang", F.xxhash64("key", "text").alias("at"))
     sizes = dict(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect())
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages: the weights of one model would not fit")
@@ -75,7 +75,7 @@ def train(rows: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> dict:
     share = F.lit(None).cast("double")
     for name in languages:
         share = F.when(F.col("lang") == name, sample / sizes[name]).otherwise(share)
-    chosen = rows.filter((F.pmod("at", F.lit(1 << 30)) / (1 << 30)) < share)
+    chosen = rows.filter((F.pmod("at", F.lit(1 << 30)) / (1 << 30)) < share).groupBy("lang", "at").agg(F.first("text").alias("text"))
 
     def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -278,7 +278,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out:
     """doc_id, held_out, score, predicted of every document of (doc_id, text).
 
     ``labels`` has (doc_id, toxic); a document with several labels counts as toxic if any is, and
-    null labels count as none. Rows outside fold ``held_out`` teach the classifier, up to ``sample``
+    null labels count as none; of rows that share a doc_id one is learned from. Rows outside fold ``held_out`` teach the classifier, up to ``sample``
     of each label, chosen by a hash of doc_id; the bias is corrected for the shares chosen. The character model counts all texts. Null and
     empty texts get the score of a text without features; without labels of both kinds every
     score is the smoothed share of toxic ones; equal texts get equal scores; a null doc_id has the fold of '';
@@ -301,7 +301,9 @@ def learned_score(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out:
     rates = tuple(min(1.0, sample[label] / max(1, sizes.get(label, 0))) for label in (0, 1))
     share = F.when(F.col("toxic") == 1, rates[1]).otherwise(rates[0])
     chosen = materialize(known.filter(F.pmod("at", F.lit(1 << 30)) / (1 << 30) < share))  # about sum(sample) rows of 20 bytes
-    model = train(docs.join(F.broadcast(chosen), "doc_id"), costs, rates)
+    text = F.min(F.struct(F.xxhash64("text"), "text")).alias("least")  # of rows that share an id one is learned from
+    labelled = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "at").agg(text)
+    model = train(labelled.select("toxic", "at", "least.text"), costs, rates)
     shared = docs.sparkSession.sparkContext.broadcast((model, costs))
     scorers: list[Scorer] = []  # of the worker
 
