@@ -1,307 +1,402 @@
 """Approximate nearest neighbours: an NN-descent graph by iterated Spark joins, searched greedily.
 
 Distinct vectors are nodes; equal ones share a node. A few random-projection trees, fitted on a
-bounded sample, give each node first neighbours. Each round then meets, at every node, its
-neighbours and the nodes that have it as one: they are compared with each other, and
-each keeps the best of what it had and met. A query starts from its own node, or its leaves, and
-greedily expands the best unexpanded nodes of its list. Vectors travel as 8-bit integers until
-the last step, which scores the final list by the original vectors.
+bounded sample, give each node a poor first list of neighbours. In each round the neighbours of a node, and
+some of the nodes that have it as theirs, meet there and are compared if one of them is new to the
+list; each keeps the best it has met. Rounds end when few lists change. A query starts from its node's
+neighbours and, round by round, expands the nearest nodes of its list that it has not expanded.
+
+Vectors travel as codes: the leaf of the first tree and the distance from its centre in 8 bits a part, so
+that the error follows the spread of the leaf, and near copies stay apart. Final scores are exact.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import materialize
+from .store import materialize, shared_dir
 
-#: Neighbours of a node in the graph, and how many nodes that have it as a neighbour it meets.
-NEIGHBOURS, REVERSE = 48, 48
-#: Trees for the first neighbours, nodes of a leaf, and vectors that the trees are fitted on.
-TREES, LEAF, TREE_SAMPLE = 16, 2048, 20_000
+#: Neighbours of a node in the graph, and how many of the nodes that have it as a neighbour it meets.
+NEIGHBOURS, REVERSE = 40, 40
+#: Trees for the first neighbours, nodes compared at once, and vectors that the trees are fitted on.
+TREES, LEAF, TREE_SAMPLE = 4, 128, 20_000
 #: Of each leaf or meeting, the best partners that a node hears of.
 FROM_LEAF, FROM_MEETING = 24, 16
-ROUNDS = 2
-#: Nodes that a query expands in a round, rounds, and nodes on its list.
-EXPAND, SEARCH_ROUNDS, LISTED = 16, 3, 64
-#: Longest vectors from which every query may start too: inner products favour them.
-LONG_STARTS = 64
+#: Rounds of descent end after so many, or when less than this share of the lists is new.
+ROUNDS, FRESH_SHARE = 5, 0.05
+#: Nodes that a query expands in a round, rounds, and nodes on its list; of these, so many for each result are scored exactly.
+EXPAND, SEARCH_ROUNDS, LISTED, SCORED = 32, 5, 160, 3
 
-PAIR = "node long, other long, near float"
+PAIR = "node long, other long, near float, fresh boolean"
 
 
 def usable(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
-    """vec_id, vector, norm: without null and zero vectors, those with null or non-finite parts, and those not of the usual length."""
-    x = F.transform(F.col(column), lambda v: v.cast("double"))
-    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), x.alias("vector"))
-    finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    rows = rows.filter(F.col("vector").isNotNull() & F.col("vec_id").isNotNull() & finite)
-    rows = rows.withColumn("norm", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v)))
-    rows = rows.filter(F.col("norm") > 0)
-    usual = rows.groupBy(F.size("vector").alias("length")).count().orderBy(F.desc("count"), "length").first()
-    return rows.filter(F.size("vector") == (usual.length if usual else 0))
-
-
-def nodes_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, unit, vector) of the distinct vectors, and (vec_id, node). A node's id is its least vec_id.
-
-    For largest inner products vectors get one more part, sqrt(largest norm**2 - norm**2), which
-    makes them equally long, so that nearness of nodes is an angle; it is 0 for unit vectors.
-    """
-    keyed = rows.withColumn("key", F.sha2(F.array_join(F.transform("vector", lambda v: (v + 0.0).cast("string")), ","), 256))
-    least = materialize(keyed.groupBy("key").agg(F.min("vec_id").alias("node"), F.first("vector").alias("vector"), F.first("norm").alias("norm")))
-    members = keyed.select("vec_id", "key").join(least.select("key", "node"), "key").select("vec_id", "node")
-    top = least.agg(F.max("norm")).first()[0]
-
-    def quantized(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                x = _matrix(batch.column("vector"))
-                rest = np.sqrt(np.maximum(0, top * top - (x * x).sum(1, keepdims=True)))
-                x = np.concatenate([x, rest], 1)
-                x = np.rint(127 * x / np.abs(x).max(1, keepdims=True)).astype(np.int8)
-                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([v.tobytes() for v in x], pa.binary())], ["node", "unit"])
+    """vec_id, vector: without null and zero vectors and those with null or non-finite parts; of an id's vectors the least."""
+    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(column).alias("vector"))
+    finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf")))
+    rows = rows.filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & finite & F.exists("vector", lambda v: v != 0))
+    return rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
-    units = least.select("node", "vector").mapInArrow(quantized, "node long, unit binary")
-    return materialize(units.join(least.select("node", "norm"), "node")), materialize(members)
 
+def dot(x: str, y: str) -> Column:
+    """Inner product in double precision; a shorter vector counts as if zeros followed."""
+    product = F.zip_with(x, y, lambda a, b: F.coalesce(a.cast("double") * b.cast("double"), F.lit(0.0)))
+    return F.aggregate(product, F.lit(0.0), lambda a, v: a + v)
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
-
-def _units(column) -> np.ndarray:
-    """Rows of unit length from quantized vectors."""
-    x = np.stack([np.frombuffer(v.as_buffer(), np.int8) for v in column]).astype(np.float32)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of ``width`` numbers; zeros follow shorter vectors."""
+    sizes = np.diff(column.offsets.to_numpy())
+    out = np.zeros((len(column), width))
+    out[np.arange(width) < sizes[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+    return out
 
 
-def fit_trees(sample: np.ndarray, n: int, trees: int, leaf: int) -> list[list[tuple[np.ndarray, float]]]:
-    """For each tree, its splits in breadth-first order: direction and median of the sample's part."""
-    rng = np.random.default_rng(7)
-    depth = max(0, int(np.ceil(np.log2(max(1, n) / leaf))))
-    out = []
-    for _ in range(trees):
-        splits, parts = [], [np.arange(len(sample))]
+class Coder:
+    """Trees and leaf centres, fitted on a sample of vectors; turns vectors into codes and back. A few MB at most."""
+
+    def __init__(self, sample: np.ndarray, n: int, trees: int, leaf: int, top: float):
+        self.width, self.top = sample.shape[1], top
+        sample, rng = self.widened(sample), np.random.default_rng(7)
+        depth = max(0, int(np.ceil(np.log2(max(1, n) / leaf))))
+        depth = min(depth, max(0, int(np.log2(max(1, len(sample) / 16)))))  # beyond, a leaf is cut along its line
+        self.trees = [self._tree(sample, depth, rng) for _ in range(trees)]
+        self.lines = rng.standard_normal((trees, self.width + 1))
+        leaves = self.leaf_of(sample, 0)
+        self.centres = np.zeros((1 << depth, self.width + 1))
+        np.add.at(self.centres, leaves, sample)
+        self.centres /= np.maximum(np.bincount(leaves, minlength=1 << depth), 1)[:, None]
+        self.kind = np.dtype([("square", "<f8"), ("scale", "<f4"), ("leaf", "<i4"), ("part", "i1", (self.width + 1,))])
+
+    @staticmethod
+    def _tree(sample: np.ndarray, depth: int, rng: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each level, the direction and the median of each part of the sample."""
+        levels, parts = [], [np.arange(len(sample))]
         for _ in range(depth):
-            following = []
+            directions, middles, following = [], [], []
             for part in parts:
-                pick = sample[rng.integers(0, len(sample), 2)] if len(part) < 2 else sample[rng.choice(part, 2, replace=False)]
-                direction = pick[0] - pick[1]
-                if not direction.any():
-                    direction = rng.standard_normal(sample.shape[1]).astype(np.float32)
-                middle = float(np.median(sample[part] @ direction)) if len(part) else 0.0
-                right = sample[part] @ direction > middle
-                splits.append((direction, middle))
-                following += [part[~right], part[right]]
+                a, b = sample[rng.choice(part if len(part) else len(sample), 2)]
+                direction = a - b if (a != b).any() else rng.standard_normal(sample.shape[1])
+                value = sample[part] @ direction
+                middle = float(np.median(value)) if len(part) else 0.0
+                directions.append(direction)
+                middles.append(middle)
+                following += [part[value <= middle], part[value > middle]]
+            levels.append((np.stack(directions), np.array(middles)))
             parts = following
-        out.append(splits)
-    return out
+        return levels
+
+    def widened(self, x: np.ndarray) -> np.ndarray:
+        """One more part makes all vectors equally long, so that the nearest have the largest inner products."""
+        rest = np.sqrt(np.maximum(0, self.top**2 - np.einsum("ij,ij->i", x, x)))
+        return np.concatenate([x, rest[:, None]], 1)
+
+    def leaf_of(self, x: np.ndarray, tree: int) -> np.ndarray:
+        at = np.zeros(len(x), np.int64)
+        for directions, middles in self.trees[tree]:
+            at = 2 * at + (np.einsum("ij,ij->i", x, directions[at]) > middles[at])
+        return at
+
+    def encode(self, column: pa.Array) -> pa.Array:
+        x = _matrix(column, self.width)
+        out = np.zeros(len(x), self.kind)
+        out["square"] = np.einsum("ij,ij->i", x, x)
+        x = self.widened(x)
+        out["leaf"] = self.leaf_of(x, 0)
+        x -= self.centres[out["leaf"]]
+        out["scale"] = np.maximum(np.abs(x).max(1) / 127, 1e-30)
+        out["part"] = np.clip(np.rint(x / out["scale"][:, None]), -127, 127)
+        return pa.array([row.tobytes() for row in out], pa.binary())
+
+    def rows(self, codes: pa.Array | bytes) -> np.ndarray:
+        if isinstance(codes, bytes):
+            return np.frombuffer(codes, self.kind)
+        _, where, data = codes.buffers()
+        where = np.frombuffer(where, np.int32)[codes.offset : codes.offset + len(codes) + 1]
+        return np.frombuffer(data, np.uint8)[where[0] : where[-1]].view(self.kind)
+
+    def decode(self, rows: np.ndarray) -> np.ndarray:
+        return self.centres[rows["leaf"]] + rows["part"] * rows["scale"][:, None].astype(np.float64)
+
+
+def nodes_of(rows: DataFrame, trees: int, leaf: int) -> tuple[DataFrame, DataFrame, object]:
+    """(node, code) of the distinct vectors, (vec_id, node), and the broadcast coder. A node's id is its least vec_id."""
+    digest = F.sha2(F.array_join(F.transform("vector", lambda v: (v.cast("double") + 0.0).cast("string")), ","), 256)
+    keyed = rows.withColumn("key", digest)
+    least = materialize(keyed.groupBy("key").agg(F.min("vec_id").alias("node"), F.first("vector").alias("vector")))
+    members = materialize(keyed.select("vec_id", "key").join(least.select("key", "node"), "key").select("vec_id", "node"))
+    size = least.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width"), F.max(dot("vector", "vector")).alias("square")).first()
+    share = F.lit(min(1.0, TREE_SAMPLE / max(1, size.n)))
+    sample = least.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / (1 << 30) < share).orderBy("node").limit(TREE_SAMPLE).select("vector").collect()
+    table = np.zeros((max(1, len(sample)), size.width))
+    for k, row in enumerate(sample):
+        table[k, : len(row.vector)] = row.vector
+    coder = rows.sparkSession.sparkContext.broadcast(Coder(table, size.n, trees, leaf, size.square**0.5))
+
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                yield pa.RecordBatch.from_arrays([batch.column("node"), coder.value.encode(batch.column("vector"))], ["node", "code"])
 
+    return materialize(least.select("node", "vector").mapInArrow(encode, "node long, code binary")), members, coder
 
-def leaf_of(x: np.ndarray, splits: list[tuple[np.ndarray, float]]) -> np.ndarray:
-    at = np.zeros(len(x), np.int64)  # the place in breadth-first order
-    depth = (len(splits) + 1).bit_length() - 1
-    for level in range(depth):
-        begin = (1 << level) - 1
-        directions = np.stack([d for d, _ in splits[begin : 2 * begin + 1]])
-        middles = np.array([m for _, m in splits[begin : 2 * begin + 1]])
-        which = at - begin
-        right = np.einsum("ij,ij->i", x, directions[which]) > middles[which]
-        at = 2 * at + 1 + right
-    return at
+
+def _runs(batches: Iterable[pa.RecordBatch], keys: list[str], limit: int = 1 << 60) -> Iterator[pa.Table]:
+    """The runs of equal keys of a sorted table, cut into parts of at most ``limit`` rows."""
+    rest: list[pa.Table] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        table = pa.Table.from_batches([batch])
+        if rest and any(table.column(c)[0] != rest[-1].column(c)[-1] for c in keys):
+            yield pa.concat_tables(rest).combine_chunks()
+            rest = []
+        values = np.stack([table.column(c).to_numpy() for c in keys], 1)
+        begins = np.concatenate([[0], np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1, [len(table)]])
+        for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+            while a < b:
+                held = sum(map(len, rest))
+                step = min(b - a, limit - held)
+                rest.append(table.slice(a, step))
+                a += step
+                if held + step == limit or (a == b and b < len(table)):
+                    yield pa.concat_tables(rest).combine_chunks()
+                    rest = []
+    if rest:
+        yield pa.concat_tables(rest).combine_chunks()
+
+
+def _best(ids: np.ndarray, x: np.ndarray, keep: int, floor: np.ndarray | None = None, fresh: np.ndarray | None = None) -> pa.Table:
+    """For each row the ``keep`` nearest others: those nearer than its floor, and new to it or new themselves, if given."""
+    near = np.full((len(ids), len(ids)), -np.inf)
+    keep = min(keep, len(ids) - 1)
+    if keep > 0:
+        square = np.einsum("ij,ij->i", x, x)
+        near = np.minimum(0, 2 * (x @ x.T) - square[:, None] - square)
+        np.fill_diagonal(near, -np.inf)
+        if fresh is not None:
+            near[~(fresh[:, None] | fresh)] = -np.inf
+        if floor is not None:
+            near[near <= floor[:, None]] = -np.inf
+    best = np.argpartition(-near, keep - 1, axis=1)[:, :keep] if keep > 0 else np.zeros((len(ids), 0), np.int64)
+    value = np.take_along_axis(near, best, 1)
+    fits = value > -np.inf
+    n = fits.sum(1)
+    return pa.table([pa.array(np.repeat(ids, n)), pa.array(ids[best][fits]), pa.array(value[fits].astype(np.float32)), pa.array(np.ones(n.sum(), bool))], names=["node", "other", "near", "fresh"])
 
 
-def first_neighbours(nodes: DataFrame, trees: int, leaf: int, keep: int) -> DataFrame:
-    """(node, other, near): of each leaf that a node falls in, its nearest ``keep`` nodes.
+def first_neighbours(nodes: DataFrame, coder, trees: int, leaf: int, keep: int) -> DataFrame:
+    """(node, other, near, fresh): of each leaf that a node falls in, its nearest ``keep`` nodes.
 
-    A leaf that the sample foresaw too small is dealt by hash into parts of about ``leaf`` nodes.
+    Leaves are ordered along a line and cut into parts of ``leaf`` nodes, so that none has to fit one task.
     """
-    n = nodes.count()
-    sample = nodes.filter(F.pmod(F.xxhash64("node"), F.lit(max(1, n))) < TREE_SAMPLE).limit(TREE_SAMPLE)
-    units = [np.frombuffer(r.unit, np.int8) for r in sample.orderBy("node").select("unit").collect()]
-    x = np.stack(units).astype(np.float32) if units else np.zeros((0, 1), np.float32)
-    forest = nodes.sparkSession.sparkContext.broadcast(fit_trees(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9), n, trees, leaf) if n else [])
 
     def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                x = _units(batch.column("unit"))
-                for k, splits in enumerate(forest.value):
-                    leaves = leaf_of(x, splits)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, np.int32)), pa.array(leaves), *batch.columns], ["tree", "leaf", "node", "unit"])
-
-    routed = nodes.select("node", "unit").mapInArrow(route, "tree int, leaf long, node long, unit binary")
-    routed = materialize(routed)
-    sizes = routed.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / (2 * leaf)).alias("parts"))
-    dealt = routed.join(sizes, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")))
-
-    def compare(table: pa.Table) -> pa.Table:
-        ids, x = table.column("node").to_numpy(), _units(table.column("unit"))
-        return _best(ids, x, keep, None)
-
-    return dealt.groupBy("tree", "leaf", "part").applyInArrow(compare, PAIR)
+                x = coder.value.decode(coder.value.rows(batch.column("code")))
+                for k in range(trees):
+                    columns = [pa.array(np.full(len(x), k, np.int32)), pa.array(coder.value.leaf_of(x, k)), pa.array(x @ coder.value.lines[k]), *batch.columns]
+                    yield pa.RecordBatch.from_arrays(columns, ["tree", "leaf", "place", "node", "code"])
 
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _runs(batches, ["tree", "leaf"], leaf):
+            x = coder.value.decode(coder.value.rows(part.column("code").combine_chunks()))
+            yield from _best(part.column("node").to_numpy(), x, keep).to_batches()
 
-def _best(ids: np.ndarray, x: np.ndarray, keep: int, floor: np.ndarray | None) -> pa.Table:
-    """For each row the ``keep`` nearest other rows; those nearer than its floor only, if given."""
-    keep = min(keep, len(ids) - 1)
-    if keep < 1:
-        return pa.table({"node": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "near": pa.array([], pa.float32())})
-    near = x @ x.T
-    np.fill_diagonal(near, -2)
-    best = np.argpartition(-near, keep - 1, axis=1)[:, :keep]
-    value = np.take_along_axis(near, best, 1)
-    fits = value > -1.5 if floor is None else value > floor[:, None]
-    return pa.table({"node": pa.array(np.repeat(ids, fits.sum(1))), "other": pa.array(ids[best][fits]), "near": pa.array(value[fits].astype(np.float32))})
-
-
-def _sorted_groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Whole groups of a table sorted by ``key``, a number of them at a time."""
-    rest = None
-    for batch in batches:
-        if not len(batch):
-            continue
-        table = pa.Table.from_batches([batch])
-        table = pa.concat_tables([rest, table]) if rest is not None else table
-        keys = table.column(key).to_numpy()
-        last = int(np.searchsorted(keys, keys[-1]))
-        if last:
-            yield table.slice(0, last)
-        rest = table.slice(last)
-    if rest is not None:
-        yield rest
+    routed = nodes.select("node", "code").mapInArrow(route, "tree int, leaf long, place double, node long, code binary")
+    ordered = routed.repartitionByRange("tree", "leaf", "place").sortWithinPartitions("tree", "leaf", "place", "node")
+    return ordered.mapInArrow(compare, PAIR)
 
 
 def keep_nearest(pairs: DataFrame, k: int) -> DataFrame:
-    """(node, other, near, floor): the k nearest distinct others of each node; floor: the k-th nearness, or -2."""
+    """(node, other, near, fresh, floor): the k nearest distinct others of each node; floor: the k-th nearness, or none."""
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _sorted_groups(batches, "node"):
-            node, other, near = (table.column(c).to_numpy() for c in ("node", "other", "near"))
-            order = np.lexsort([other, node])
-            fresh = np.concatenate([[True], (node[order][1:] != node[order][:-1]) | (other[order][1:] != other[order][:-1])])
-            order = order[fresh]
+        for table in _some_runs(batches):
+            node, other, near, fresh = (table.column(c).to_numpy() for c in ("node", "other", "near", "fresh"))
+            order = np.lexsort([fresh, other, node])  # what was known before stays known
+            first = np.concatenate([[True], (node[order][1:] != node[order][:-1]) | (other[order][1:] != other[order][:-1])])
+            order = order[first]
             order = order[np.lexsort([other[order], -near[order], node[order]])]
-            node, other, near = node[order], other[order], near[order]
+            node, other, near, fresh = node[order], other[order], near[order], fresh[order]
             begins = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
             sizes = np.diff(np.append(begins, len(node)))
             place = np.arange(len(node)) - np.repeat(begins, sizes)
-            floor = np.repeat(np.where(sizes >= k, near[begins + np.minimum(sizes, k) - 1], -2), sizes).astype(np.float32)
+            floor = np.repeat(np.where(sizes >= k, near[begins + np.minimum(sizes, k) - 1], -np.inf), sizes).astype(np.float32)
             kept = place < k
-            yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in (node, other, near, floor)], ["node", "other", "near", "floor"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in (node, other, near, fresh, floor)], ["node", "other", "near", "fresh", "floor"])
 
     return pairs.repartition("node").sortWithinPartitions("node").mapInArrow(task, f"{PAIR}, floor float")
 
 
-def descend(graph: DataFrame, nodes: DataFrame, k: int, reverse: int, hear: int) -> DataFrame:
-    """One round: at each node its neighbours, and ``reverse`` of those that have it, meet; all keep the best."""
-    floors = graph.groupBy("node").agg(F.first("floor").alias("floor"))
-    guests = graph.select(F.col("node").alias("host"), F.col("other").alias("node"), F.lit(0).cast("long").alias("turn"))
-    back = graph.select(F.col("other").alias("host"), "node", (1 + F.pmod(F.xxhash64("node", "other"), F.lit(1 << 40))).alias("turn"))
-    known_by = graph.groupBy(F.col("other").alias("host")).count()  # hubs are thinned before they are dealt
-    back = back.join(known_by, "host").filter(F.col("turn") / (1 << 40) <= 2 * reverse / F.col("count")).drop("count")
-    seated = guests.union(back).join(nodes.select("node", "unit").join(floors, "node"), "node").select("host", "turn", "node", "floor", "unit")
-    seated = seated.repartition("host").sortWithinPartitions("host", "turn", "node")
+def _some_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole runs of equal nodes, many at a time."""
+    rest: list[pa.Table] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        table = pa.Table.from_batches([batch])
+        node = table.column("node").to_numpy()
+        last = int(np.searchsorted(node, node[-1]))
+        if last or (rest and rest[-1].column("node")[-1].as_py() != node[0]):
+            yield pa.concat_tables([*rest, table.slice(0, last)]).combine_chunks()
+            rest = []
+        rest.append(table.slice(last))
+    if rest:
+        yield pa.concat_tables(rest).combine_chunks()
+
+
+def known_by(graph: DataFrame, most: int, salt: int) -> DataFrame:
+    """(host, node, fresh): for each node, at most ``most`` of those that have it as a neighbour, by hash; cut before any shuffle."""
+    back = graph.select(F.col("other").alias("host"), "node", "fresh")
+    turn = Window.partitionBy("host").orderBy(F.xxhash64("node", "host", F.lit(salt)), "node")
+    return back.withColumn("_turn", F.row_number().over(turn)).filter(F.col("_turn") <= most).drop("_turn")
+
+
+def descend(graph: DataFrame, nodes: DataFrame, coder, k: int, reverse: int, hear: int, salt: int) -> DataFrame:
+    """One round: at each node it, its neighbours and some that have it meet; all keep the best."""
+    known = nodes.join(graph.groupBy("node").agg(F.first("floor").alias("floor")), "node")
+    guests = graph.select(F.col("node").alias("host"), F.col("other").alias("node"), "fresh").unionByName(known_by(graph, reverse, salt))
+    guests = guests.unionByName(nodes.select(F.col("node").alias("host"), "node", F.lit(True).alias("fresh")))
+    seated = guests.join(known, "node").select("host", "node", "fresh", "floor", "code")
+    seated = seated.repartition("host").sortWithinPartitions("host", "node", F.desc("fresh"))
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _sorted_groups(batches, "host"):
-            host, ids, turn = (table.column(c).to_numpy() for c in ("host", "node", "turn"))
-            floor, unit = table.column("floor").to_numpy(), table.column("unit").combine_chunks()
-            begins = np.append(np.flatnonzero(np.concatenate([[True], host[1:] != host[:-1]])), len(host))
-            for some in range(0, len(begins) - 1, 64):  # hosts at a time
+        out: list[pa.Table] = []
+        for table in _runs(batches, ["host"]):
+            ids = table.column("node").to_numpy()
+            rows = np.unique(ids, return_index=True)[1]
+            x = coder.value.decode(coder.value.rows(table.column("code").combine_chunks())[rows])
+            out.append(_best(ids[rows], x, hear, table.column("floor").to_numpy()[rows], table.column("fresh").to_numpy()[rows]))
+            if len(out) == 64:
+                yield from pa.concat_tables(out).combine_chunks().to_batches()
                 out = []
-                for a, b in zip(begins[some : some + 64], begins[some + 1 : some + 65], strict=False):
-                    own = a + int((turn[a:b] == 0).sum())
-                    rows = np.arange(a, min(b, own + reverse))
-                    rows = rows[np.unique(ids[rows], return_index=True)[1]]
-                    out.append(_best(ids[rows], _units(unit.take(pa.array(rows))), hear, floor[rows]))
-                if out:
-                    yield from pa.concat_tables(out).combine_chunks().to_batches()
-
-    heard = seated.mapInArrow(meet, PAIR)
-    return keep_nearest(graph.select("node", "other", "near").union(heard), k)
-
-
-def build_graph(nodes: DataFrame, k: int = NEIGHBOURS, reverse: int = REVERSE, rounds: int = ROUNDS, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
-    """(node, other, near, floor): up to k near neighbours of every node, written after each round."""
-    graph = materialize(keep_nearest(first_neighbours(nodes, trees, leaf, FROM_LEAF), k))
-    for _ in range(rounds):
-        graph = materialize(descend(graph, nodes, k, reverse, FROM_MEETING))
+        if out:
+            yield from pa.concat_tables(out).combine_chunks().to_batches()
+
+    met = seated.mapInArrow(meet, PAIR)
+    before = graph.select("node", "other", "near", F.lit(False).alias("fresh"))
+    return keep_nearest(before.union(met), k)
+
+
+def build_graph(nodes: DataFrame, coder, k: int = NEIGHBOURS, reverse: int = REVERSE, rounds: int = ROUNDS, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
+    """(node, other, near, fresh, floor): up to k near neighbours of every node, written after each round."""
+    graph = materialize(keep_nearest(first_neighbours(nodes, coder, trees, leaf, FROM_LEAF), k))
+    for salt in range(rounds):
+        graph = materialize(descend(graph, nodes, coder, k, reverse, FROM_MEETING, salt))
+        share = graph.agg(F.avg(F.col("fresh").cast("double"))).first()[0]
+        if (share or 0) < FRESH_SHARE:
+            break
     return graph
 
 
-def search(graph: DataFrame, nodes: DataFrame, starts: DataFrame, expand: int = EXPAND, rounds: int = SEARCH_ROUNDS, listed: int = LISTED) -> DataFrame:
+STATE = "node long, code binary, ids binary, near binary, done binary, turn array<long>"
+
+
+def search(graph: DataFrame, nodes: DataFrame, coder, starts: DataFrame, reverse: int = REVERSE, expand: int = EXPAND, rounds: int = SEARCH_ROUNDS, listed: int = LISTED) -> DataFrame:
     """(node, other, near): for each of ``starts`` (node) the nodes found by greedy search of the graph.
 
-    A round expands the ``expand`` nearest nodes of a query's list that are not yet expanded, scores
-    their neighbours and keeps the nearest ``listed``. All queries move at once, by joins.
+    A node's links lie packed beside each other, in buckets that every round reads without a shuffle; a
+    query is one row, with its list. A round sends a query to the ``expand`` nearest nodes of its list that
+    it was not at, scores their links there, and merges the best ``listed``. A query whose list is done rests.
     """
-    units = nodes.select(F.col("node").alias("other"), "unit")
-    own = starts.join(nodes, "node").select("node", F.col("unit").alias("own"))
-    links = graph.select(F.col("node").alias("other"), F.col("other").alias("next"))
-    longest = [r.node for r in nodes.orderBy(F.desc("norm"), "node").limit(LONG_STARTS).collect()]
-    begin = starts.select("node", F.explode(F.array(*map(F.lit, longest))).alias("other")).filter("node <> other")
-    found = begin.union(graph.select("node", "other")).distinct().join(own, "node").join(units, "other")
-    found = materialize(found.select("node", "other", _near("own", "unit").alias("near"), F.lit(False).alias("done")))
-    for _ in range(rounds):
-        order = F.struct(F.col("done"), -F.col("near"), F.col("other"))
-        place = F.row_number().over(Window.partitionBy("node").orderBy(order))
-        turn = found.withColumn("turn", (place <= expand) & ~F.col("done"))
-        seen = materialize(turn.withColumn("done", F.col("done") | F.col("turn")))
-        new = seen.filter("turn").join(links, "other").select("node", F.col("next").alias("other")).filter("node <> other").distinct()
-        new = new.join(seen.select("node", "other"), ["node", "other"], "left_anti").join(units, "other").join(own, "node")
-        scored = new.select("node", "other", _near("own", "unit").alias("near"), F.lit(False).alias("done"))
-        everything = seen.select("node", "other", "near", "done").union(scored)
-        best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("near"), "other"))
-        found = materialize(everything.withColumn("_place", best).filter(F.col("_place") <= listed).drop("_place"))
-    return found.select("node", "other", "near")
-
-
-def _near(a: str, b: str):
-    """Inner product of a query with a node, but for a factor of the query: its own last part is no part of it."""
-
-    @F.arrow_udf("float")
-    def near(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array(np.einsum("ij,ij->i", _units(x)[:, :-1], _units(y)[:, :-1]).astype(np.float32)) if len(x) else pa.array([], pa.float32())
-
-    return near(F.col(a), F.col(b))
-
-
-def nearest(vectors: DataFrame, queries_where, k: int = 20, id_column: str = "vec_id", column: str = "embedding", **options) -> DataFrame:
+    links = graph.select(F.col("node").alias("host"), F.col("other").alias("node")).union(known_by(graph, reverse, -1).select("host", "node")).distinct()
+    links = links.join(nodes, "node")
+    buckets = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, ["host"]):
+            ids, codes = table.column("node").to_numpy(), coder.value.rows(table.column("code").combine_chunks())
+            yield pa.RecordBatch.from_pydict({"host": table.column("host")[:1].combine_chunks(), "links": pa.array([ids.tobytes()], pa.binary()), "codes": pa.array([codes.tobytes()], pa.binary())})
+
+    packed = links.repartition(buckets, "host").sortWithinPartitions("host").mapInArrow(pack, "host long, links binary, codes binary")
+    name = f"sightline_{uuid.uuid4().hex}"
+    spark = nodes.sparkSession
+    packed.write.format("parquet").bucketBy(buckets, "host").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    packed = spark.table(name)
+
+    def visit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], []]
+            for own, codes, links in zip(*(batch.column(c) for c in ("code", "codes", "links")), strict=True):
+                rows = coder.value.rows(codes.as_py())
+                # <q, y> = (|q|^2 + |y|^2 - |q - y|^2) / 2, where the difference is what codes know well
+                apart = coder.value.decode(rows)[:, :-1] - coder.value.decode(coder.value.rows(own.as_py()))[:, :-1]
+                near = rows["square"] - np.einsum("ij,ij->i", apart, apart)
+                best = np.argpartition(-near, listed)[:listed] if len(near) > listed else np.arange(len(near))
+                out[0].append(np.frombuffer(links.as_py(), np.int64)[best].tobytes())
+                out[1].append(near[best].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *(pa.array(x, pa.binary()) for x in out)], ["node", "ids", "near"])
+
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, ["node"]):
+            node, code = table.column("node")[0].as_py(), table.column("code")[0].as_py()
+            ids, near = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("ids", np.int64), ("near", np.float64)))
+            done = np.frombuffer(table.column("done")[0].as_py(), bool)
+            done = np.concatenate([done, np.zeros(len(ids) - len(done), bool)])
+            order = np.lexsort([~done, ids])
+            order = order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])[: len(order)] & (ids[order] != node)]
+            order = order[np.lexsort([ids[order], -near[order]])][:listed]
+            ids, near, done = ids[order], near[order], done[order].copy()
+            turn = np.flatnonzero(~done)[:expand]
+            done[turn] = True
+            yield pa.RecordBatch.from_pydict({"node": [node], "code": [code], "ids": [ids.tobytes()], "near": [near.tobytes()], "done": [done.tobytes()], "turn": pa.array([ids[turn].tolist()], pa.list_(pa.int64()))})
+
+    nothing = F.lit(b"")
+    state = starts.join(nodes, "node").select("node", "code", nothing.alias("ids"), nothing.alias("near"), nothing.alias("done"), F.array("node").alias("turn"))
+    state = materialize(state)
+    for _ in range(1 + rounds):
+        going = state.select("node", "code", F.explode("turn").alias("host"))
+        heard = going.join(packed, "host").select("node", "code", "codes", "links").mapInArrow(visit, "node long, ids binary, near binary")
+        rows = state.select("node", F.lit(0).alias("kind"), "code", "ids", "near", "done")
+        rows = rows.union(heard.select("node", F.lit(1), F.lit(None).cast("binary"), "ids", "near", F.lit(None).cast("binary")))
+        state = materialize(rows.repartition("node").sortWithinPartitions("node", "kind").mapInArrow(merge, STATE))
+        if state.filter(F.size("turn") > 0).isEmpty():
+            break
+    spark.sql(f"DROP TABLE {name}")
+    return state.select("node", "ids", "near")
+
+
+def nearest(vectors: DataFrame, queries_where, k: int = 20, id_column: str = "vec_id", column: str = "embedding", trees: int = TREES, leaf: int = LEAF, **options) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that ``queries_where`` holds for, its k nearest other rows found.
 
     Nearness is the inner product of the original vectors in double precision; nearest first, ties
-    to the smaller vec_id. Rows with a null id, and null, zero or unequal vectors or ones with null
-    or non-finite parts, take no part. Equal vectors are one node of the graph and all count as
-    candidates; of a node's vectors only the k + 1 smallest ids can be results, which is exact.
-    Other columns are ignored; no usable rows give no rows; of repeated ids one row counts.
+    to the smaller vec_id. Rows with a null id, and null and zero vectors or ones with null or
+    non-finite parts, take no part; a shorter vector counts as if zeros followed. Equal vectors are one
+    node of the graph and all count as candidates; of a node's vectors only the k + 1 smallest ids can
+    be results, which is exact. Of repeated ids the row with the least vector counts. Other columns
+    are ignored; no usable rows give no rows.
     """
-    rows = materialize(usable(vectors, id_column, column).dropDuplicates(["vec_id"]))
-    result = "query_id long, rank int, vec_id long, score double"
+    rows = materialize(usable(vectors, id_column, column))
     if rows.isEmpty():
-        return vectors.sparkSession.createDataFrame([], result)
-    nodes, members = nodes_of(rows)
-    graph = build_graph(nodes, **options)
-    queries = members.filter(queries_where(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "node").distinct()
-    found = search(graph, nodes, queries.select("node").distinct())
-    found = found.select("node", "other").union(queries.select("node", F.col("node").alias("other")).distinct())
-    by_id = F.row_number().over(_window("node", F.col("vec_id")))
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    nodes, members, coder = nodes_of(rows, trees, leaf)
+    graph = build_graph(nodes, coder, trees=trees, leaf=leaf, **options)
+    queries = members.filter(queries_where(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "node")
+    starts = queries.select("node").distinct()
+
+    def unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [np.frombuffer(x.as_py(), np.int64)[: SCORED * k] for x in batch.column("ids")]
+            if ids:
+                node = np.repeat(batch.column("node").to_numpy(), [len(x) for x in ids])
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(ids))], ["node", "other"])
+
+    found = search(graph, nodes, coder, starts).mapInArrow(unpack, "node long, other long")
+    found = found.union(starts.select("node", F.col("node").alias("other")))
+    by_id = F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))
     few = members.withColumn("_place", by_id).filter(F.col("_place") <= k + 1).select(F.col("node").alias("other"), "vec_id")
-    pairs = queries.join(found, "node").join(few, "other").filter("vec_id <> query_id").select("query_id", "vec_id", F.col("node").alias("q"), F.col("other").alias("o"))
-    exact = rows.select(F.col("vec_id").alias("_id"), "vector")
+    pairs = queries.join(found, "node").join(few, "other").filter("vec_id <> query_id").select("query_id", "vec_id")
+    exact = rows.withColumnRenamed("vec_id", "_id")
     scored = pairs.join(exact.withColumnsRenamed({"_id": "query_id", "vector": "x"}), "query_id").join(exact.withColumnsRenamed({"_id": "vec_id", "vector": "y"}), "vec_id")
-    dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
-    scored = scored.select("query_id", "vec_id", dot.alias("score"))
-    rank = F.row_number().over(_window("query_id", F.desc("score"), F.col("vec_id")))
+    scored = scored.select("query_id", "vec_id", dot("x", "y").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _window(key: str, *order):
-    return Window.partitionBy(key).orderBy(*order)
-

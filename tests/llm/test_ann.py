@@ -51,11 +51,31 @@ def test_unequal_norms_and_copies(spark):
     assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in expected[q]}) / 20 for q in got]) >= 0.9
 
 
+def test_recall_as_shipped(spark):
+    """10,000 random vectors and 4,000 near copies of one of them, under the settings that the query uses."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((10_000, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x[:1] + 0.003 * rng.standard_normal((4_000, 48)) / 48**0.5
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    rows = [(k, [float(c) for c in v]) for k, v in enumerate(np.concatenate([x, near]).astype(np.float32))]
+    got = run(spark, rows, every=200)
+    for some in ([q for q in got if q < 10_000], [q for q in got if q >= 10_000]):
+        expected = brute(rows, 20, some)
+        assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in expected[q]}) / 20 for q in some]) >= 0.9
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
-    bad = [(20, None), (40, [0.0, 0.0]), (60, [nan, 1.0]), (80, [inf, 1.0]), (100, [None, 1.0]), (120, []), (140, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]
+    bad = [(20, None), (40, [0.0, 0.0]), (60, [nan, 1.0]), (80, [inf, 1.0]), (100, [None, 1.0]), (120, []), (None, [1.0, 1.0])]
     good = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0]), (160, [1.0, 0.0])]
     got = run(spark, bad + good)
     assert got == {0: [(2, 1.0), (160, 1.0), (1, 0.0)], 160: [(0, 1.0), (2, 1.0), (1, 0.0)]}
     assert run(spark, bad) == {} and run(spark, []) == {}
     assert run(spark, [(0, [1.0, 2.0])]) == {}
+
+
+def test_unequal_lengths_and_repeated_ids(spark):
+    """A shorter vector counts as if zeros followed; of an id's vectors the least counts."""
+    got = run(spark, [(0, [1.0, 0.0]), (1, [2.0, 1.0, 5.0]), (3, [4.0]), (4, [9.0, 9.0]), (4, [0.5, 9.0]), (20, [0.0, 1.0, 1.0])])
+    assert got == {0: [(3, 4.0), (1, 2.0), (4, 0.5), (20, 0.0)], 20: [(4, 9.0), (1, 6.0), (0, 0.0), (3, 0.0)]}
