@@ -1,26 +1,53 @@
 """Cross-entropy difference of documents under a target and a background n-gram model.
 
 Both models are interpolated bigram models of the same form over one vocabulary, all words of
-all documents, so that a per-token loss difference compares like with like. Counts are
-Spark tables: no pair or word is dropped, and nothing that grows with the input is collected or broadcast.
+all documents, so that a per-token loss difference compares like with like. No pair or word is dropped.
+
+Documents are dealt by hash into chunks of bounded size. A chunk asks for the counts of its distinct
+words and pairs, with its own counts, at the *part* that each belongs to by hash; a part, of bounded size too, adds up
+what all chunks ask and answers each in the order it asked. With the answers a chunk scores its
+documents. So each pair crosses the network once for a chunk, packed with its neighbours in a
+few bytes, and no key, however frequent, has more rows than there are chunks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
-from .textkit import Slice, U, slices, words
+from .store import materialize, row_key, shared_dir
+from .textkit import Slice, U, mix, slices, words
 
 #: Share of the bigram estimate, and the pseudo-count of each word in the unigram estimate.
 BIGRAM_SHARE, SMOOTHING = 0.6, 0.5
 #: What stands before the first word of a text.
 START = U(0x5354415254)
+#: Bytes of text of a chunk, and of requests of a part: they set memory and files, not results.
+CHUNK_BYTES = PART_BYTES = 16 << 20
+#: Sets pairs apart from words.
+PAIR_SALT = U(0x9E3779B97F4A7C15)
+
+ROW = "doc_id long, row_a long, row_b long"
+SCORES = f"{ROW}, n_tokens long, target_loss double, background_loss double"
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Numbers, compressed; rising ones as differences, bytes of equal weight together."""
+    shape = np.diff(values, prepend=values[:1] * 0) if values.dtype == U else values
+    return zstandard.ZstdCompressor(level=1).compress(shape.view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
+
+
+def unpack(raw: bytes, kind: type) -> np.ndarray:
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    found = np.ascontiguousarray(data.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+    return np.cumsum(found, dtype=U) if kind is U else found
 
 
 def _tokens(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -32,79 +59,132 @@ def _tokens(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return before, w.hash, w.of_row
 
 
-def _distinct(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where one of each distinct combination is, and how often it occurs."""
-    order = np.lexsort(keys)
-    fresh = np.zeros(len(order), bool)
-    fresh[:1] = True
-    for k in keys:
-        fresh[1:] |= k[order][1:] != k[order][:-1]
-    begins = np.flatnonzero(fresh)
-    return order[begins], np.diff(np.append(begins, len(order)))
-
-
-def _pair_rows(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """(``column``, before, word, n): the pairs of each value of ``column`` in a slice."""
-    for batch in batches:
-        for part in slices(batch.column("text")):
-            before, word, of_row = _tokens(part)
-            own = batch.column(column).to_numpy(zero_copy_only=False)[part.first : part.last]
-            own = np.repeat(own, np.diff(of_row))
-            at, n = _distinct(own, word, before)
-            columns = [pa.array(own[at]), pa.array(before[at].view(np.int64)), pa.array(word[at].view(np.int64)), pa.array(n.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, [column, "before", "word", "n"])
+class Chunk:
+    """The words and pairs of a chunk's documents, each distinct one once, sorted."""
 
+    def __init__(self, texts: pa.ChunkedArray):
+        found = [_tokens(part) for piece in texts.chunks for part in slices(piece)]
+        joined = lambda k: np.concatenate([f[k] for f in found]) if found else np.zeros(0, U)
+        before, word = joined(0), joined(1)
+        self.lengths = np.concatenate([np.diff(f[2]) for f in found]) if found else np.zeros(0, np.int64)
+        self.pairs, self.pair_of = np.unique(mix(before * U(3) + PAIR_SALT) + word, return_inverse=True)
+        self.words, place = np.unique(np.concatenate([word, before]), return_inverse=True)
+        self.word_of, self.before_of = place[: len(word)], place[len(word) :]
 
-def _rows(column: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    return lambda batches: _pair_rows(batches, column)
+    def counts(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of (target, background) counts: of pairs, of words, and of words as what stands before one."""
+        side = np.repeat(~target, self.lengths).astype(np.int64)
+        of = lambda place, n: np.bincount(2 * place + side, minlength=2 * n).reshape(n, 2)
+        return of(self.pair_of, len(self.pairs)), of(self.word_of, len(self.words)), of(self.before_of, len(self.words))
 
 
-def _lengths(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n = [np.diff(words(part).of_row) for part in slices(batch.column("text"))]
-        n = pa.array(np.concatenate(n) if n else np.zeros(0, np.int64), pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), n], ["doc_id", "key", "n_tokens"])
+ASK = "part int, chunk int, keys binary, counts binary"
 
 
-def fit(marked: DataFrame) -> DataFrame:
-    """(before, word, target_loss, background_loss) of every pair of words in rows of (text, target)."""
+def _asked(chunk: int, parts: int, first: int, keys: np.ndarray, *counts: np.ndarray) -> Iterator[tuple]:
+    """Rows of a request: keys are sorted, so those of a part, equal shares of the hash range, stand together."""
+    ends = np.searchsorted(keys >> U(32), np.arange(parts + 1, dtype=U) * U(1 << 32) // U(parts))
+    for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+        if a < b:
+            table = np.concatenate([c[a:b] for c in counts], 1)
+            kind = np.uint8 if table.max() < 256 else np.uint32 if table.max() < 1 << 32 else np.uint64
+            yield first + k, chunk, pack(keys[a:b]), np.dtype(kind).char.encode() + pack(np.ascontiguousarray(table.T, kind).reshape(-1))
 
-    def both(n: str) -> list[Column]:
-        return [F.sum(f"{side}_pair").alias(f"{side}_{n}") for side in ("target", "background")]
 
-    rows = marked.select("text", "target").mapInArrow(_rows("target"), "target boolean, before long, word long, n long")
-    sides = [F.sum(F.when(F.col("target") == which, F.col("n")).otherwise(0)).alias(name) for which, name in ((True, "target_pair"), (False, "background_pair"))]
-    pairs = materialize(rows.groupBy("before", "word").agg(*sides))
-    contexts = pairs.groupBy("before").agg(*both("context"))
-    singles = materialize(pairs.groupBy("word").agg(*both("single")))
-    size = singles.agg(F.count("*").alias("words"), *(F.coalesce(F.sum(f"{s}_single"), F.lit(0)).alias(s) for s in ("target", "background"))).first()
+def _counts(raw: bytes, n: int) -> np.ndarray:
+    return unpack(raw[1:], np.dtype(raw[:1].decode()).type).reshape(-1, n).T.astype(np.int64)
 
-    def loss(side: str) -> Column:
-        bigram = F.col(f"{side}_pair") / F.greatest(F.col(f"{side}_context"), F.lit(1))
-        unigram = (F.col(f"{side}_single") + SMOOTHING) / F.lit(size[side] + SMOOTHING * (size.words + 2))
-        return -F.log(BIGRAM_SHARE * bigram + (1 - BIGRAM_SHARE) * unigram)
 
-    joined = pairs.join(contexts, "before").join(singles, "word")
-    return joined.select("before", "word", loss("target").alias("target_loss"), loss("background").alias("background_loss"))
-
-
-def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+def _answers(asked: pa.Table) -> pa.Table:
+    """For each chunk that asked a part, the sums over all chunks, in the order of its keys; ``distinct``: how many keys the part has."""
+    keys = [unpack(x.as_py(), U) for x in asked.column("keys")]
+    counts = [_counts(x.as_py(), len(k)) for x, k in zip(asked.column("counts"), keys, strict=True)]
+    every, place = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.stack([np.bincount(place, column, len(every)) for column in np.concatenate(counts).T], 1).astype(np.int64)
+    out, at = [], 0
+    for k in keys:
+        mine = total[place[at : at + len(k)]]
+        at += len(k)
+        kind = np.uint8 if mine.max() < 256 else np.uint32 if mine.max() < 1 << 32 else np.uint64
+        out.append(np.dtype(kind).char.encode() + pack(np.ascontiguousarray(mine.T, kind).reshape(-1)))
+    sizes = pa.array([len(k) for k in keys], pa.int64())
+    same = lambda x, kind: pa.array([x] * len(keys), kind)
+    # every word is a token but the start of a text, which has no count as one
+    is_word = (total[:, 0] + total[:, 1] > 0).sum()
+    sums = total[:, :2].sum(0)
+    return pa.table([asked.column("part"), asked.column("chunk"), sizes, pa.array(out, pa.binary()), same(int(is_word), pa.int64()), same(int(sums[0]), pa.int64()), same(int(sums[1]), pa.int64())], names=["part", "chunk", "n", "totals", "words", "target", "background"])
+
+
+ANSWER = "part int, chunk int, n long, totals binary, words long, target long, background long"
+
+
+def _losses(chunk: Chunk, answers: pa.Table, parts: int, size: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Mean loss of each document of a chunk under both models; nan without tokens."""
+    order = answers.sort_by("part")
+    found = [_counts(x.as_py(), n) for x, n in zip(order.column("totals"), order.column("n").to_pylist(), strict=True)]
+    split = int(pc.sum(pc.less(order.column("part"), parts)).as_py() or 0)
+    pairs = np.concatenate(found[:split]) if split else np.zeros((0, 2), np.int64)
+    known = np.concatenate(found[split:]) if found[split:] else np.zeros((0, 4), np.int64)
+    ends = np.cumsum(chunk.lengths)
+    out = []
+    for side, name in enumerate(("target", "background")):
+        bigram = pairs[chunk.pair_of, side] / np.maximum(known[chunk.before_of, 2 + side], 1)
+        unigram = (known[chunk.word_of, side] + SMOOTHING) / (size[name] + SMOOTHING * (size["words"] + 2))
+        loss = -np.log(BIGRAM_SHARE * bigram + (1 - BIGRAM_SHARE) * unigram)
+        begins = ends - chunk.lengths
+        total = np.add.reduceat(np.append(loss, 0.0), np.minimum(begins, len(loss)))[: len(ends)] if len(ends) else np.zeros(0)
+        out.append(np.where(chunk.lengths > 0, total / np.maximum(chunk.lengths, 1), np.nan))
+    return out[0], out[1]
+
+
+def score(docs: DataFrame, target_ids: DataFrame, chunk_bytes: int = CHUNK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score of every document of (doc_id, text).
 
     ``target_ids`` (doc_id) names the documents of the target model; all others are the background.
     Losses are mean nats per word; ``score`` is target minus background, lower for texts that are
     more like the target. Null, empty and all-space texts have no tokens, and null losses and score.
     Without target documents the target model is uniform. Equal texts get equal scores, but for
-    rounding; a null doc_id is never a target; other columns are ignored; no rows give no rows.
+    rounding; a null doc_id is never a target; a text of any length counts whole, within one chunk; other
+    columns are ignored; no rows give no rows. Words and pairs are told apart by 64-bit hashes.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("key"))
-    targets = materialize(target_ids.select(F.col("doc_id").cast("long").alias("_target")).distinct())
-    marked = docs.join(targets, docs["doc_id"] == targets["_target"], "left").select("text", F.col("_target").isNotNull().alias("target"))
-    losses = fit(marked)
-    rows = docs.select("text", "key").mapInArrow(_rows("key"), "key long, before long, word long, n long")
-    # rows of one key have equal texts, so that their common mean is that of each
-    means = [(F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(c) for c in ("target_loss", "background_loss")]
-    means = rows.join(losses, ["before", "word"]).groupBy("key").agg(*means)
-    lengths = docs.mapInArrow(_lengths, "doc_id long, key long, n_tokens long")
-    scored = lengths.join(means, "key", "left")
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *row_key())
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    chunks = max(1, -(-size // chunk_bytes))
+    parts = max(1, -(-size // part_bytes))
+    # a random part of the key, so that repeated rows do not meet in one chunk
+    chunk = F.pmod(F.xxhash64("row_a", F.monotonically_increasing_id()), F.lit(chunks)).cast("int")
+    name = f"sightline_{uuid.uuid4().hex}"
+    dealt = docs.withColumn("chunk", chunk).repartition(chunks, "chunk")
+    dealt.write.format("parquet").option("compression", "zstd").bucketBy(chunks, "chunk").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    dealt = spark.table(name)
+
+    targets = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
+    marked = materialize(dealt.select("chunk", "doc_id").distinct().join(targets, "doc_id", "left_semi"))
+
+    def ask(texts: pa.Table, marks: pa.Table) -> pa.Table:
+        rows = []
+        if len(texts):
+            found = Chunk(texts.column("text"))
+            target = pc.is_in(texts.column("doc_id"), marks.column("doc_id").combine_chunks()).to_numpy()
+            pairs, single, before = found.counts(target)
+            rows = [*_asked(texts.column("chunk")[0].as_py(), parts, 0, found.pairs, pairs), *_asked(texts.column("chunk")[0].as_py(), parts, parts, found.words, single, before)]
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, kinds, strict=True)], names=["part", "chunk", "keys", "counts"])
+
+    asked = dealt.select("chunk", "doc_id", "text").groupBy("chunk").cogroup(marked.groupBy("chunk")).applyInArrow(ask, ASK)
+    answers = materialize(asked.groupBy("part").applyInArrow(_answers, ANSWER))
+    whole = answers.filter(F.col("part") >= parts).groupBy("part").agg(*(F.first(c).alias(c) for c in ("words", "target", "background")))
+    sizes = whole.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("words", "target", "background"))).first().asDict()
+
+    def losses(texts: pa.Table, got: pa.Table) -> pa.Table:
+        target, background, n = [], [], []
+        if len(texts):
+            found = Chunk(texts.column("text"))
+            target, background = _losses(found, got, parts, sizes)
+            n = found.lengths
+        loss = [pa.array(np.asarray(x, float), pa.float64(), from_pandas=True) for x in (target, background)]
+        return pa.table([*(texts.column(c) for c in ("doc_id", "row_a", "row_b")), pa.array(n, pa.int64()), *loss], names=["doc_id", "row_a", "row_b", "n_tokens", "target_loss", "background_loss"])
+
+    scored = dealt.groupBy("chunk").cogroup(answers.select("chunk", "part", "n", "totals").groupBy("chunk")).applyInArrow(losses, SCORES)
     return scored.select("doc_id", "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
