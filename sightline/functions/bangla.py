@@ -12,24 +12,27 @@ from .text import latin_key
 VIRAMA, NUKTA = "্", "়"
 #: Letters with a nukta, in two code points or one, and their sounds.
 WITH_NUKTA = {"ড" + NUKTA: "r", "ঢ" + NUKTA: "r", "য" + NUKTA: "y", "ড়": "r", "ঢ়": "r", "য়": "y"}
-SOUNDS = {letter: line.split()[0] for line in values.SOUNDS.strip().splitlines() for letter in line.split()[1:]}
+#: Vowel signs in two code points, and the one that means the same.
+COMPOSED = {"\u09c7\u09be": "\u09cb", "\u09c7\u09d7": "\u09cc"}
 INVISIBLE = "[​-‍﻿]"
 
 
 def bangla_key(word: ColumnLike) -> Column:
     """Phonetic key of a word with Bengali letters; other scripts in it stay as they are.
 
-    Composed and decomposed letters with a nukta sound alike; other compositions are left alone.
+    Composed and decomposed letters with a nukta, and vowel signs, sound alike.
     """
     s = F.trim(F.regexp_replace(col(word), INVISIBLE, ""))
+    for pair, one in COMPOSED.items():
+        s = F.replace(s, F.lit(pair), F.lit(one))
     for letter, sound in WITH_NUKTA.items():
         s = F.replace(s, F.lit(letter), F.lit(sound))
     for group, sound in ((VIRAMA + "য", ""), (VIRAMA + "র", "r"), ("র" + VIRAMA, "r")):
         s = F.replace(s, F.lit(group), F.lit(sound))
-    for letter, sound in SOUNDS.items():
+    for letter, sound in values.SOUNDS.items():
         if len(sound) > 1:
             s = F.replace(s, F.lit(letter), F.lit(sound))
-    single = {letter: sound for letter, sound in SOUNDS.items() if len(sound) == 1}
+    single = {letter: sound for letter, sound in values.SOUNDS.items() if len(sound) == 1}
     s = F.translate(s, "".join(single), "".join(single.values()))
     s = F.regexp_replace(F.lower(F.regexp_replace(s, "[ঀ-৿]", "")), "[^a-z0-9]", "")
     return F.regexp_replace(s, "(.)\\1+", "$1")

@@ -56,3 +56,43 @@ def stable_hash(*columns: str) -> Column:
 
 def confidence_tone(x: ColumnLike) -> Column:
     return F.when(col(x) >= 0.8, "high").when(col(x) >= 0.6, "mid").otherwise("low")
+
+
+def price_text(delta: ColumnLike) -> Column:
+    """A price movement in words: ৳5 less, ৳3 more."""
+    size = F.regexp_replace(F.format_number(F.abs(col(delta)), 3), r"\.?0+$", "")
+    return F.concat(F.lit("৳"), size, F.when(col(delta) < 0, " less").otherwise(" more"))
+
+
+def geo_point(lat: ColumnLike, lng: ColumnLike) -> Column:
+    """A GeoJSON point: longitude first."""
+    return F.struct(F.lit("Point").alias("type"), F.array(col(lng), col(lat)).alias("coordinates"))
+
+
+# Names of the confidence bands.
+BAND_NAMES = {"0.0": "<50", "0.5": "50-60", "0.6": "60-70", "0.7": "70-80", "0.8": "80-90", "0.9": "90-100"}
+
+
+def band_name(band: ColumnLike) -> Column:
+    """A band of confidences as readers see it; other names stay."""
+    out = col(band)
+    for low, name in BAND_NAMES.items():
+        out = F.when(col(band) == low, name).otherwise(out)
+    return out
+
+
+def mean_confidence(words: ColumnLike, without: float | None = None) -> Column:
+    """Mean of ``conf`` in an array of words or segments; ``without`` (null by default) if there are none."""
+    total = F.aggregate(col(words), F.lit(0.0), lambda a, w: a + w["conf"])
+    return F.coalesce(F.try_divide(total, F.size(col(words))), F.lit(without).cast("double"))
+
+
+def confidence_at(segments: ColumnLike, at: ColumnLike) -> Column:
+    """Confidence of the first of (start, end, conf) that holds a time, both ends included; else the mean."""
+    hit = F.get(F.filter(col(segments), lambda s: (s["start"] <= col(at)) & (col(at) <= s["end"])), F.lit(0))
+    return F.coalesce(hit["conf"], mean_confidence(segments, 0.75))
+
+
+def without_secrets(rows, *secrets: str):
+    """A table without columns that no client may see."""
+    return rows.drop(*(secrets or ("password_hash", "invite_token", "location")))

@@ -13,6 +13,8 @@ EDGE = "।,.;:!?\"'()\\[\\]{}—–\\-"
 LATIN_GROUPS = [("^wh", "hu"), ("ew", "iu"), ("ow", "o"), ("aw", "a"), ("ph", "p"), ("th", "t"), ("kh", "k"), ("gh", "g"), ("ch", "c"), ("sh", "s"), ("zh", "j"), ("ck", "k"), ("ee", "i"), ("oo", "u"), ("aa", "a"), ("ea", "i"), ("ou", "u"), ("c(?=[eiy])", "s"), ("e$", "")]
 # Single Latin letters that sound like another.
 LATIN_FROM, LATIN_TO = "qwvzfc", "kbbjpk"
+# A token that states a pack size.
+PACK_TOKEN = r"(?i)^\d+(ml|l|g|kg|gm|ltr|pcs)?$"
 EARTH_RADIUS_M = 6_371_000.0
 
 
@@ -66,3 +68,56 @@ def haversine_m(lat1: ColumnLike, lng1: ColumnLike, lat2: ColumnLike, lng2: Colu
     la, lo, lb, lp = (F.radians(col(x)) for x in (lat1, lng1, lat2, lng2))
     h = F.pow(F.sin((lb - la) / 2), 2) + F.cos(la) * F.cos(lb) * F.pow(F.sin((lp - lo) / 2), 2)
     return 2 * EARTH_RADIUS_M * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+
+
+def proximity(distance_m: ColumnLike, radius_m: float) -> Column:
+    """1 at the place, 0 at the radius and beyond; 0 without a radius."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - col(distance_m) / radius_m)) if radius_m > 0 else F.lit(0.0)
+
+
+def strip_edges(word: ColumnLike) -> Column:
+    """A word without punctuation at its ends."""
+    return F.regexp_replace(F.regexp_replace(col(word), f"^[{EDGE}]+", ""), f"[{EDGE}]+$", "")
+
+
+def span_of(found: ColumnLike, first: ColumnLike, last: ColumnLike) -> Column:
+    """(s, e) of a run of tokens; null if either place is out of range."""
+    a, b = F.get(col(found), col(first)), F.get(col(found), col(last))
+    return F.when(a.isNotNull() & b.isNotNull(), F.struct(a["s"].alias("s"), b["e"].alias("e")))
+
+
+def transcript_words(text: ColumnLike, confidence: float = 0.9) -> Column:
+    """array of (w, s, e, conf): the tokens of a text, all with one confidence."""
+    return F.transform(tokens(text), lambda t: F.struct(t["text"].alias("w"), t["s"].alias("s"), t["e"].alias("e"), F.lit(confidence).alias("conf")))
+
+
+def attach_spans(text: ColumnLike, words: ColumnLike) -> Column:
+    """array of (w, s, e, conf): where each of (w, conf) stands in ``text``.
+
+    A word is looked for behind the one before, then from the start; one that is nowhere is an empty span
+    where the search stood. Empty words go.
+    """
+    text = col(text)
+    kept = F.filter(F.transform(col(words), lambda x: F.struct(F.trim(x["w"]).alias("w"), x["conf"].alias("conf"))), lambda x: x["w"] != "")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<w:string,s:int,e:int,conf:double>>").alias("found"))
+
+    def place(state: Column, x: Column) -> Column:
+        ahead, anywhere = F.call_function("locate", x["w"], text, state["at"] + 1), F.call_function("locate", x["w"], text, F.lit(1))
+        s = F.when(ahead > 0, ahead - 1).when(anywhere > 0, anywhere - 1).otherwise(state["at"]).cast("int")
+        e = F.when((ahead > 0) | (anywhere > 0), s + F.length(x["w"])).otherwise(s).cast("int")
+        return F.struct(e.alias("at"), F.array_append(state["found"], F.struct(x["w"].alias("w"), s.alias("s"), e.alias("e"), x["conf"].cast("double").alias("conf"))).alias("found"))
+
+    return F.aggregate(kept, start, place)["found"]
+
+
+def segment_confidence(log_probability: ColumnLike, no_speech: ColumnLike, compression: ColumnLike) -> Column:
+    """Confidence of a recognised segment: 0.75 if unknown, halved where the text compresses suspiciously well; 4 places."""
+    sure = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.nanvl(F.exp(col(log_probability)), F.lit(0.0))))
+    speech = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.coalesce(col(no_speech), F.lit(0.0))))
+    packed = F.when(col(compression) > 2.4, 0.5).otherwise(1.0)
+    return F.floor(F.when(col(log_probability).isNull(), 0.75).otherwise(sure * speech * packed) * 10000 + 0.5) / 10000
+
+
+def phonetic_keys(text: ColumnLike, key) -> Column:
+    """Keys of the words of a phrase, by ``key``; those without one go."""
+    return F.filter(F.transform(F.split(col(text), r"\s+"), key), lambda k: k != "")

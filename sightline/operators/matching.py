@@ -25,6 +25,7 @@ def within_radius(points: DataFrame, outlets: DataFrame, radius_m: float) -> Dat
 
     An equi-join on grid cells: an outlet stands in one cell, a point looks in nine, and cells are at
     least a radius wide everywhere but near the poles; the exact distance decides. ``distance_m``.
+    Outlets across the 180th meridian are not found.
     """
     step = radius_m / METRES_PER_DEGREE
     row = lambda c: F.floor(F.col(c) / step)
@@ -49,11 +50,17 @@ def ranked(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> Dat
 
 def margin(rows: DataFrame, keys: list[str], score: str, *ties: str) -> DataFrame:
     """Each key's best row and by how much it leads the second (which counts as 0 if there is none)."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(score), *ties)
-    led = rows.withColumns({"rank": F.row_number().over(w), "margin": F.col(score) - F.coalesce(F.lead(score).over(w), F.lit(0.0))})
+    few = ranked(rows, keys, [F.desc(score), *(F.col(t) for t in ties)], 2)  # cut before the shuffle
+    led = few.withColumn("margin", F.col(score) - F.coalesce(F.lead(score).over(Window.partitionBy(*keys).orderBy("rank")), F.lit(0.0)))
     return led.filter("rank = 1").drop("rank")
 
 
+def with_names(rows: DataFrame, directory: DataFrame, key: str, name: str, shown: str) -> DataFrame:
+    """Rows with what a key is called, the key itself where the tenant's directory lacks it, and — for none."""
+    names = directory.select("company_id", key, F.col(name).alias("_name"))
+    return rows.join(names, ["company_id", key], "left").withColumn(shown, F.coalesce("_name", key, F.lit("—"))).drop("_name")
+
+
 def token_ngrams(tokens: Column, longest: int) -> Column:
     """array of (at, words): all runs of 1 to ``longest`` tokens, by start, then length."""
     last = F.size(tokens)

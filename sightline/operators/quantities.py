@@ -1,34 +1,33 @@
-"""Quantities in Bengali speech: number words are classified by joins, runs of them are folded.
+"""Quantities in Bengali speech: number words are classified by joins, runs of them are valued by windows.
 
 Distinct words are classified once: digits, compounds, listed spellings by equality, and the
-rest by the nearest phonetic key of a number word. A document's classified tokens are then
-folded in order by a small function.
+rest by the nearest phonetic key of a number word. Windows then cut a document's tokens into runs
+of number words, find what each prefix adds to, and where terms begin; a run's value is the sum of
+its terms, each a number times its multipliers.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterable, Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import bangla_values as values
 from ..functions.bangla import normal_word, phonetic_key, western_digits
+from ..functions.compat import half_up
 from ..functions.text import ratio, tokens
 
 FUZZY_THRESHOLD, VARIANT_CONFIDENCE, FUZZY_CONFIDENCE = 0.85, 0.95, 0.9
 ENTRY = "kind string, number double, unit string, word string"
-RESULT = "s int, e int, value double, unit string, basis string, confidence double"
+#: Scales from which what follows is added and no longer multiplied.
+LARGE_SCALE = 1000
 
 
 def _lexicon(spark: SparkSession) -> DataFrame:
     """form, key, ord and entry of each spelling; of equal spellings the first counts. Some 170 rows."""
     rows = []
-    for line in values.NUMBER_WORDS.strip().splitlines():
-        kind, number, unit, word, others = (x.strip() for x in line.split("|"))
-        rows += [(form, len(rows) + i, form == word, kind, float(number), unit or None, word) for i, form in enumerate([word, *others.split()])]
+    for kind, number, unit, word, others in values.NUMBER_WORDS:
+        rows += [(form, len(rows) + i, form == word, kind, float(number), unit, word) for i, form in enumerate([word, *others])]
     table = spark.createDataFrame(rows, f"form string, ord int, canonical boolean, {ENTRY}").withColumn("form", normal_word("form"))
     table = table.withColumn("canonical", F.col("form") == normal_word("word"))
     first = table.groupBy("form").agg(F.min_by(F.struct("ord", "canonical", "kind", "number", "unit", "word"), "ord").alias("x")).select("form", "x.*")
@@ -39,8 +38,8 @@ def classify(words: DataFrame) -> DataFrame:
     """token -> kind, number, unit, word, confidence, basis, for each distinct token that counts in a quantity."""
     spark = words.sparkSession
     lexicon = _lexicon(spark)
-    compounds = spark.createDataFrame([tuple(x.strip() for x in line.split("|")) for line in values.COMPOUNDS.strip().splitlines()], "form string, number string, basis string")
-    compounds = compounds.select(normal_word("form").alias("form"), F.col("number").cast("double").alias("number"), "basis")
+    compounds = spark.createDataFrame([(form, float(number), basis) for form, number, basis in values.COMPOUNDS], "form string, number double, basis string")
+    compounds = compounds.select(normal_word("form").alias("form"), "number", "basis")
     rows = words.select("token").distinct().withColumn("form", normal_word("token")).withColumn("digits", western_digits("form"))
     columns = ["token", "kind", "number", "unit", "word", "confidence", "basis"]
     none = lambda kind="string": F.lit(None).cast(kind)
@@ -60,73 +59,71 @@ def classify(words: DataFrame) -> DataFrame:
     return literal.unionByName(joined).unionByName(exact).unionByName(near)
 
 
+def shown(x: Column) -> Column:
+    """A number without a needless decimal point or exponent."""
+    return F.regexp_replace(x.cast("decimal(38,6)").cast("string"), "\\.?0+$", "")
+
+
+def _runs(named: DataFrame, key: str) -> DataFrame:
+    """The tokens of each run of number words, with ``run`` and, at the last, ``after``: the unit that follows.
+
+    A run is a stretch of number words from its first number or prefix on. A prefix that no number
+    follows spoils what stands before it, so such a stretch counts only from behind it.
+    """
+    text = Window.partitionBy(key).orderBy("place")
+    is_number = F.col("kind").isin("cardinal", "fraction", "prefix", "scale", "count")
+    gaps = F.sum(F.when(is_number, 0).otherwise(1)).over(text)
+    following = F.struct("kind", "unit", "e", "confidence")
+    rows = named.select("*", F.coalesce(is_number, F.lit(False)).alias("is_number"), F.coalesce(gaps, F.lit(0)).alias("run"), F.lead(following).over(text).alias("after"))
+    rows = rows.filter("is_number")
+    stretch = Window.partitionBy(key, "run")
+    where = lambda *kinds: F.max(F.when(F.col("kind").isin(*kinds), F.col("place"))).over(stretch)
+    spoilt = F.coalesce(where("prefix") > F.coalesce(where("cardinal"), F.lit(-1)), F.lit(False))
+    rows = rows.withColumn("cut", F.when(spoilt, where("prefix")).otherwise(-1)).filter("place > cut")
+    first = F.min(F.when(F.col("kind").isin("cardinal", "fraction", "prefix"), F.col("place"))).over(stretch)
+    return rows.withColumn("first", first).filter("place >= first")
+
+
 def quantities(docs: DataFrame) -> DataFrame:
     """doc_id and [s, e), value, unit, basis, confidence of each quantity in (doc_id, text).
 
-    Null texts and texts without a number have none.
+    Null texts and texts without a number have none. Of rows that share a doc_id each counts by itself.
     """
-    found = docs.select("doc_id", F.posexplode(tokens("text")).alias("place", "t")).select("doc_id", "place", "t.s", "t.e", F.col("t.text").alias("token"))
-    named = found.join(classify(found), "token", "left")
-    parts = ["place", "s", "e", "kind", "number", "unit", "word", "confidence", "basis"]
-    runs = named.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*parts))).alias("tokens"))
-
-    def fold(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(doc_id, *q) for doc_id, some in zip(batch.doc_id, batch.tokens, strict=True) for q in read(list(some))]
-            yield pd.DataFrame(rows, columns=["doc_id", "s", "e", "value", "unit", "basis", "confidence"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return runs.mapInPandas(fold, f"doc_id {kind}, {RESULT}")
-
-
-def _shown(x: float) -> str:
-    return str(int(x)) if x == int(x) else repr(x)
-
-
-def read(found: list[dict]) -> Iterator[tuple]:
-    """Quantities of one text's tokens in order; a token that is no number word has a null kind."""
-    k = 0
-    while k < len(found):
-        end = k
-        if found[k]["kind"] in ("cardinal", "fraction", "prefix"):
-            while end < len(found) and found[end]["kind"] not in (None, "unit"):
-                end += 1
-            if quantity := _evaluate(found[k:end]):
-                value, basis = quantity
-                unit = None
-                if end < len(found) and found[end]["kind"] == "unit":
-                    unit, end = found[end]["unit"], end + 1
-                    basis = [*basis, unit]
-                used = found[k:end]
-                if unit is None and any(t["kind"] == "count" for t in used):
-                    unit = "piece"
-                confidence = min(t["confidence"] for t in used)
-                yield used[0]["s"], used[-1]["e"], math.floor(value * 1e6 + 0.5) / 1e6, unit, " ".join(basis), math.floor(confidence * 1e4 + 0.5) / 1e4
-                k = end
-                continue
-        k += 1
-
-
-def _evaluate(run: list[dict]) -> tuple[float, list[str]] | None:
-    """The value of a run of number words, and how it came about; None if a prefix is left over."""
-    done, group, prefix, basis = 0.0, 0.0, None, []
-    for t in run:
-        kind, number, word = t["kind"], t["number"], t["word"]
-        if kind == "prefix":
-            prefix = t
-        elif kind in ("scale", "count"):
-            group = (group or 1) * number
-            basis.append(f"× {_shown(number)} ({word})")
-            if kind == "scale" and number >= 1000:
-                done, group = done + group, 0.0
-        else:
-            if kind == "cardinal" and prefix is not None:
-                sign = "+" if prefix["number"] >= 0 else "−"
-                basis.append(f"{_shown(number)} {sign} {_shown(abs(prefix['number']))} ({prefix['word']} {word})")
-                number, prefix = number + prefix["number"], None
-            elif t["basis"] is not None:  # '' for digits
-                basis.append(t["basis"] or _shown(number))
-            else:
-                basis.append(f"{_shown(number)} ({word})")
-            done, group = done + group, number
-    return None if prefix is not None or not basis else (done + group, basis)
+    docs = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    found = docs.select("doc_id", "row", F.posexplode(tokens("text")).alias("place", "t")).select("doc_id", "row", "place", "t.s", "t.e", F.col("t.text").alias("token"))
+    runs = _runs(found.join(classify(found), "token", "left"), "row")
+
+    # each prefix belongs to the next cardinal: the last one since the cardinal before
+    in_run = Window.partitionBy("row", "run").orderBy("place")
+    numbers = F.coalesce(F.sum(F.when(F.col("kind") == "cardinal", 1).otherwise(0)).over(in_run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.withColumn("span", numbers)
+    prefix = F.max(F.when(F.col("kind") == "prefix", F.struct("place", "number", "word"))).over(Window.partitionBy("row", "run", "span"))
+    runs = runs.withColumn("prefix", F.when(F.col("kind") == "cardinal", prefix))
+    multiplies = F.col("kind").isin("scale", "count")
+    known = F.last(F.when(F.col("kind") != "prefix", F.struct("kind", "number")), ignorenulls=True)
+    before = known.over(in_run.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce(~multiplies | ((before["kind"] == "scale") & (before["number"] >= LARGE_SCALE)), F.lit(False))
+    base = F.col("number") + F.coalesce(F.col("prefix.number"), F.lit(0.0))
+    sign = F.when(F.col("prefix.number") >= 0, "+").otherwise("−")
+    added = F.concat(shown(F.col("number")), F.lit(" "), sign, F.lit(" "), shown(F.abs("prefix.number")), F.lit(" ("), F.col("prefix.word"), F.lit(" "), F.col("word"), F.lit(")"))
+    plain = F.when(F.col("basis").isNull(), F.concat(shown(F.col("number")), F.lit(" ("), F.col("word"), F.lit(")"))).when(F.col("basis") == "", shown(F.col("number"))).otherwise(F.col("basis"))
+    told = F.when(multiplies, F.concat(F.lit("× "), shown(F.col("number")), F.lit(" ("), F.col("word"), F.lit(")"))).when(F.col("prefix").isNotNull(), added).otherwise(plain)
+    runs = runs.withColumns({"opens": opens, "base": base, "told": told})
+    part = F.when(F.col("kind") != "prefix", F.struct("place", "opens", F.col("base").alias("number"), "told"))
+    gathered = runs.groupBy("doc_id", "row", "run").agg(
+        F.min("s").alias("s"),
+        F.max("e").alias("e"),
+        F.min("confidence").alias("confidence"),
+        F.max_by("after", "place").alias("after"),
+        F.max(F.col("kind") == "count").alias("counted"),
+        F.array_sort(F.collect_list(part)).alias("parts"),
+    )
+    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("term"))
+    value = F.aggregate("parts", zero, lambda a, x: F.struct((a["sum"] + F.when(x["opens"], a["term"]).otherwise(0.0)).alias("sum"), (F.when(x["opens"], x["number"]).otherwise(a["term"] * x["number"])).alias("term")), lambda a: a["sum"] + a["term"])
+
+    has_unit = F.coalesce(F.col("after.kind") == "unit", F.lit(False))
+    unit = F.when(has_unit, F.col("after.unit")).when(F.col("counted"), "piece")
+    basis = F.concat_ws(" ", F.transform("parts", lambda x: x["told"]), F.when(has_unit, F.col("after.unit")))
+    confidence = F.when(has_unit, F.least("confidence", "after.confidence")).otherwise(F.col("confidence"))
+    end = F.when(has_unit, F.col("after.e")).otherwise(F.col("e"))
+    return gathered.select("doc_id", "s", end.alias("e"), half_up(value, 6).alias("value"), unit.alias("unit"), basis.alias("basis"), half_up(confidence, 4).alias("confidence"))

@@ -56,3 +56,31 @@ def fold_prompts(events: DataFrame) -> DataFrame:
     status = F.when(answered, "answered").when(cancelled, "cancelled").when(timed, "auto_resolved").otherwise("pending")
     late = answered & timed & (F.col("answer.at") > F.col("timed_out"))
     return found.select("prompt_id", status.alias("status"), F.when(answered, F.col("answer.value")).alias("value"), F.coalesce(late, F.lit(False)).alias("late"))
+
+
+def patched(rows: DataFrame, patches: DataFrame, key: str, fields: list[str], at: str = "updated_at") -> DataFrame:
+    """Rows with the last patch of each field put in: patches are (key, field, value text, at); ``updated_at`` is the last patch's time."""
+    last = patches.groupBy(key, "field").agg(F.max_by("value", "at").alias("value"), F.max("at").alias("at"))
+    by_key = last.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("_patch"), F.max("at").alias("_at"))  # one entry a field
+    out = rows.join(by_key, key, "left")
+    set_ = lambda c: F.when(F.map_contains_key(F.coalesce("_patch", F.create_map().cast("map<string,string>")), c), F.col("_patch")[c].cast(rows.schema[c].dataType)).otherwise(F.col(c))
+    return out.select(*((set_(c) if c in fields else F.coalesce("_at", c) if c == at else F.col(c)).alias(c) for c in rows.columns))
+
+
+def patch_reps(reps: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(all reps, the patched ones after it): patches are (company_id, rep_id, territory_id, brand_portfolio, active), null for unchanged.
+
+    A patch of another tenant's rep changes nothing. Reps must have one patch each.
+    """
+    keys, fields = ["company_id", "rep_id"], ["territory_id", "brand_portfolio", "active"]
+    given = patches.select(*keys, *(F.col(c).alias(f"_{c}") for c in fields), F.lit(True).alias("_hit"))
+    both = reps.join(given, keys, "left")
+    rows = both.select(*((F.coalesce(f"_{c}", c) if c in fields else F.col(c)).alias(c) for c in reps.columns), "_hit")
+    return rows.drop("_hit"), rows.filter("_hit").drop("_hit")
+
+
+def one_row(rows: DataFrame, **key: object) -> DataFrame:
+    """The row with these values, or none: a point lookup."""
+    for c, v in key.items():
+        rows = rows.filter(F.col(c) == F.lit(v))
+    return rows.limit(1)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,25 +9,13 @@ from pyspark.sql.window import Window
 from ..functions import bangla, compat, text
 from ..operators import analytics, evaluation, matching, quantities, state
 from ..sources import bridge
+from .registry import QUERIES, SQL  # noqa: F401
+from .registry import register as _register
+from .registry import values as _values
 
 COMPANY, START, END, AS_OF = "co1", "2024-01-05 00:00:00", "2024-01-25 23:59:59", "2024-01-28"
 NOWHERE = "no-such-company"
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def _register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
 def _observations(spark: SparkSession, sf_dir: str, company: str = COMPANY) -> DataFrame:
     return analytics.scoped(bridge.table(spark, sf_dir, "observations"), company, START, END)
 
@@ -105,24 +91,22 @@ RANGES = [("2024-01-10", "2024-01-20"), ("not a time", "2024-01-20"), (None, Non
 def _default_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both ends fall back together if one of them cannot be read."""
     rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(RANGES)], "i int, x string, y string")
-    a, b, now = F.try_to_timestamp("x"), F.try_to_timestamp("y"), F.lit(AS_OF).cast("timestamp")
-    ok = a.isNotNull() & b.isNotNull()
-    return rows.select("i", F.when(ok, a).otherwise(now - F.expr("interval 30 days")).alias("start_at"), F.when(ok, b).otherwise(now).alias("end_at"))
+    return rows.select("i", *analytics.window_or_default("x", "y", F.lit(AS_OF).cast("timestamp")))
 
 
 @_register("o2_recent_feed", OBS + "select observation_id, recorded_at from scope order by recorded_at desc, observation_id limit 100")
 def _recent_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _observations(spark, sf_dir).orderBy(F.desc("recorded_at"), "observation_id").limit(100).select("observation_id", "recorded_at")
+    return analytics.feed(_observations(spark, sf_dir)).select("observation_id", "recorded_at")
 
 
 @_register("o3_review_queue", OBS + "select observation_id, recorded_at from scope where status = 'needs_clarification' order by recorded_at desc, observation_id limit 50")
 def _review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _observations(spark, sf_dir).filter("status = 'needs_clarification'").orderBy(F.desc("recorded_at"), "observation_id").limit(50).select("observation_id", "recorded_at")
+    return analytics.feed(_observations(spark, sf_dir), 50, "needs_clarification").select("observation_id", "recorded_at")
 
 
 @_register("o4_pending_prompts", OBS + "select observation_id, recorded_at from scope where status = 'needs_clarification' order by recorded_at, observation_id limit 20")
 def _pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _observations(spark, sf_dir).filter("status = 'needs_clarification'").orderBy("recorded_at", "observation_id").limit(20).select("observation_id", "recorded_at")
+    return analytics.pending_prompts(_observations(spark, sf_dir).filter("status = 'needs_clarification'"), "recorded_at", "observation_id").select("observation_id", "recorded_at")
 
 
 @_register("p3_map_mean", OBS + f"select observation_id, round({MEAN}, 9) as mean from scope")
@@ -132,9 +116,8 @@ def _map_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("p7_directory_join", bridge.ctes("observations", "skus") + "select o.observation_id, coalesce(s.name || ' ' || s.pack, o.sku_id, '—') as display from observations o left join skus s on o.sku_id = s.sku_id and o.company_id = s.company_id")
 def _directory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    skus = bridge.table(spark, sf_dir, "skus").select("company_id", "sku_id", F.concat_ws(" ", "name", "pack").alias("shown"))
-    joined = bridge.table(spark, sf_dir, "observations").join(skus, ["company_id", "sku_id"], "left")
-    return joined.select("observation_id", F.coalesce("shown", "sku_id", F.lit("—")).alias("display"))
+    skus = bridge.table(spark, sf_dir, "skus").withColumn("shown", F.concat_ws(" ", "name", "pack"))
+    return matching.with_names(bridge.table(spark, sf_dir, "observations"), skus, "sku_id", "shown", "display").select("observation_id", "display")
 
 
 @_register("p9_confidence_tone", OBS + f"select observation_id, case when {MEAN} >= 0.8 then 'high' when {MEAN} >= 0.6 then 'mid' else 'low' end as tone from scope")
@@ -142,11 +125,11 @@ def _tone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _observations(spark, sf_dir).select("observation_id", compat.confidence_tone(compat.map_mean("field_confidence")).alias("tone"))
 
 
-REPS = "reps as (select concat('REP-', cast(c_custkey as string)) as rep_id, c_mktsegment as segment from customer where c_custkey < 41)"
+REPS = "reps as (select concat('REP-', cast(c_custkey as string)) as rep_id, c_mktsegment as segment from customer)"
 
 
 def _reps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey < 41")
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
     return customers.selectExpr("concat('REP-', cast(c_custkey as string)) as rep_id", "c_mktsegment as segment")
 
 
@@ -215,13 +198,13 @@ def _ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("p_partkey", F.col("run.at").alias("at"), F.size("run.words").alias("n"), F.array_join("run.words", " ").alias("words"))
 
 
-@_register("w5_greedy_spans", """with recursive spans as (select event_id // 8 as g, event_id as id, (event_id * 7 % 20)::int as s, (event_id * 7 % 20 + 1 + event_id % 6)::int as e, (event_id * 37 % 100)::double as score from events where event_id < 4000),
+@_register("w5_greedy_spans", """with recursive spans as (select event_id // 8 as g, event_id as id, (event_id * 7 % 20)::int as s, (event_id * 7 % 20 + 1 + event_id % 6)::int as e, (event_id * 37 % 100)::double as score from events ),
   ordered as (select *, row_number() over (partition by g order by score desc, e - s desc, id) as r from spans),
   step as (select g, 0::bigint as r, []::struct(s int, e int)[] as kept from ordered where r = 1
     union all select o.g, o.r, case when len(list_filter(k.kept, lambda x: x.s < o.e and o.s < x.e)) > 0 then k.kept else list_append(k.kept, {'s': o.s, 'e': o.e}) end from step k join ordered o on o.g = k.g and o.r = k.r + 1)
   select g, x.s as s, x.e as e from (select g, unnest(arg_max(kept, r)) as x from step group by g)""")
 def _greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id < 4000")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
     rows = rows.selectExpr("event_id div 8 as g", "event_id as id", "cast(event_id * 7 % 20 as int) as s", "cast(event_id * 7 % 20 + 1 + event_id % 6 as int) as e", "cast(event_id * 37 % 100 as double) as score")
     spans = rows.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("id", "s", "e", "score"))).alias("spans"))
     plain = F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["score"].alias("score")))
@@ -317,28 +300,29 @@ def _parse_bool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", compat.parse_bool(F.expr(WORD)).alias("flag"))
 
 
-INSERTS = "select user_id as k, event_id as v, ts as moment from events where event_id % 2 = 1"
-EXISTING = "select user_id as k, event_id as v, ts as moment from events where event_id % 2 = 0 and user_id % 2 = 0"
+#: All events are there, and all come in under other keys, half of which are new.
+EXISTING = "select user_id as k, event_id as v, ts as moment from events"
+INSERTS = "select user_id * 2 as k, event_id as v, ts as moment from events"
 
 
-def _kv(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").filter(where).selectExpr("user_id as k", "event_id as v", "ts as at")
+def _kv(spark: SparkSession, sf_dir: str, key: str = "user_id") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(f"{key} as k", "event_id as v", "ts as at")
 
 
 @_register("k1_insert_dedupe", f"with e as ({EXISTING}), i as ({INSERTS}) select k, v from e union all select k, v from (select *, row_number() over (partition by k order by moment, v) as r from i where k not in (select k from e)) where r = 1")
 def _insert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.insert_new(_kv(spark, sf_dir, "event_id % 2 = 0 and user_id % 2 = 0"), _kv(spark, sf_dir, "event_id % 2 = 1"), ["k"], ["at", "v"]).select("k", "v")
+    return state.insert_new(_kv(spark, sf_dir), _kv(spark, sf_dir, "user_id * 2"), ["k"], ["at", "v"]).select("k", "v")
 
 
-@_register("k2_replace_for_key", f"with e as ({EXISTING}), i as ({INSERTS} and user_id % 4 = 0) select k, v from e where k not in (select k from i) union all select k, v from i")
+@_register("k2_replace_for_key", f"with e as ({EXISTING}), i as ({INSERTS}) select k, v from e where k not in (select k from i) union all select k, v from i")
 def _replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    incoming = _kv(spark, sf_dir, "event_id % 2 = 1 and user_id % 4 = 0")
-    return state.replace_for_keys(_kv(spark, sf_dir, "event_id % 2 = 0 and user_id % 2 = 0"), incoming, incoming, "k").select("k", "v")
+    incoming = _kv(spark, sf_dir, "user_id * 2")
+    return state.replace_for_keys(_kv(spark, sf_dir), incoming, incoming, "k").select("k", "v")
 
 
 @_register("k3_upsert_latest", "select k, v from (select user_id as k, event_id as v, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) where r = 1")
 def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.upsert_latest(_kv(spark, sf_dir, "true"), ["k"], ["at", "v"]).select("k", "v")
+    return state.upsert_latest(_kv(spark, sf_dir), ["k"], ["at", "v"]).select("k", "v")
 
 
 @_register("g3_clip_state", bridge.ctes("observations") + "select clip_id, arg_max(coalesce(status, 'none'), (recorded_at, observation_id)) as status from observations group by 1")
@@ -437,11 +421,6 @@ PHRASES = [
 SPOKEN = [("হুইল", "Wheel"), ("প্রাণ", "PRAN"), ("প্রান", "PRAN"), ("এক্সেল", "Excel"), ("হারপিক", "Harpic"), ("নিউ", "New"), ("ম্যাঙ্গো", "mango")]
 
 
-def _values(rows: list[tuple]) -> str:
-    shown = lambda v: "null" if v is None else f"'{v}'" if isinstance(v, str) else repr(v)
-    return ", ".join("(" + ", ".join(map(shown, r)) + ")" for r in rows)
-
-
 @_register("fixture_t2_quantities", "select i::bigint as doc_id, n::bigint as n, v::double as value, u::varchar as unit from (values " + _values([(i, k + 1, v, u) for i, (_, found) in enumerate(PHRASES) for k, (v, u) in enumerate(found)]) + ") t(i, n, v, u)")
 def _quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quantities.quantities(spark.createDataFrame([(i, p) for i, (p, _) in enumerate(PHRASES)], "doc_id long, text string"))
