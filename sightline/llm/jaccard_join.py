@@ -384,8 +384,8 @@ def _forest(table: pa.Table, width: int, percent: int) -> pa.Table:
 
 
 def mark_bits(n: int) -> int:
-    """Bits of the marks of a set of n, a power of two: 16 for each member up to 8,192, then two at least."""
-    return max(64, min(8192, 1 << (16 * n - 1).bit_length()), 1 << (2 * n - 1).bit_length())
+    """Bits of the marks of a set of n, a power of two: 16 for each member up to 4,096, then two at least."""
+    return max(64, min(4096, 1 << (16 * n - 1).bit_length()), 1 << (2 * n - 1).bit_length())
 
 
 def marks(found: np.ndarray, bits: int) -> np.ndarray:
