@@ -30,7 +30,7 @@ BIGRAM_SHARE, SMOOTHING = 0.6, 0.5
 #: What stands before the first word of a text.
 START = U(0x5354415254)
 #: Bytes of text of a chunk, and of requests of a part: they set memory and files, not results.
-CHUNK_BYTES = PART_BYTES = 16 << 20
+CHUNK_BYTES, PART_BYTES = 6 << 20, 8 << 20
 #: Sets pairs apart from words.
 PAIR_SALT = U(0x9E3779B97F4A7C15)
 
