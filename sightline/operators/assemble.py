@@ -103,32 +103,36 @@ def margin_factor(margin: Column, saturates_at: float = 0.3, floor: float = 0.55
     return floor + (1 - floor) * F.least(F.greatest(margin, F.lit(0.0)) / saturates_at, F.lit(1.0))
 
 
-def field_confidences(observation: Column, clip: Column, model_only: float = 0.9, saturates_at: float = 0.3, floor: float = 0.55) -> dict[str, Column]:
-    """Confidence of each field of an observation, by its column name, not yet rounded; null for null fields."""
-    outlet, skus, quantities = clip["outlet"], clip["skus"], clip["quantities"]
-    heard = lambda s, e: overlap_confidence(clip["words"], s, e)
-    factor = lambda m: margin_factor(m, saturates_at, floor)
-    top = F.get(outlet["candidates"], F.lit(0))
-    inferred = F.when(outlet["s"].isNull(), top["score"]).otherwise(heard(outlet["s"], outlet["e"]))
-    place = F.when(outlet["declared"], 1.0).when(F.size(outlet["candidates"]) == 0, 0.0).otherwise(clamp01(inferred * factor(outlet["margin"])))
-
-    def product(value: Column) -> Column:
-        mention = F.get(F.filter(skus, lambda a: F.exists(a["candidates"], lambda c: c["sku_id"] == value)), F.lit(0))
-        chosen = F.get(F.filter(mention["candidates"], lambda c: c["sku_id"] == value), F.lit(0))
-        asr = heard(mention["s"], mention["e"])
-        rank = F.when(F.get(mention["candidates"], F.lit(0))["sku_id"] == value, 1.0).otherwise(0.85)
-        by_score = clamp01(asr * factor(mention["margin"]) * chosen["score"] * rank)
-        return F.when(mention.isNull(), 0.0).when(chosen["via_alias"].isNotNull(), clamp01(asr * 0.95 + 0.05)).otherwise(by_score)
-
-    def number(value: Column) -> Column:
-        stated = F.get(F.filter(quantities, lambda q: F.abs(q["value"] - F.abs(value)) < QUANTITY_EPSILON), F.lit(0))
-        return F.when(stated.isNull(), 0.0).otherwise(clamp01(heard(stated["s"], stated["e"]) * stated["confidence"]))
-
-    found = {c: F.lit(model_only) for c in FIELDS}
-    found |= {"outlet_id": place, "sku_id": product(observation["sku_id"]), "competitor_brand": product(observation["competitor_brand"])}
-    found |= {"quantity": number(observation["quantity"]), "price_delta": number(observation["price_delta"])}
-    found["unit"] = F.when(observation["quantity"].isNull(), model_only).otherwise(found["quantity"])
-    return {c: F.when(observation[c].isNotNull(), x) for c, x in found.items()}
+def with_confidences(rows: DataFrame, model_only: float = 0.9, saturates_at: float = 0.3, floor: float = 0.55) -> DataFrame:
+    """Rows of (observation, words, outlet, skus, quantities) with ``sure``: each field's confidence, not yet rounded, null for null fields.
+
+    What several fields need is a column of its own, so that it is worked out once.
+    """
+    o, factor = F.col("observation"), lambda m: margin_factor(m, saturates_at, floor)
+    mention = lambda value: F.get(F.filter("skus", lambda a: F.exists(a["candidates"], lambda c: c["sku_id"] == value)), F.lit(0))
+    stated = lambda value: F.get(F.filter("quantities", lambda q: F.abs(q["value"] - F.abs(value)) < QUANTITY_EPSILON), F.lit(0))
+    span = lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))
+    rows = rows.withColumns({"_own": mention(o["sku_id"]), "_rival": mention(o["competitor_brand"]), "_amount": stated(o["quantity"]), "_price": stated(o["price_delta"]), "_shop": span(F.col("outlet"))})
+    chosen = lambda m, value: F.get(F.filter(F.col(m)["candidates"], lambda c: c["sku_id"] == value), F.lit(0))
+    rows = rows.withColumns({"_own_pick": chosen("_own", o["sku_id"]), "_rival_pick": chosen("_rival", o["competitor_brand"])})
+    rows = rows.withColumns({f"{m}_heard": overlap_confidence(F.col("words"), F.col(m)["s"], F.col(m)["e"]) for m in ("_own", "_rival", "_amount", "_price", "_shop")})
+
+    def product(m: str, value: Column) -> Column:
+        asr, pick = F.col(f"{m}_heard"), F.col(f"{m}_pick")
+        rank = F.when(F.get(F.col(m)["candidates"], F.lit(0))["sku_id"] == value, 1.0).otherwise(0.85)
+        by_score = clamp01(asr * factor(F.col(m)["margin"]) * pick["score"] * rank)
+        return F.when(F.col(m).isNull(), 0.0).when(pick["via_alias"].isNotNull(), clamp01(asr * 0.95 + 0.05)).otherwise(by_score)
+
+    def number(m: str) -> Column:
+        return F.when(F.col(m).isNull(), 0.0).otherwise(clamp01(F.col(f"{m}_heard") * F.col(m)["confidence"]))
+
+    top = F.get("outlet.candidates", F.lit(0))
+    inferred = F.when(F.col("outlet.s").isNull(), top["score"]).otherwise(F.col("_shop_heard"))
+    place = F.when(F.col("outlet.declared"), 1.0).when(F.size("outlet.candidates") == 0, 0.0).otherwise(clamp01(inferred * factor(F.col("outlet.margin"))))
+    rows = rows.withColumns({"_outlet_id": place, "_sku_id": product("_own", o["sku_id"]), "_competitor_brand": product("_rival", o["competitor_brand"]), "_quantity": number("_amount"), "_price_delta": number("_price")})
+    found = {c: F.lit(model_only) for c in FIELDS} | {c: F.col(f"_{c}") for c in ("outlet_id", "sku_id", "competitor_brand", "quantity", "price_delta")}
+    found["unit"] = F.when(o["quantity"].isNull(), model_only).otherwise(F.col("_quantity"))
+    return rows.withColumn("sure", F.struct(*(F.when(o[c].isNotNull(), x).alias(c) for c, x in found.items())))
 
 
 def scored(observations: DataFrame, clips: DataFrame, threshold: float = 0.8, critical: tuple[str, ...] = CRITICAL, **options) -> DataFrame:
@@ -137,12 +141,11 @@ def scored(observations: DataFrame, clips: DataFrame, threshold: float = 0.8, cr
     Null fields have no confidence. A critical field below ``threshold``, before rounding, is flagged, and
     a row with flags needs clarification; nothing is dropped.
     """
-    clip = F.struct("words", "outlet", "skus", "quantities").alias("clip")
-    rows = observations.join(clips.select("clip_id", clip), "clip_id")
+    rows = observations.join(clips.select("clip_id", "words", "outlet", "skus", "quantities"), "clip_id")
     watched = {field_name(c) for c in critical}
-    sure = field_confidences(F.col("observation"), F.col("clip"), **options)
-    entry = F.array_compact(F.array(*(F.when(x.isNotNull(), F.struct(F.lit(FIELDS[c]).alias("key"), x.alias("value"))) for c, x in sure.items())))
-    rows = rows.select("clip_id", "place", "observation", entry.alias("entries"))
+    rows = with_confidences(rows, **options).select("clip_id", "place", "observation", "sure")
+    entries = F.array(*(F.struct(F.lit(name).alias("key"), F.col("sure")[c].alias("value")) for c, name in FIELDS.items()))
+    rows = rows.withColumn("entries", F.filter(entries, lambda x: x["value"].isNotNull()))
     rounded = F.map_from_entries(F.transform("entries", lambda x: F.struct(x["key"].alias("key"), half_up(x["value"], 4).alias("value"))))
     low = F.transform(F.filter("entries", lambda x: x["key"].isin(*watched) & (x["value"] < threshold)), lambda x: x["key"])
     status = F.when(F.size("flagged_fields") > 0, "needs_clarification").otherwise("confirmed")

@@ -171,22 +171,28 @@ def resolve_products(transcripts: DataFrame, skus: DataFrame, aliases: DataFrame
     return out.select("clip_id", F.coalesce(chosen, F.array().cast(f"array<struct<s:int,e:int,raw:string,candidates:{CANDIDATES},margin:double>>")).alias("skus"))
 
 
-def name_scores(keys: Column, name: Column, longest: int) -> Column:
-    """For each run of 1 to ``longest`` tokens that has a key, by start then length, how well it names an outlet.
+def name_parts(name: Column) -> Column:
+    """array of (fold, weight): the folded keys of the parts of an outlet's name; parts that many shops share weigh less."""
+    generic = F.array(*(phonetic_key(F.lit(g)) for g in GENERIC_NAMES))
+    keys = F.filter(F.transform(F.split(name, r"\s+"), phonetic_key), lambda k: k != "")
+    return F.transform(keys, lambda k: F.struct(latin_key(k).alias("fold"), F.when(F.array_contains(generic, k), GENERIC_WEIGHT).otherwise(1.0).alias("weight")))
+
 
-    ``keys``: the phonetic key of each token. Parts of a name that many shops share weigh less.
+def with_name_scores(rows: DataFrame, longest: int) -> DataFrame:
+    """Rows of (folds: the folded key of each token, null for none; parts) with ``runs``.
+
+    ``runs`` has (at, n, score) for each run of 1 to ``longest`` tokens that has a key, by start then length: how well it
+    names the outlet. Each likeness of a part and a token is measured once.
     """
-    parts = F.filter(F.transform(F.split(name, r"\s+"), phonetic_key), lambda k: k != "")
-    generic = F.array(*(phonetic_key(F.lit(g)) for g in GENERIC_NAMES))
-    weigh = lambda p: F.when(F.array_contains(generic, p), GENERIC_WEIGHT).otherwise(1.0)
-    alike = F.transform(parts, lambda p: F.struct(weigh(p).alias("weight"), F.transform(keys, lambda k: F.when(k == "", -1.0).otherwise(key_similarity(latin_key(p), latin_key(k)))).alias("to")))
-    last = F.size(keys)
+    measured = F.transform("parts", lambda p: F.struct(p["weight"].alias("weight"), F.transform("folds", lambda f: F.when(f.isNull(), 0.0).otherwise(key_similarity(p["fold"], f))).alias("to")))
+    rows = rows.withColumn("alike", measured).withColumn("total", F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["weight"]))
+    last = F.size("folds")
     places = F.when(last > 0, F.sequence(F.lit(0), last - 1)).otherwise(F.array().cast("array<int>"))
-    runs = F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), last - i)), lambda n: F.struct(i.alias("at"), n.alias("n")))))
-    runs = F.filter(runs, lambda r: F.exists(F.slice(keys, r["at"] + 1, r["n"]), lambda k: k != ""))
-    total = F.aggregate(alike, F.lit(0.0), lambda a, p: a + p["weight"])
-    score = lambda r: F.aggregate(alike, F.lit(0.0), lambda a, p: a + p["weight"] * F.greatest(F.lit(0.0), F.array_max(F.slice(p["to"], r["at"] + 1, r["n"])))) / F.nullif(total, F.lit(0.0))
-    return F.transform(runs, lambda r: F.struct(r["at"].alias("at"), r["n"].alias("n"), F.coalesce(score(r), F.lit(0.0)).alias("score")))
+    spans = F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), last - i)), lambda n: F.struct(i.alias("at"), n.alias("n")))))
+    rows = rows.withColumn("spans", F.filter(spans, lambda r: F.exists(F.slice("folds", r["at"] + 1, r["n"]), lambda f: f.isNotNull())))
+    score = lambda r: F.aggregate("alike", F.lit(0.0), lambda a, p: a + p["weight"] * F.array_max(F.slice(p["to"], r["at"] + 1, r["n"]))) / F.nullif("total", F.lit(0.0))
+    runs = F.transform("spans", lambda r: F.struct(r["at"].alias("at"), r["n"].alias("n"), F.coalesce(score(r), F.lit(0.0)).alias("score")))
+    return rows.withColumn("runs", F.coalesce(runs, F.array().cast("array<struct<at:int,n:int,score:double>>"))).drop("alike", "total", "spans")
 
 
 OUTLET = "struct<s:int,e:int,raw:string,candidates:array<struct<outlet_id:string,name:string,distance_m:double,name_score:double,score:double>>,margin:double,gps_candidates:int,declared:boolean>"
@@ -208,10 +214,11 @@ def resolve_outlets(clips: DataFrame, outlets: DataFrame, radius_m: float = 120.
 
     open_clips = clips.join(stated.select("clip_id"), "clip_id", "left_anti")
     points = open_clips.filter("lat is not null and lng is not null").select(F.col("clip_id").alias("point_id"), "company_id", "lat", "lng")
-    near = within_radius(points, outlets, radius_m).withColumnRenamed("point_id", "clip_id").join(named.drop("o_lat", "o_lng"), ["company_id", "outlet_id"])
-    heard = open_clips.select("clip_id", tokens("text").alias("t"), "text")
-    near = near.join(heard, "clip_id", "left")
-    near = near.withColumn("runs", F.coalesce(name_scores(F.transform("t", lambda t: phonetic_key(t["text"])), F.col("name"), max_window), F.array().cast("array<struct<at:int,n:int,score:double>>")))
+    parts = outlets.select("company_id", "outlet_id", "name", name_parts(F.col("name")).alias("parts"))
+    near = within_radius(points, outlets, radius_m).withColumnRenamed("point_id", "clip_id").join(parts, ["company_id", "outlet_id"])
+    heard = open_clips.select("clip_id", "text", tokens("text").alias("t"))
+    heard = heard.withColumn("folds", F.transform("t", lambda t: F.nullif(phonetic_key(t["text"]), F.lit("")))).withColumn("folds", F.transform("folds", latin_key))
+    near = with_name_scores(near.join(heard, "clip_id", "left"), max_window)
     best = near.select("clip_id", F.inline("runs")).groupBy("clip_id").agg(F.max(F.struct("score", (-F.col("at")).alias("a"), (-F.col("n")).alias("b"))).alias("x"))
     best = best.select("clip_id", F.col("x.score").alias("heard"), (-F.col("x.a")).alias("at"), (-F.col("x.b")).alias("n")).filter(F.col("heard") >= SPOKEN_FLOOR)
     near = near.join(best, "clip_id", "left")

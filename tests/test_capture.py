@@ -12,6 +12,18 @@ from sightline.sources import bridge, imports
 SF = "/root/testdata/sf0.001"
 
 
+TWO_AMOUNTS = "প্রাণ ম্যাঙ্গো দেড় ডজন আর দুই ডজন"
+
+
+@pytest.fixture(scope="module")
+def annotated(spark):
+    """A function from (clip, confidence) to the annotated clip; all are annotated once."""
+    said = [capture.CLEAN, capture.CLEAN, "আজকে দোকান বন্ধ ছিল", " ", None, TWO_AMOUNTS]
+    found = capture.annotations(spark, capture.clips(spark, said, declared=[None, "OUT-1182", *[None] * 4]))
+    rows = spark.createDataFrame(found.collect(), found.schema)
+    return lambda *clip, confidence=0.95: rows.filter(F.col("clip_id").isin(*clip)).withColumn("words", text.transcript_words("text", confidence))
+
+
 def products(spark, said, brands=None):
     of = capture.clips(spark, said, brands)
     return [r.skus for r in resolve.resolve_products(of, capture.skus(spark), capture.aliases(spark)).orderBy("clip_id").collect()]
@@ -120,18 +132,18 @@ def test_outlets(spark):
     assert resolve.resolve_outlets(said.limit(0), capture.outlets(spark)).count() == 0
 
 
-def test_confidence_flags_a_narrow_margin(spark):
-    known = capture.annotations(spark, capture.clips(spark, [capture.CLEAN], confidence=0.78))
+def test_confidence_flags_a_narrow_margin(spark, annotated):
+    known = annotated(0, confidence=0.78)
     rows = assemble.scored(assemble.assembled(known), known).orderBy("place").collect()
     assert [r.status for r in rows] == ["needs_clarification"] * 2
     assert all(0.5 < rows[0].field_confidence[c] < 0.8 for c in ("outletId", "skuId", "quantity"))
     assert rows[0].field_confidence["type"] == 0.9 and "priceDelta" not in rows[0].field_confidence
-    declared = capture.annotations(spark, capture.clips(spark, [capture.CLEAN], declared=["OUT-1182"]))
+    declared = annotated(1)
     assert assemble.scored(assemble.assembled(declared), declared).first().field_confidence["outletId"] == 1
 
 
-def test_locks(spark):
-    known = capture.annotations(spark, capture.clips(spark, [capture.CLEAN]))
+def test_locks(spark, annotated):
+    known = annotated(0)
     row = known.crossJoin(spark.createDataFrame([((None, "OUT-1", None, None, 1.5, "kg", -5.0, None, None),)], f"o struct<{assemble.OBSERVATION.replace(' ', ':').replace(',:', ',')}>"))
     done = row.select(assemble.locked_numbers(F.col("o"), F.col("quantities")).alias("x"), assemble.identity_allowed(F.col("o"), assemble.vocabulary(F.col("outlet"), F.col("skus"))).alias("ok"), assemble.valid_observation(F.col("o")).alias("valid")).first()
     assert (done.x.observation.quantity, done.x.observation.unit, done.x.observation.price_delta) == (None, None, -5.0)
@@ -139,14 +151,15 @@ def test_locks(spark):
     assert [assemble.field_name(x) for x in ("outlet_id", "sku", "competitor_brand")] == ["outletId", "skuId", "competitorBrand"]
 
 
-def test_nothing_said_is_nothing_observed(spark):
-    known = capture.annotations(spark, capture.clips(spark, ["আজকে দোকান বন্ধ ছিল", " ", None]))
-    assert [(r.clip_id, r.observation.type) for r in assemble.assembled(known).collect()] == [(0, "retailer_complaint")]
+def test_nothing_said_is_nothing_observed(spark, annotated):
+    known = annotated(2, 3, 4)
+    assert [(r.clip_id, r.observation.type) for r in assemble.assembled(known).collect()] == [(2, "retailer_complaint")]
 
 
-def test_clarifications_and_answers(spark):
-    known = capture.annotations(spark, capture.clips(spark, ["প্রাণ ম্যাঙ্গো দেড় ডজন আর দুই ডজন"], confidence=0.7))
+def test_clarifications_and_answers(spark, annotated):
+    known = annotated(5, confidence=0.7)
     done = assemble.scored(assemble.assembled(known), known)
+    done = spark.createDataFrame(done.collect(), done.schema)
     asked = {r.field: r for r in clarify.clarifications(done, known, "2024-01-01 00:00:00", timeout_hours=6).collect()}
     assert set(asked) == {"outletId", "skuId", "quantity"}
     assert [(o.value, o.label) for o in asked["quantity"].options] == [("18", "18 piece"), ("24", "24 piece")]
@@ -168,6 +181,7 @@ def test_clarifications_and_answers(spark):
 
 def test_spellings_to_learn_and_reviews(spark):
     found = resolve.resolve_products(capture.clips(spark, ["হইল", "প্রাণ", "চানাচুর", "হুইল", "প্রাণ"]), capture.skus(spark), capture.aliases(spark))
+    found = spark.createDataFrame(found.collect(), found.schema)
     learn = clarify.to_learn(found.select(F.lit("acme-bd").alias("company_id"), "clip_id", F.col("clip_id").alias("at"), "skus"))
     assert {(r.surface, r.clip_id) for r in learn.collect()} == {("প্রাণ", 1), ("প্রাণ", 4)}
     counts = state.surface_counts(learn)

@@ -59,7 +59,7 @@ def test_prompts_equal_their_fold(spark, stream, tmp_path):
     events = [("p1", 0, "create", None), ("p1", 2, "answer", "A"), ("p1", 3, "answer", "B"), ("p2", 0, "create", None), ("p3", 1, "create", None), ("p3", 2, "cancel", None), ("p3", 3, "answer", "D"), ("p4", 1, "create", None), ("x", 30, "create", None), ("p2", 31, "answer", "C"), ("y", 80, "create", None), ("z", 140, "create", None)]
     rows = [(p, day + datetime.timedelta(hours=h), kind, v) for p, h, kind, v in events]
     schema = "prompt_id string, at timestamp, kind string, value string"
-    shown = twins.prompts(stream(rows, schema, files=4))
+    shown = twins.prompts(stream(rows, schema, files=4), delay="12 hours")
     got = {}
 
     def keep(batch, number):
