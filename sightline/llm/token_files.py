@@ -195,6 +195,12 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
     return shards.withColumns({"start": F.coalesce(F.sum("n_ids").over(before), F.lit(0)), "folder": F.lit(folder)})
 
 
+def _by_file(manifest: DataFrame) -> DataFrame:
+    """The manifest over as many partitions as it has files: a count of our own, which adaptive execution leaves alone."""
+    files = materialize(manifest)
+    return files.repartition(max(1, files.count()), "shard")
+
+
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document of the files, each frame's checksum tested.
 
@@ -212,8 +218,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 ids = pa.array(reader.index["doc_id"].astype(np.int64), mask=reader.index["is_null"].astype(bool))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(row["start"] + np.cumsum(n_tokens) - n_tokens), pa.array(n_tokens), pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spread = materialize(manifest)
-    return spread.repartition("shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _by_file(manifest).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_ids(manifest: DataFrame, doc_ids: DataFrame) -> DataFrame:
@@ -243,6 +248,6 @@ def read_ids(manifest: DataFrame, doc_ids: DataFrame) -> DataFrame:
             ids = [x.astype(np.int64) for _, x in reader.documents(places)]
         return pa.table({"doc_id": pa.array(reader.index["doc_id"][places].astype(np.int64)), "ids": pa.array(ids, pa.list_(pa.int64()))})
 
-    index = manifest.repartition("shard").mapInArrow(ranges, "doc_id long, place long, path string, folder string")
+    index = _by_file(manifest).mapInArrow(ranges, "doc_id long, place long, path string, folder string")
     wanted = index.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
     return wanted.groupBy("path").applyInArrow(fetch, "doc_id long, ids array<long>")
