@@ -10,7 +10,7 @@ import corpus_pipeline
 from sightline.llm import mixing, toxicity
 from sightline.llm.store import materialize
 
-from .test_core import SF, WORD, brute_components, brute_removal
+from .test_core import SF, WORD, brute_components, brute_removal, frame
 
 
 def test_stages(spark):
@@ -44,3 +44,20 @@ def test_stages(spark):
     sha = lambda ids: hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
     ids = [(r[0], library.encode(r[1], add_special_tokens=False).ids) for r in mixed]
     assert last == Counter((i, len(x), sha(x)) for i, x in ids)
+
+
+def test_rows_with_null_and_repeated_ids(spark):
+    """Rows belong together by id and text; other columns may have the stages' own names."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(None, a, "s"), (None, a + " z", "s"), (None, b, "s"), (None, None, "s"), (7, c, "s"), (7, c, "s"), (7, "other words", "t"), (9, c + " z", "s"), (3, "", None), (5, "x" * 1_000_000, "s")]
+    docs = frame(spark, rows).withColumnsRenamed({"hash": "row_a", "tag": "kept", "size": "row", "n": "component"})
+    single = corpus_pipeline.keep_one_of_group(spark, docs, SF)
+    assert single.columns == docs.columns
+    kept = Counter((r.doc_id, r.text) for r in single.collect())
+    alike = {(None, a), (None, a + " z")}
+    assert len(alike & set(kept)) == 1
+    assert Counter({k: n for k, n in kept.items() if k not in alike}) == Counter([(None, b), (None, None), (7, c), (7, "other words"), (3, ""), (5, "x" * 1_000_000)])
+    cut = corpus_pipeline.cut_repeats(spark, docs, SF)
+    assert cut.columns == docs.columns and cut.count() == len(rows)
+    assert Counter((r.doc_id, r.text) for r in cut.collect()) == Counter([(None, ""), (None, "z"), (None, b), (None, ""), (7, ""), (7, ""), (7, "other words"), (9, "z"), (3, ""), (5, "x" * 1_000_000)])
+    assert corpus_pipeline.keep_one_of_group(spark, docs.limit(0), SF).count() == corpus_pipeline.cut_repeats(spark, docs.limit(0), SF).count() == 0
