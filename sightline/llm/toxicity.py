@@ -132,10 +132,13 @@ class Restorer:
             return []
         letter, sign = IS_LETTER[data], IS_SIGN[data]
         ahead, behind = np.append(letter[1:], False), np.concatenate([[False], letter[:-1]])
+        begins, ends = part.offsets[:-1][np.diff(part.offsets) > 0], part.offsets[1:][np.diff(part.offsets) > 0]
+        ahead[ends - 1] = behind[begins] = False  # the next byte is another text's
         digit_or_at = sign & ((data < 58) & (data > 47) | (data == 64) | (data == 36))
         leet = sign & ahead | digit_or_at & behind
         stretched = np.zeros(len(data), bool)
         stretched[2:] = letter[2:] & (data[2:] < 128) & (data[2:] == data[1:-1]) & (data[2:] == data[:-2])
+        stretched[begins] = stretched[np.minimum(begins + 1, ends - 1)] = False
         dotted = np.isin(data, [ord(c) for c in SEPARATORS[1:]])
         size = w.end - w.start
         count = lambda marks: np.add.reduceat(marks.astype(np.int32), w.start)
