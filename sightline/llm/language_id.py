@@ -30,7 +30,7 @@ def _features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray] | None]
     """(slots, counts) of each whole text's character n-grams; None if it has no letter."""
     for part in slices(texts, SLICE_BYTES):
         raw = part.data.tobytes().decode()
-        codes = np.frombuffer(raw.replace("İ", "i").lower().encode("utf-32-le"), np.uint32).astype(U)
+        codes = np.frombuffer(raw.replace("İ", "i").replace("Σ", "σ").lower().encode("utf-32-le"), np.uint32).astype(U)
         at = np.concatenate([[0], np.cumsum((part.data & 0xC0) != 0x80)])[part.offsets].tolist()
         grams, running = [], np.zeros(len(codes), U)
         for order in range(1, max(ORDERS) + 1):
