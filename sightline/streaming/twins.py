@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterator
 from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.window import Window
 
-from ..operators.state import insert_new
+from ..sources.keyed_table import KeyedTable
 
 ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -20,16 +21,9 @@ def dedupe(clips: DataFrame, keys: list[str], at: str, ttl: str = "24 hours") ->
     return clips.withWatermark(at, ttl).dropDuplicatesWithinWatermark(keys)
 
 
-def insert_batches(path: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: appends the rows whose keys the table at ``path`` lacks, so a batch that runs again adds nothing."""
-
-    def insert(batch: DataFrame, number: int) -> None:
-        batch.limit(0).write.mode("append").parquet(path)  # the table exists from the first batch on
-        there = batch.sparkSession.read.schema(batch.schema).parquet(path)
-        new = insert_new(there.limit(0), batch.join(there.select(*keys).distinct(), keys, "left_anti").select(*batch.columns), keys, order)
-        new.write.mode("append").parquet(path)
-
-    return insert
+def insert_batches(table: KeyedTable, order: list[str]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: adds the rows whose keys the table lacks; of the table only keys in the batch's own buckets are read."""
+    return lambda batch, number: bool(table.insert(batch, order, ("insert_batches", number))) and None
 
 
 class Prompts(StatefulProcessor):
@@ -85,13 +79,15 @@ def prompts(events: DataFrame, hours: float = 24, delay: str = "0 seconds") -> D
     return grouped.transformWithStateInPandas(Prompts(hours), "prompt_id string, status string, value string, late boolean", "Update", "EventTime")
 
 
+SURFACES = "company_id string, surface string, occurrences long, last struct<at:timestamp,clip_id:long,sku_id:string>, recent array<struct<at:timestamp,clip_id:long>>"
+
+
 def surface_state(rows: DataFrame, samples: int = 5) -> DataFrame:
     """company_id, surface, occurrences, last (at, clip_id, sku_id), recent (the last clips): what merges of (…, sku_id, clip_id, at) need."""
-    seen = F.struct("at", "clip_id", "sku_id")
-    turn = F.expr("row_number() over (partition by company_id, surface order by at desc, clip_id desc)")
+    turn = F.row_number().over(Window.partitionBy("company_id", "surface").orderBy(F.desc("at"), F.desc("clip_id")))
     numbered = rows.withColumn("_turn", turn)
     recent = F.sort_array(F.collect_list(F.when(F.col("_turn") <= samples, F.struct("at", "clip_id"))), asc=False)
-    return numbered.groupBy("company_id", "surface").agg(F.count("*").alias("occurrences"), F.max(seen).alias("last"), recent.alias("recent"))
+    return numbered.groupBy("company_id", "surface").agg(F.count("*").alias("occurrences"), F.max(F.struct("at", "clip_id", "sku_id")).alias("last"), recent.alias("recent"))
 
 
 def merged_surfaces(before: DataFrame, batch: DataFrame, samples: int = 5) -> DataFrame:
@@ -107,17 +103,18 @@ def shown_surfaces(state: DataFrame) -> DataFrame:
     return state.select("company_id", "surface", "occurrences", F.col("last.sku_id").alias("suggested"), clips.alias("sample_clips"))
 
 
-def count_batches(path: str, samples: int = 5) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: batch n writes version n of the counts, from version n - 1, so that it may run again."""
+def count_batches(table: KeyedTable, samples: int = 5) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: adds a batch to the counts in a table of ``SURFACES`` by company_id and surface.
+
+    Only the buckets of the batch's surfaces are read and written, and a batch that runs again adds nothing.
+    """
 
     def count(batch: DataFrame, number: int) -> None:
-        new = surface_state(batch, samples)
-        if number:
-            new = merged_surfaces(batch.sparkSession.read.parquet(f"{path}/version={number - 1}"), new, samples)
-        new.write.mode("overwrite").parquet(f"{path}/version={number}")
+        new = surface_state(batch, samples).select(*table.schema.names)
+        table.merge(new, lambda there, given: merged_surfaces(there, given, samples), ("count_batches", number))
 
     return count
 
 
-def counted(spark: SparkSession, path: str, number: int) -> DataFrame:
-    return shown_surfaces(spark.read.parquet(f"{path}/version={number}"))
+def counted(table: KeyedTable) -> DataFrame:
+    return shown_surfaces(table.read())
