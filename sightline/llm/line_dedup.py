@@ -28,6 +28,8 @@ MOST_BITS = 28
 PROBES = 4
 #: Filters are merged by pieces of so many 64-bit words.
 PIECE = 1 << 14
+#: Text that is worked on at once; every byte takes some 100 in arrays meanwhile.
+SLICE_BYTES = 1 << 18
 
 OUT = "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept string, row_a long, row_b long"
 
@@ -56,11 +58,9 @@ def drop_repeated_lines(docs: DataFrame, least_docs: int = 3, least_chars: int =
     gone = suspects.join(repeated, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     gone = gone.groupBy(*ROW).agg(F.collect_set("key").alias("gone"))  # of one row, no more than its lines
 
-    def split(has_suspects: bool) -> DataFrame:
-        return docs.mapInArrow(lambda it: _texts(it, twice.value, least_chars, has_suspects), "doc_id long, text string, row_a long, row_b long")
-
-    marked = split(True).join(gone, ROW, "left").select("doc_id", "text", *ROW, "gone")
-    return split(False).withColumn("gone", F.lit(None).cast("array<binary>")).union(marked.select("doc_id", "text", *ROW, "gone")).mapInArrow(lambda it: _kept(it, least_chars), OUT)
+    texts = docs.mapInArrow(lambda it: _suspected(it, twice.value, least_chars), "doc_id long, text string, row_a long, row_b long")
+    marked = texts.join(gone, ROW, "left").select("doc_id", "text", *ROW, "gone").mapInArrow(lambda it: _without_gone(it, least_chars), OUT)
+    return docs.mapInArrow(lambda it: _clean(it, twice.value, least_chars), OUT).union(marked)
 
 
 class Lines:
@@ -114,12 +114,12 @@ def twice_seen(texts: DataFrame, bits: int, least_chars: int) -> np.ndarray:
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(size, U), np.zeros(size, U)
         for batch in batches:
-            for part in slices(batch.column(0)):
+            for part in slices(batch.column(0), SLICE_BYTES):
                 lines = Lines(part, least_chars)
                 row, order = lines.row[lines.keyed], np.lexsort((lines.row[lines.keyed], lines.hash))
                 h, row = lines.hash[order], row[order]
                 same = np.append(False, h[1:] == h[:-1])
-                h, more = h[~(same & np.append(False, row[1:] == row[:-1]))], None  # once a row
+                h = h[~(same & np.append(False, row[1:] == row[:-1]))]  # once a row
                 more = np.append(False, h[1:] == h[:-1])
                 at, mask = _places(h, bits)
                 more |= once[at] & mask == mask
@@ -153,7 +153,7 @@ def twice_seen(texts: DataFrame, bits: int, least_chars: int) -> np.ndarray:
 def _suspects(batches: Iterator[pa.RecordBatch], twice: np.ndarray, least_chars: int) -> Iterator[pa.RecordBatch]:
     """doc_id, row key and digest of each suspected key of a row, once a row."""
     for batch in batches:
-        for part in slices(batch.column("text")):
+        for part in slices(batch.column("text"), SLICE_BYTES):
             lines = Lines(part, least_chars)
             found = {}
             for k in np.flatnonzero(_in(twice, lines.hash)):
@@ -163,40 +163,50 @@ def _suspects(batches: Iterator[pa.RecordBatch], twice: np.ndarray, least_chars:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(which) for c in ("doc_id", *ROW)), pa.array([key for _, key in found], pa.binary())], ["doc_id", *ROW, "key"])
 
 
-def _texts(batches: Iterator[pa.RecordBatch], twice: np.ndarray, least_chars: int, has_suspects: bool) -> Iterator[pa.RecordBatch]:
-    """The rows that have suspected lines, or those that have none."""
+def _suspected(batches: Iterator[pa.RecordBatch], twice: np.ndarray, least_chars: int) -> Iterator[pa.RecordBatch]:
+    """The rows that have suspected lines."""
     for batch in batches:
-        for part in slices(batch.column("text")):
-            lines = Lines(part, least_chars)
-            suspected = np.zeros(part.last - part.first, bool)
-            suspected[lines.row[lines.keyed[_in(twice, lines.hash)]]] = True
-            rows = part.first + np.flatnonzero(suspected == has_suspects)
-            if len(rows):
-                yield batch.take(pa.array(rows)).select(["doc_id", "text", *ROW])
+        for part in slices(batch.column("text"), SLICE_BYTES):
+            if len(rows := np.flatnonzero(_has_suspects(part, twice, least_chars))):
+                yield batch.take(pa.array(part.first + rows)).select(["doc_id", "text", *ROW])
+
+
+def _clean(batches: Iterator[pa.RecordBatch], twice: np.ndarray, least_chars: int) -> Iterator[pa.RecordBatch]:
+    """The result of the rows that have no suspected lines."""
+    for batch in batches:
+        for part in slices(batch.column("text"), SLICE_BYTES):
+            if len(rows := np.flatnonzero(~_has_suspects(part, twice, least_chars))):
+                yield _result(batch, part, rows, [(part.text(i), 0) for i in rows], [part.text(i).count(b"\n") + 1 for i in rows])
 
 
-def _kept(batches: Iterator[pa.RecordBatch], least_chars: int) -> Iterator[pa.RecordBatch]:
+def _without_gone(batches: Iterator[pa.RecordBatch], least_chars: int) -> Iterator[pa.RecordBatch]:
+    """The result of rows with ``gone``, the digests of the keys that they lose, or null."""
     for batch in batches:
-        gone_of, ids = batch.column("gone"), batch.column("doc_id")
-        for part in slices(batch.column("text")):
-            n_lines, dropped, kept = [], [], []
-            lines = Lines(part, least_chars) if gone_of.slice(part.first, part.last - part.first).null_count < part.last - part.first else None
-            for i in range(part.last - part.first):
-                text, gone = part.text(i), gone_of[part.first + i].as_py()
-                n_lines.append(text.count(b"\n") + 1)
-                dropped.append(0)
+        for part in slices(batch.column("text"), SLICE_BYTES):
+            lines = Lines(part, least_chars)
+            rows, found = np.arange(part.last - part.first), []
+            first = np.searchsorted(lines.row, np.append(rows, len(rows)))
+            first_key = np.searchsorted(lines.keyed, first)
+            for i in rows:
+                gone, text, out = batch.column("gone")[part.first + int(i)].as_py(), part.text(i), None
                 if gone:
-                    a, b = np.searchsorted(lines.row, [i, i + 1])
-                    k, behind = np.searchsorted(lines.keyed, [a, b])
-                    out, gone = np.zeros(b - a, bool), set(gone)
-                    for j in range(k, behind):
-                        out[lines.keyed[j] - a] = lines.key(j) in gone
-                    text = b"\n".join(part.data[lines.start[x] : lines.end[x]].tobytes() for x in a + np.flatnonzero(~out))
-                    dropped[-1] = int(out.sum())
-                kept.append(text)
-            digests = [hashlib.sha256(x).hexdigest() for x in kept]
-            rows = slice(part.first, part.last)
-            yield pa.RecordBatch.from_arrays(
-                [ids[rows], pa.array(n_lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(digests), pa.array([x.decode() for x in kept], pa.string()), batch.column("row_a")[rows], batch.column("row_b")[rows]],
-                ["doc_id", "n_lines", "n_dropped", "kept_sha256", "kept", *ROW],
-            )
+                    out, gone = np.zeros(first[i + 1] - first[i], bool), set(gone)
+                    for k in range(first_key[i], first_key[i + 1]):
+                        out[lines.keyed[k] - first[i]] = lines.key(k) in gone
+                    text = b"\n".join(part.data[lines.start[x] : lines.end[x]].tobytes() for x in first[i] + np.flatnonzero(~out))
+                found.append((text, 0 if out is None else int(out.sum())))
+            yield _result(batch, part, rows, found, np.diff(first))
+
+
+def _has_suspects(part: Slice, twice: np.ndarray, least_chars: int) -> np.ndarray:
+    lines = Lines(part, least_chars)
+    suspected = np.zeros(part.last - part.first, bool)
+    suspected[lines.row[lines.keyed[_in(twice, lines.hash)]]] = True
+    return suspected
+
+
+def _result(batch: pa.RecordBatch, part: Slice, rows: np.ndarray, kept: list[tuple[bytes, int]], n_lines) -> pa.RecordBatch:
+    which = pa.array(part.first + rows)
+    digests, texts = pa.array([hashlib.sha256(x).hexdigest() for x, _ in kept], pa.string()), pa.array([x.decode() for x, _ in kept], pa.string())
+    counts = [pa.array(x, pa.int64()) for x in (n_lines, [n for _, n in kept])]
+    return pa.RecordBatch.from_arrays([batch.column("doc_id").take(which), *counts, digests, texts, *(batch.column(c).take(which) for c in ROW)], [c.split()[0] for c in OUT.split(", ")])
