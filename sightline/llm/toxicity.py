@@ -32,8 +32,10 @@ SIGN_COST, STRETCH_COST, GAP_COST = 0.7, 0.3, 1.0
 PREFIXES = (4, 5, 6)
 #: Labelled rows that the classifier is fitted on at most, by label.
 SAMPLE = {1: 3000, 0: 5000}
-#: Features that a model may hold, and in how many rows of the sample each must occur.
-MAX_FEATURES, LEAST_ROWS = 1 << 16, 4
+#: A feature of the model occurs in so many rows of the sample at least, and e times as often with one label as with the other.
+LEAST_ROWS, LEAST_TELL = 4, 1.0
+#: Log odds of texts where no labels of both kinds teach a difference: nothing is then called toxic.
+UNTAUGHT = -500.0
 #: Signs after which a decoder puts away what all its paths agree on, and of the longest text that a memo keeps.
 PIECE = 200
 EPOCHS = 5
@@ -232,15 +234,14 @@ def train(labelled: DataFrame, costs: np.ndarray, rates: tuple[float, float] = (
 
 
 def _fit(labels: np.ndarray, keys: np.ndarray, found: list[np.ndarray], rates: tuple[float, float] = (1.0, 1.0)) -> dict:
-    if len(np.unique(labels)) < 2:  # nothing to tell apart: the smoothed share of label 1
-        return {"hashes": np.zeros(0, U), "weights": np.zeros(0), "bias": float(np.log((labels.sum() / rates[1] + 0.5) / ((1 - labels).sum() / rates[0] + 0.5)))}
+    if len(np.unique(labels)) < 2:
+        return {"hashes": np.zeros(0, U), "weights": np.zeros(0), "bias": UNTAUGHT}
     every, where = np.unique(np.concatenate(found), return_inverse=True)
     of_row = np.repeat(np.arange(len(found)), [len(x) for x in found])
     toxic = np.bincount(where, labels[of_row], len(every))
     clean = np.bincount(where, 1 - labels[of_row], len(every))
     tells = np.abs(np.log((toxic + 0.5) / labels.sum()) - np.log((clean + 0.5) / (1 - labels).sum()))
-    kept = np.flatnonzero((toxic + clean >= LEAST_ROWS) & (tells >= 1))
-    kept = np.sort(kept[np.lexsort([kept, -(tells * np.sqrt(toxic + clean))[kept]])][:MAX_FEATURES])
+    kept = np.flatnonzero((toxic + clean >= LEAST_ROWS) & (tells >= LEAST_TELL))  # of a bounded sample, so their number is bounded too
     slot = np.full(len(every), -1)
     slot[kept] = np.arange(len(kept))
     ends = np.cumsum([0, *(len(x) for x in found)])
@@ -283,8 +284,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out:
     ``labels`` has (doc_id, toxic); a document with several labels counts as toxic if any is, and
     null labels count as none; of rows that share a doc_id one is learned from. Rows outside fold ``held_out`` teach the classifier, up to ``sample``
     of each label, chosen by a hash of doc_id; the bias is corrected for the shares chosen. The character model counts all texts. Null and
-    empty texts get the score of a text without features; without labels of both kinds every
-    score is the smoothed share of toxic ones; equal texts get equal scores; a null doc_id has the fold of '';
+    empty texts get the score of a text without features; without labels of both kinds, in an empty table for one, there is
+    nothing to learn, and every score is 0; a text, a line or a word may have any length; equal texts get equal scores; a null doc_id has the fold of '';
     other columns are ignored; no rows give no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
