@@ -31,6 +31,8 @@ BIGRAM_SHARE, SMOOTHING = 0.6, 0.5
 START = U(0x5354415254)
 #: Bytes of text of a chunk, and of requests of a part: they set memory and files, not results.
 CHUNK_BYTES, PART_BYTES = 6 << 20, 8 << 20
+#: Buckets of the table of texts: Spark makes 100,000 at most.
+MOST_BUCKETS = 1 << 15
 #: Sets pairs apart from words.
 PAIR_SALT = U(0x9E3779B97F4A7C15)
 
@@ -137,7 +139,7 @@ def _losses(chunk: Chunk, answers: pa.Table, parts: int, size: dict) -> tuple[np
     return out[0], out[1]
 
 
-def score(docs: DataFrame, target_ids: DataFrame, chunk_bytes: int = CHUNK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
+def score(docs: DataFrame, target_ids: DataFrame, chunk_bytes: int = CHUNK_BYTES, part_bytes: int = PART_BYTES, most_buckets: int = MOST_BUCKETS) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score of every document of (doc_id, text).
 
     ``target_ids`` (doc_id) names the documents of the target model; all others are the background.
@@ -146,17 +148,20 @@ def score(docs: DataFrame, target_ids: DataFrame, chunk_bytes: int = CHUNK_BYTES
     Without target documents the target model is uniform. Equal texts get equal scores, but for
     rounding; a null doc_id is never a target; a text of any length counts whole, within one chunk; other
     columns are ignored; no rows give no rows. Words and pairs are told apart by 64-bit hashes.
+
+    Texts are dealt once into a bucketed table of the session's catalog, whose warehouse all executors must share; its files are in the shared
+    folder, and later steps read them without a shuffle. From ``most_buckets`` on, a bucket holds several chunks.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *row_key())
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     chunks = max(1, -(-size // chunk_bytes))
     parts = max(1, -(-size // part_bytes))
-    # a random part of the key, so that repeated rows do not meet in one chunk
-    chunk = F.pmod(F.xxhash64("row_a", F.monotonically_increasing_id()), F.lit(chunks)).cast("int")
-    name = f"sightline_{uuid.uuid4().hex}"
-    dealt = docs.withColumn("chunk", chunk).repartition(chunks, "chunk")
-    dealt.write.format("parquet").option("compression", "zstd").bucketBy(chunks, "chunk").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    # a task that runs again deals a row alike; equal rows of different tasks do not meet in one chunk
+    chunk = F.pmod(F.xxhash64("row_a", F.spark_partition_id()), F.lit(chunks)).cast("int")
+    name, buckets = f"sightline_{uuid.uuid4().hex}", min(chunks, most_buckets)
+    dealt = docs.withColumn("chunk", chunk).repartition(buckets, "chunk")
+    dealt.write.format("parquet").option("compression", "zstd").bucketBy(buckets, "chunk").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     dealt = spark.table(name)
 
     targets = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()

@@ -80,7 +80,14 @@ def test_toxicity_odd_rows(spark, labels):
     got = toxicity.score_toxicity(frame(spark, odd_rows()), labels).collect()
     assert len(got) == len(odd_rows()) and all(0 <= r.score <= 1 for r in got)
     assert toxicity.score_toxicity(spark.createDataFrame([], SCHEMA), labels).count() == 0
-    assert {r.predicted for r in toxicity.score_toxicity(frame(spark, odd_rows()), labels.limit(0)).collect()} <= {0, 1}
+    one_word = frame(spark, [(1, "a" * (1 << 20), "s"), (2, "id10t " + "\u00e9" * (1 << 19), "s")])
+    assert all(0 <= r.score <= 1 for r in toxicity.score_toxicity(one_word, labels).collect())
+
+
+def test_without_labels_nothing_is_toxic(spark, labels):
+    docs = frame(spark, odd_rows())
+    for taught in (labels.limit(0), labels.withColumn("toxic", F.lit(None).cast("int")), labels.filter("toxic = 1"), labels.filter("toxic = 0")):
+        assert {(r.score < 1e-9, r.predicted) for r in toxicity.score_toxicity(docs, taught).collect()} == {(True, 0)}
 
 
 def test_restore_follows_the_model():
@@ -154,6 +161,15 @@ def test_lm_keeps_every_word_and_pair(spark):
         assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-9
 
 
+def test_lm_chunks_may_outnumber_buckets(spark):
+    """More chunks than the 100,000 buckets that Spark can make, and many chunks in a bucket."""
+    rows = [(k, f"a{k % 7} b{k % 5} c a{k % 7}", "s") for k in range(200)] + [(200, "c " * 5000 + "d " * 90_000, "s"), (None, None, "s")]
+    wide = lm_scoring.score(frame(spark, rows), spark.createDataFrame([(3,), (8,)], "doc_id long"), chunk_bytes=2, most_buckets=16).collect()
+    got = sorted(((r.doc_id, r.n_tokens, r.score) for r in wide), key=str)
+    for a, b in zip(got, brute_scores(rows, {3, 8}), strict=True):
+        assert a[:2] == b[:2] and (a[2] is None or abs(a[2] - b[2]) < 1e-9)
+
+
 def test_lm_prefers_target(spark, docs):
     targets = docs.filter("lang = 'de' and doc_id % 2 = 0").select("doc_id")
     got = lm_scoring.score(docs, targets).join(docs.select("doc_id", "lang"), "doc_id").filter("doc_id % 2 = 1 and n_tokens > 20").collect()
