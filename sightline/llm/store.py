@@ -1,38 +1,17 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables in the folder that driver and executors share, and keys of rows."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..sources.scratch import clear, made_for, shared_dir
+from ..sources.scratch import written as materialize
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (single-machine tests), a temporary folder that is then set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="sightline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+__all__ = ["clear", "made_for", "materialize", "row_key", "shared_dir"]
 
 
 def row_key() -> list[Column]:
     """(row_a, row_b): a 128-bit digest of doc_id and text, nulls told apart; equal for equal rows only."""
     parts = [F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("text").isNull(), F.coalesce("text", F.lit(""))]
     return [F.xxhash64(F.lit(seed), *parts).alias(name) for seed, name in ((1, "row_a"), (2, "row_b"))]
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as Parquet into the shared folder and read it back.
-
-    This cuts the lineage like checkpoint(), but the files are columnar and compressed; a lost
-    executor costs no more than its running tasks.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sightline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
