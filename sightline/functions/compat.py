@@ -35,7 +35,21 @@ def map_mean(m: ColumnLike) -> Column:
 
 
 def clamp01(x: ColumnLike) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.nanvl(col(x), F.lit(0.0))))
+    """Held between 0 and 1; NaN is 0, null stays null."""
+    return F.when(col(x).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.nanvl(col(x), F.lit(0.0)))))
+
+
+#: White space at which texts are trimmed; that of trim() is the space alone.
+BLANK = "\\s\u00a0\ufeff\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def is_blank(text: ColumnLike) -> Column:
+    """Whether a text is empty or white space; null for null."""
+    return ~col(text).rlike(f"[^{BLANK}]")
+
+
+def trimmed(text: ColumnLike) -> Column:
+    return F.regexp_replace(F.regexp_replace(col(text), f"^[{BLANK}]+", ""), f"[{BLANK}]+$", "")
 
 
 def split_list(c: ColumnLike) -> Column:

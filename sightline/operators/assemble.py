@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.compat import clamp01, half_up
+from ..functions.compat import clamp01, half_up, trimmed
 from .matching import overlap_confidence
 
 QUANTITY_EPSILON = 1e-6
@@ -74,29 +74,34 @@ def locked_numbers(observation: Column, quantities: Column) -> Column:
     return F.struct(clean.alias("observation"), listed.alias("rejected"))
 
 
-def assembled(clips: DataFrame) -> DataFrame:
-    """clip_id, place, observation of annotated clips, without a model.
+def said(outlet: Column, skus: Column, quantities: Column, text: Column) -> Column:
+    """array of observations that annotations amount to, without a model.
 
     The first own product is a demand signal with the first quantity that is not money; the first competitor is a
     promotion whose price delta is minus the first money; with neither, a text that is not blank is a complaint.
     """
-    outlet = F.get("outlet.candidates", F.lit(0))["outlet_id"]
-    words = vocabulary(F.col("outlet"), F.col("skus"))
+    place = F.get(outlet["candidates"], F.lit(0))["outlet_id"]
+    words = vocabulary(outlet, skus)
     own, rival = F.get(words["sku_ids"], F.lit(0)), F.get(words["competitor_brands"], F.lit(0))
     money = lambda q: q["unit"].eqNullSafe(F.lit("BDT"))
-    goods = F.get(F.filter("quantities", lambda q: ~money(q)), F.lit(0))
-    paid = F.get(F.filter("quantities", money), F.lit(0))
-    text = F.trim("text")
+    goods = F.get(F.filter(quantities, lambda q: ~money(q)), F.lit(0))
+    paid = F.get(F.filter(quantities, money), F.lit(0))
+    text = trimmed(text)
 
     def row(kind: str, severity: str, **fields: Column) -> Column:
-        given = {"type": F.lit(kind), "outlet_id": outlet, "severity": F.lit(severity), "verbatim": text, **fields}
+        given = {"type": F.lit(kind), "outlet_id": place, "severity": F.lit(severity), "verbatim": text, **fields}
         kinds = dict(x.split() for x in OBSERVATION.split(", "))
         return F.struct(*(given.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in kinds))
 
     demand = F.when(own.isNotNull(), row("demand_signal", "medium", sku_id=own, quantity=goods["value"], unit=goods["unit"]))
     promo = F.when(rival.isNotNull(), row("competitor_promo", "high", competitor_brand=rival, price_delta=-paid["value"]))
     complaint = F.when(own.isNull() & rival.isNull() & (text != ""), row("retailer_complaint", "low"))
-    return clips.select("clip_id", F.posexplode(F.array_compact(F.array(demand, promo, complaint))).alias("place", "observation"))
+    return F.array_compact(F.array(demand, promo, complaint))
+
+
+def assembled(clips: DataFrame) -> DataFrame:
+    """clip_id, place, observation of annotated clips, as ``said`` makes them."""
+    return clips.select("clip_id", F.posexplode(said(F.col("outlet"), F.col("skus"), F.col("quantities"), F.col("text"))).alias("place", "observation"))
 
 
 def margin_factor(margin: Column, saturates_at: float = 0.3, floor: float = 0.55) -> Column:
@@ -142,14 +147,19 @@ def scored(observations: DataFrame, clips: DataFrame, threshold: float = 0.8, cr
     a row with flags needs clarification; nothing is dropped.
     """
     rows = observations.join(clips.select("clip_id", "words", "outlet", "skus", "quantities"), "clip_id")
+    return flagged(rows, ["clip_id", "place", "observation"], threshold, critical, **options)
+
+
+def flagged(rows: DataFrame, keep: list[str], threshold: float = 0.8, critical: tuple[str, ...] = CRITICAL, **options) -> DataFrame:
+    """``keep`` columns, field_confidence, flagged_fields, status of rows that hold an observation and its clip's words and annotations."""
     watched = {field_name(c) for c in critical}
-    rows = with_confidences(rows, **options).select("clip_id", "place", "observation", "sure")
+    rows = with_confidences(rows, **options).select(*keep, "sure")
     entries = F.array(*(F.struct(F.lit(name).alias("key"), F.col("sure")[c].alias("value")) for c, name in FIELDS.items()))
     rows = rows.withColumn("entries", F.filter(entries, lambda x: x["value"].isNotNull()))
     rounded = F.map_from_entries(F.transform("entries", lambda x: F.struct(x["key"].alias("key"), half_up(x["value"], 4).alias("value"))))
     low = F.transform(F.filter("entries", lambda x: x["key"].isin(*watched) & (x["value"] < threshold)), lambda x: x["key"])
     status = F.when(F.size("flagged_fields") > 0, "needs_clarification").otherwise("confirmed")
-    return rows.select("clip_id", "place", "observation", rounded.alias("field_confidence"), low.alias("flagged_fields")).withColumn("status", status)
+    return rows.select(*keep, rounded.alias("field_confidence"), low.alias("flagged_fields")).withColumn("status", status)
 
 
 def valid_observation(observation: Column) -> Column:

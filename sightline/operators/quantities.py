@@ -1,7 +1,7 @@
 """Quantities in Bengali speech: number words are classified by joins, runs of them are valued by windows.
 
 Distinct words are classified once: digits, compounds, listed spellings by equality, and the
-rest by the nearest phonetic key of a number word. Windows then cut a document's tokens into runs
+rest by the nearest phonetic key of a number word, which a join on key segments finds. Windows then cut a document's tokens into runs
 of number words, find what each prefix adds to, and where terms begin; a run's value is the sum of
 its terms, each a number times its multipliers.
 """
@@ -16,6 +16,8 @@ from ..functions import bangla_values as values
 from ..functions.bangla import normal_word, phonetic_key, western_digits
 from ..functions.compat import half_up
 from ..functions.text import ratio, tokens
+from ..sources.scratch import written
+from .resolve import similar_keys
 
 FUZZY_THRESHOLD, VARIANT_CONFIDENCE, FUZZY_CONFIDENCE = 0.85, 0.95, 0.9
 ENTRY = "kind string, number double, unit string, word string"
@@ -31,7 +33,7 @@ def _lexicon(spark: SparkSession) -> DataFrame:
     table = spark.createDataFrame(rows, f"form string, ord int, canonical boolean, {ENTRY}").withColumn("form", normal_word("form"))
     table = table.withColumn("canonical", F.col("form") == normal_word("word"))
     first = table.groupBy("form").agg(F.min_by(F.struct("ord", "canonical", "kind", "number", "unit", "word"), "ord").alias("x")).select("form", "x.*")
-    return first.withColumn("key", phonetic_key("form"))
+    return written(first.withColumn("key", phonetic_key("form")).coalesce(1))
 
 
 def classify(words: DataFrame) -> DataFrame:
@@ -41,6 +43,7 @@ def classify(words: DataFrame) -> DataFrame:
     compounds = spark.createDataFrame([(form, float(number), basis) for form, number, basis in values.COMPOUNDS], "form string, number double, basis string")
     compounds = compounds.select(normal_word("form").alias("form"), "number", "basis")
     rows = words.select("token").distinct().withColumn("form", normal_word("token")).withColumn("digits", western_digits("form"))
+    rows = written(rows.withColumn("own", phonetic_key("form")))
     columns = ["token", "kind", "number", "unit", "word", "confidence", "basis"]
     none = lambda kind="string": F.lit(None).cast(kind)
     is_number = F.col("digits").rlike(r"^[0-9]+(\.[0-9]+)?$")
@@ -49,12 +52,11 @@ def classify(words: DataFrame) -> DataFrame:
     joined = rest.join(F.broadcast(compounds), "form").select("token", F.lit("cardinal").alias("kind"), "number", none().alias("unit"), F.col("token").alias("word"), F.lit(1.0).alias("confidence"), "basis")
     rest = rest.join(F.broadcast(compounds), "form", "left_anti")
     exact = rest.join(F.broadcast(lexicon), "form").withColumns({"confidence": F.when(F.col("canonical"), 1.0).otherwise(VARIANT_CONFIDENCE), "basis": none()}).select(columns)
-    rest = rest.join(F.broadcast(lexicon), "form", "left_anti").filter(F.length("form") >= 2).withColumn("own", phonetic_key("form"))
-    fuzzy = lexicon.filter("kind <> 'unit'").orderBy("ord").select("key", "kind", "number", "unit", "word").collect()  # fixed values
-    known = F.array(*(F.struct(*(F.lit(r[c]).cast(kind).alias(c) for c, kind in zip(r.asDict(), ("string", "string", "double", "string", "string"), strict=True))) for r in fuzzy))
-    alike = lambda k: F.when((k["key"] == "") | (F.col("own") == ""), 0.0).otherwise(ratio(k["key"], F.col("own")))
-    score = F.transform(known, lambda k, i: F.struct(alike(k).alias("score"), (-i).alias("order"), k.alias("k")))
-    near = rest.withColumn("best", F.array_max(score)).filter(F.col("best.score") >= FUZZY_THRESHOLD)
+    rest = rest.join(F.broadcast(lexicon), "form", "left_anti").filter((F.length("form") >= 2) & (F.col("own") != ""))
+    forms = lexicon.filter("kind <> 'unit' and key <> ''").select(F.col("key").alias("right"), F.struct((-F.col("ord")).alias("order"), "kind", "number", "unit", "word").alias("k"))
+    near = similar_keys(rest.select(F.col("own").alias("key")), forms.select(F.col("right").alias("key")), FUZZY_THRESHOLD)
+    near = near.withColumn("score", ratio("left", "right")).filter(F.col("score") >= FUZZY_THRESHOLD)  # vowels count in numerals
+    near = near.join(F.broadcast(forms), "right").groupBy(F.col("left").alias("own")).agg(F.max(F.struct("score", "k")).alias("best")).join(rest.select("token", "own"), "own")
     near = near.select("token", "best.k.kind", "best.k.number", "best.k.unit", "best.k.word", (F.col("best.score") * FUZZY_CONFIDENCE).alias("confidence"), none().alias("basis"))
     return literal.unionByName(joined).unionByName(exact).unionByName(near)
 

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from ..functions.bangla import phonetic_key
 from ..functions.compat import clamp01, half_up
 from ..functions.text import PACK_TOKEN, haversine_m, key_similarity, latin_key, proximity, skeleton, tokens
+from ..sources.scratch import written
 from .matching import greedy_spans, within_radius
 
 # Scores of the ways to name a product, and what a key must reach to count.
@@ -63,28 +64,37 @@ def similar_keys(left: DataFrame, right: DataFrame, floor: float = TOKEN_FLOOR)
     return met.distinct().withColumn("likeness", alike).filter(F.col("likeness") >= floor)
 
 
-def windows(transcripts: DataFrame, longest: int) -> DataFrame:
-    """clip_id, company_id, at, n, s, e, keys, joined: each run of 1 to ``longest`` tokens that has a key."""
+def keyed_tokens(transcripts: DataFrame) -> DataFrame:
+    """clip_id, company_id, t: array of (s, e, key, fold) of the tokens of each text, worked out once and kept in a table.
+
+    Keys are the dearest part of all that follows, which reads them several times.
+    """
     token = lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), phonetic_key(t["text"]).alias("key"))
     rows = transcripts.select("clip_id", "company_id", F.transform(tokens("text"), token).alias("t"))
-    rows = rows.select("*", F.posexplode("t").alias("at", "first")).withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("t") - F.col("at")))))
+    return written(rows.withColumn("t", F.transform("t", lambda t: t.withField("fold", latin_key(t["key"])))))
+
+
+def windows(heard: DataFrame, longest: int) -> DataFrame:
+    """clip_id, company_id, at, n, s, e, own and fold (the keys of its first token), m and joined: each run of 1 to ``longest`` of
+    the tokens ``t`` that has a key. ``m`` counts its keys and ``joined`` is all of them as one.
+    """
+    rows = heard.select("*", F.posexplode("t").alias("at", "first")).withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("t") - F.col("at")))))
     rows = rows.withColumn("some", F.slice("t", F.col("at") + 1, F.col("n")))
     keys = F.filter(F.transform("some", lambda t: t["key"]), lambda k: k != "")
-    rows = rows.select("clip_id", "company_id", "at", "n", F.col("first.s").alias("s"), F.element_at("some", -1)["e"].alias("e"), keys.alias("keys"))
-    return rows.filter(F.size("keys") > 0).withColumn("joined", F.array_join("keys", ""))
+    rows = rows.select("clip_id", "company_id", "at", "n", F.col("first.s").alias("s"), F.element_at("some", -1)["e"].alias("e"), F.col("first.key").alias("own"), F.col("first.fold").alias("fold"), keys.alias("keys"))
+    return rows.filter(F.size("keys") > 0).select("clip_id", "company_id", "at", "n", "s", "e", "own", "fold", F.size("keys").alias("m"), F.array_join("keys", "").alias("joined"))
 
 
 def product_keys(skus: DataFrame) -> DataFrame:
-    """company_id, sku_id, kind (core, pack, brand, maker), idx, key (folded) and cores: how many core keys the product has."""
+    """company_id, sku_id, kind (core, pack, brand, maker), key (folded): a row for each key of a product."""
     parts = F.filter(F.split(F.concat_ws(" ", "name", "pack"), r"\s+"), lambda p: p != "")
-    part = lambda p, i: F.struct(F.when(p.rlike(PACK_TOKEN), "pack").otherwise("core").alias("kind"), i.alias("idx"), phonetic_key(p).alias("key"))
+    part = lambda p: F.struct(F.when(p.rlike(PACK_TOKEN), "pack").otherwise("core").alias("kind"), phonetic_key(p).alias("key"))
     squeezed = lambda c: phonetic_key(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", ""))
-    whole = lambda kind, key: F.struct(F.lit(kind).alias("kind"), F.lit(0).alias("idx"), key.alias("key"))
+    whole = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
     maker = F.when(squeezed("manufacturer") == squeezed("brand"), "").otherwise(squeezed("manufacturer"))
     every = F.concat(F.transform(parts, part), F.array(whole("brand", squeezed("brand")), whole("maker", maker)))
-    rows = skus.select("company_id", "sku_id", F.filter(every, lambda x: x["key"] != "").alias("every"))
-    rows = rows.withColumn("cores", F.size(F.filter("every", lambda x: x["kind"] == "core")))
-    return rows.select("company_id", "sku_id", "cores", F.explode("every").alias("x")).select("company_id", "sku_id", "cores", "x.kind", "x.idx", latin_key("x.key").alias("key"))
+    rows = skus.select("company_id", "sku_id", F.explode(F.filter(every, lambda x: x["key"] != "")).alias("x"))
+    return rows.select("company_id", "sku_id", "x.kind", latin_key("x.key").alias("key"))
 
 
 def _best(hits: Column, kind: str) -> Column:
@@ -118,6 +128,43 @@ def in_scope(brands: Column, brand: Column, is_competitor: Column) -> Column:
     return brands.isNull() | (F.size(brands) == 0) | is_competitor | F.array_contains(brands, brand)
 
 
+ROUTES = {"core": "name", "pack": "pack", "brand": "brand", "maker": "maker"}
+
+
+def product_classes(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, keys): what products have in common, since a score knows no more of them.
+
+    ``members`` are (company_id, sku_id, name, pack, brand, maker): the classes that a product is in, its folded keys of each kind
+    as one text, null for none. ``keys`` are (company_id, kind, class, cores, idx, key): the keys of each class.
+    """
+    of_kind = lambda kind: F.nullif(F.array_join(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("key")))), " "), F.lit(""))
+    members = keyed.groupBy("company_id", "sku_id").agg(*(of_kind(kind).alias(route) for kind, route in ROUTES.items()))
+    every = F.filter(F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(route).alias("class")) for kind, route in ROUTES.items())), lambda x: x["class"].isNotNull())
+    classes = members.select("company_id", F.inline(every)).distinct().withColumn("keys", F.split("class", " "))
+    cores = F.when(F.col("kind") == "core", F.size("keys"))
+    return members, classes.select("company_id", "kind", "class", cores.alias("cores"), F.posexplode("keys").alias("idx", "key"))
+
+
+def first_of_class(members: DataFrame, skus: DataFrame, most: int) -> DataFrame:
+    """company_id, route, class, scope, sku_ids: the ``most`` least products of each class, among all, competitors, and each brand.
+
+    The products of a class have equal scores by it, so of those in scope no other can be among the ``most`` best.
+    """
+    scope = F.array_compact(F.array(F.lit("every"), F.when(F.col("is_competitor"), "rival"), F.concat(F.lit("brand "), F.col("brand"))))
+    rows = members.join(skus.select("company_id", "sku_id", F.explode(scope).alias("scope")), ["company_id", "sku_id"])
+    both = F.concat_ws("/", "name", "pack")
+    routes = F.array(*(F.struct(F.lit(r).alias("route"), c.alias("class")) for r, c in {"name": F.col("name"), "both": F.when(F.col("name").isNotNull() & F.col("pack").isNotNull(), both), "brand": F.col("brand"), "maker": F.col("maker")}.items()))
+    rows = rows.select("company_id", "sku_id", "scope", F.inline(F.filter(routes, lambda x: x["class"].isNotNull())))
+    least = F.row_number().over(Window.partitionBy("company_id", "route", "class", "scope").orderBy("sku_id"))
+    return rows.withColumn("turn", least).filter(F.col("turn") <= most).groupBy("company_id", "route", "class", "scope").agg(F.collect_list("sku_id").alias("sku_ids"))
+
+
+def scopes_of(brands: Column) -> Column:
+    """The scopes whose products a clip may name: without brands every product, else those of the brands and the competitors."""
+    named = F.transform(brands, lambda b: F.concat(F.lit("brand "), b))
+    return F.when(brands.isNull() | (F.size(brands) == 0), F.array(F.lit("every"))).otherwise(F.array_compact(F.array_append(named, F.lit("rival"))))
+
+
 CANDIDATES = "array<struct<sku_id:string,name:string,brand:string,is_competitor:boolean,score:double,via_alias:string>>"
 
 
@@ -127,26 +174,39 @@ def resolve_products(transcripts: DataFrame, skus: DataFrame, aliases: DataFrame
     Candidates (sku_id, name, brand, is_competitor, score, via_alias) come best first, an approved alias
     before its equals, then by sku_id. Of overlapping mentions the better scored stays, then the
     longer, then the earlier. Null and empty texts, and tenants without products, have no mentions.
+
+    Windows are scored against classes of products, by name, by name and pack size, by brand and by manufacturer, and a
+    product's score is the best of its classes. So of each class no more than ``max_candidates`` products come back, and
+    a name that many products share costs no more than one that few do.
     """
     skus = skus.filter("active")
-    spoken = windows(transcripts.filter("text is not null"), max_window)
-    keyed = product_keys(skus)
-    single = spoken.filter("n = 1").select("clip_id", "company_id", "at", F.col("keys")[0].alias("own"), latin_key(F.col("keys")[0]).alias("key"))
-    joined = spoken.filter(F.size("keys") > 1).select("clip_id", "company_id", "at", "n", latin_key("joined").alias("key"))
-    alike = similar_keys(single.select("key").union(joined.select("key")), keyed.select("key")).join(keyed, F.col("right") == F.col("key")).drop("right", "key")
+    spoken = windows(keyed_tokens(transcripts.filter("text is not null")), max_window)
+    members, keyed = product_classes(written(product_keys(skus)))
+    single = spoken.filter("n = 1").select("clip_id", "company_id", "at", "own", F.col("fold").alias("key"))
+    joined = spoken.filter("m > 1").select("clip_id", "company_id", "at", "n", latin_key("joined").alias("key"))
+    alike = written(similar_keys(single.select("key").union(joined.select("key")), keyed.select("key")))
+    alike = alike.join(keyed, F.col("right") == F.col("key")).drop("right", "key")
     floor = F.when(F.col("kind") == "core", TOKEN_FLOOR).when(F.col("kind") == "pack", PACK_FLOOR).otherwise(BRAND_FLOOR)
     alike = alike.filter(F.col("likeness") >= floor).withColumnRenamed("left", "key")
 
-    columns = ["clip_id", "company_id", "sku_id", "cores", "at", "n", "kind", "idx", "place", "likeness"]
+    window = ["clip_id", "company_id", "at", "n"]
+    columns = [*window, "kind", "class", "cores", "hit", "idx", "place", "likeness"]
     words = single.withColumnRenamed("at", "place").join(alike, ["company_id", "key"])
     starts = F.sequence(F.greatest(F.lit(0), F.col("place") - (max_window - 1)), F.col("place"))
-    words = words.withColumn("at", F.explode(starts)).withColumn("n", F.explode(F.sequence(F.col("place") - F.col("at") + 1, F.lit(max_window))))
-    whole = joined.join(alike.filter("kind = 'brand'"), ["company_id", "key"]).withColumns({"kind": F.lit("joined"), "place": F.col("at")})
-    hits = words.select(*columns).union(whole.select(*columns)).groupBy("clip_id", "company_id", "sku_id", "cores", "at", "n")
-    hits = hits.agg(F.collect_list(F.struct("kind", "idx", "place", "likeness")).alias("hits"))  # of one window and product
-    scored = hits.join(spoken.select("clip_id", "at", "n", "s", "e", F.size("keys").alias("m")), ["clip_id", "at", "n"])
-    scored = scored.withColumn("score", window_score(F.col("hits"), F.col("cores"), F.col("m"))).filter(F.col("score") >= min_score)
-    found = scored.select("clip_id", "company_id", "at", "n", "s", "e", "sku_id", half_up("score", 4).alias("score"), F.lit(None).cast("string").alias("via_alias"))
+    words = words.withColumn("at", F.explode(starts)).withColumn("n", F.explode(F.sequence(F.col("place") - F.col("at") + 1, F.lit(max_window)))).withColumn("hit", F.col("kind"))
+    whole = joined.join(alike.filter("kind = 'brand'"), ["company_id", "key"]).withColumns({"hit": F.lit("joined"), "place": F.col("at")})
+    hits = words.select(*columns).union(whole.select(*columns)).groupBy(*window, "kind", "class", "cores")
+    hits = hits.agg(F.collect_list(F.struct(F.col("hit").alias("kind"), "idx", "place", "likeness")).alias("hits"))  # of one window and class
+    shape = spoken.select("clip_id", "at", "n", "s", "e", "m")
+    by_class = hits.filter("kind <> 'pack'").select(*window, F.when(F.col("kind") == "core", "name").otherwise(F.col("kind")).alias("route"), "class", "cores", "hits")
+    packs = hits.filter("kind = 'pack'").select(*window, F.col("class").alias("pack"), F.col("hits").alias("more"))
+    both = by_class.filter("route = 'name'").join(packs, window).withColumn("hits", F.concat("hits", "more"))
+    by_class = by_class.union(both.select(*window, F.lit("both"), F.concat_ws("/", "class", "pack"), "cores", "hits"))
+    scored = by_class.join(shape, ["clip_id", "at", "n"]).withColumn("score", window_score(F.col("hits"), F.col("cores"), F.col("m")))
+    scored = scored.filter(F.col("score") >= min_score).select(*window, "s", "e", "route", "class", half_up("score", 4).alias("score"))
+    scored = scored.join(transcripts.select("clip_id", F.explode(scopes_of(F.col("brands"))).alias("scope")), "clip_id")
+    found = scored.join(first_of_class(members, skus, max_candidates), ["company_id", "route", "class", "scope"])
+    found = found.select(*window, "s", "e", F.explode("sku_ids").alias("sku_id"), "score", F.lit(None).cast("string").alias("via_alias"))
 
     approved = aliases.select("company_id", "sku_id", "surface", phonetic_key("surface").alias("own")).filter("own <> ''")
     approved = approved.groupBy("company_id", "sku_id", "own").agg(F.min("surface").alias("via_alias"))
@@ -222,7 +282,7 @@ def resolve_outlets(clips: DataFrame, outlets: DataFrame, radius_m: float = 120.
     best = near.select("clip_id", F.inline("runs")).groupBy("clip_id").agg(F.max(F.struct("score", (-F.col("at")).alias("a"), (-F.col("n")).alias("b"))).alias("x"))
     best = best.select("clip_id", F.col("x.score").alias("heard"), (-F.col("x.a")).alias("at"), (-F.col("x.b")).alias("n")).filter(F.col("heard") >= SPOKEN_FLOOR)
     near = near.join(best, "clip_id", "left")
-    weight = F.coalesce(clamp01((F.col("heard") - name_floor) / max(1e-6, confident_at - name_floor)) * max_name_weight, F.lit(0.0))
+    weight = F.coalesce(clamp01((F.col("heard") - name_floor) / max(1e-6, confident_at - name_floor)) * max_name_weight, F.lit(0.0))  # no name, no weight
     own = F.when(F.col("heard").isNull(), 0.0).otherwise(F.get(F.filter("runs", lambda r: (r["at"] == F.col("at")) & (r["n"] == F.col("n"))), F.lit(0))["score"])
     near = near.withColumns({"name_score": own, "score": proximity(F.col("distance_m"), radius_m) * (1 - weight) + own * weight})
     near = near.withColumn("score", half_up("score", 4))
