@@ -1,23 +1,46 @@
 """A training corpus from raw documents, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet
-into the shared folder and rereads it as the next stage's docs.
+into the shared folder and rereads it as the next stage's docs. A stage first removes the intermediate
+tables of the one before it, whose result must have been written by then.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm import jaccard_join, lexicon, mixing, substring_dedup, toxicity
-from sightline.llm.store import materialize, row_key
+from sightline.llm.store import clear, made_for, materialize, row_key
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _after(before: str | None) -> Callable[[Stage], Stage]:
+    """A stage that begins by removing what the one before it left."""
+
+    def wrap(stage: Stage) -> Stage:
+        @wraps(stage)
+        def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            if before:
+                clear(spark, before)
+            with made_for(stage.__name__):
+                return stage(spark, docs, sf_dir)
+
+        return run_stage
+
+    return wrap
 
 
+@_after(None)
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity score does not reject.
 
     Null and empty texts have the score of a text without features and so stay unless most labelled texts are
-    toxic; texts of any length are scored whole; equal texts get equal scores, so repeated rows stay
+    toxic; without labels of both kinds all documents stay; texts of any length are scored whole; equal texts get equal scores, so repeated rows stay
     or go together; rows with a null or repeated doc_id are judged by their own text; an empty
     table stays empty; columns keep their names and values, whatever they are called.
     """
@@ -25,6 +48,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.filter(score(F.col("text")) < 0.5)
 
 
+@_after("drop_toxic")
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least doc_id.
 
@@ -42,6 +66,7 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return single.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
+@_after("keep_one_of_group")
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 35 words or more that occur elsewhere.
 
@@ -56,6 +81,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rest.select(*(text[c].alias(c) if c in text else F.col("row")[c].alias(c) for c in docs.columns))
 
 
+@_after("cut_repeats")
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the target weights of its source ask.
 
@@ -66,6 +92,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(docs, weights=(3, 1, 2), share=1.5, max_passes=2)
 
 
+@_after("mix_sources")
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the mix: one row for each row of ``docs``, doc_id null or repeated or not.
 
@@ -92,5 +119,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        docs = materialize(stage(spark, docs, sf_dir), kept=True)
     return STAGES[-1][1](spark, docs, sf_dir)
