@@ -9,6 +9,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from sightline.llm import mixing, toxicity
 from sightline.llm.store import materialize
+from sightline.sources import scratch
 
 from .test_core import SF, WORD, brute_components, brute_removal, frame
 
@@ -61,3 +62,35 @@ def test_rows_with_null_and_repeated_ids(spark):
     assert cut.columns == docs.columns and cut.count() == len(rows)
     assert Counter((r.doc_id, r.text) for r in cut.collect()) == Counter([(None, ""), (None, "z"), (None, b), (None, ""), (7, ""), (7, ""), (7, "other words"), (9, "z"), (3, ""), (5, "x" * 1_000_000)])
     assert corpus_pipeline.keep_one_of_group(spark, docs.limit(0), SF).count() == corpus_pipeline.cut_repeats(spark, docs.limit(0), SF).count() == 0
+
+
+def test_odd_tables_in_every_stage(spark, tmp_path):
+    """No labels reject nothing; null and repeated ids, and tables without rows, pass through all stages."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    labels.limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(None, "idiot text", "s"), (None, None, "s"), (7, "idiot " * 50, "t"), (7, "idiot " * 50, "t"), (8, "", None), (9, "stupid moron", None), (5, "x" * 300_000, "s")]
+    docs = frame(spark, rows)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["toxicity"](spark, docs, str(tmp_path))
+    assert sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
+    mixed = stages["source_mix"](spark, docs, str(tmp_path))
+    words = Counter()
+    for r in mixed.collect():
+        words[r.source] += len(WORD.findall(r.text))
+    size = Counter()
+    for _, t, source in rows:
+        size[source] += len(WORD.findall(t or ""))
+    assert mixed.columns == docs.columns and words and all(words[x] <= 2 * size[x] for x in words)
+    encoded = stages["bpe"](spark, docs, str(tmp_path))
+    assert Counter(r.doc_id for r in encoded.collect()) == Counter(r[0] for r in rows)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+
+
+def test_a_stage_removes_what_the_one_before_left(spark):
+    docs = frame(spark, [(k, " ".join(f"w{k % 3} v{i}" for i in range(60)), "s") for k in range(9)])
+    left = lambda: {p for (_, purpose), found in scratch._left.items() for p in found if purpose in ("keep_one_of_group", "cut_repeats")}
+    single = materialize(corpus_pipeline.keep_one_of_group(spark, docs, SF), kept=True)
+    before = left()
+    cut = materialize(corpus_pipeline.cut_repeats(spark, single, SF), kept=True)
+    assert before and not before & left() and cut.count() == single.count() == 3
