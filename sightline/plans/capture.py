@@ -45,6 +45,11 @@ def clips(spark: SparkSession, texts: list[str | None], brands: list[list[str] |
     return table.withColumn("words", text.transcript_words("text", confidence))
 
 
+def said_by(rows: DataFrame, key: str, said: DataFrame, n: int) -> DataFrame:
+    """Each row of a table as a clip that says one of ``n`` fixed things, by its key; clip_id is the key."""
+    return rows.select(F.col(key).alias("_key"), (F.col(key) % n).alias("clip_id")).join(F.broadcast(said), "clip_id").withColumn("clip_id", F.col("_key")).drop("_key")
+
+
 def annotations(spark: SparkSession, of: DataFrame) -> DataFrame:
     found = quantities.quantities(of.select(F.col("clip_id").alias("doc_id"), "text"))
     return assemble.annotated(of, resolve.resolve_outlets(of, outlets(spark)), resolve.resolve_products(of, skus(spark), aliases(spark)), found)
@@ -57,9 +62,11 @@ SAID = [
 ]
 
 
-@register("fixture_t3_skus", "select clip_id::bigint as clip_id, n::bigint as n, sku_id::varchar as sku_id from (values " + values([(k, i + 1, s) for k, (_, found) in enumerate(SAID) for i, s in enumerate(found)]) + ") t(clip_id, n, sku_id)")
+@register("fixture_t3_skus", "select s_suppkey as clip_id, n::bigint as n, sku_id::varchar as sku_id from supplier join (values " + values([(k, i + 1, s) for k, (_, found) in enumerate(SAID) for i, s in enumerate(found)]) + f") t(i, n, sku_id) on s_suppkey % {len(SAID) + 1} = i")
 def _products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier says one of the fixed phrases; the last is out of its brands' scope."""
     said = clips(spark, [t for t, _ in SAID] + ["চানাচুর"], [None] * len(SAID) + [["Lux"]])
+    said = said_by(spark.read.parquet(f"{sf_dir}/supplier.parquet"), "s_suppkey", said, len(SAID) + 1)
     found = resolve.resolve_products(said, skus(spark), aliases(spark)).select("clip_id", F.posexplode("skus").alias("n", "m"))
     sure = F.when((F.col("m.margin") >= 0.1) | (F.size("m.candidates") == 1), F.get("m.candidates", F.lit(0))["sku_id"])
     return found.select("clip_id", (F.col("n") + 1).cast("long").alias("n"), sure.alias("sku_id"))
@@ -69,11 +76,12 @@ def _products(spark: SparkSession, sf_dir: str) -> DataFrame:
 VISITS = [("বিজয় স্টোরে", None, True, "OUT-1182", 3, False), ("রহমান স্টোরে", None, True, "OUT-1183", 3, False), ("স্টোরে", None, True, None, 3, False), ("", "OUT-1182", True, "OUT-1182", 1, True), ("বিজয় স্টোরে", "OUT-404", True, "OUT-1182", 3, False), ("বিজয় স্টোরে", None, False, None, 0, False)]
 
 
-@register("fixture_t4_outlets", "select clip_id::bigint as clip_id, outlet_id::varchar as outlet_id, near::int as near, declared from (values " + values([(k, o, n, d) for k, (_, _, _, o, n, d) in enumerate(VISITS)]) + ") t(clip_id, outlet_id, near, declared)")
+@register("fixture_t4_outlets", "select s_suppkey as clip_id, outlet_id::varchar as outlet_id, near::int as near, declared from supplier join (values " + values([(k, o, n, d) for k, (_, _, _, o, n, d) in enumerate(VISITS)]) + f") t(i, outlet_id, near, declared) on s_suppkey % {len(VISITS)} = i")
 def _outlets(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = clips(spark, [v[0] for v in VISITS], declared=[v[1] for v in VISITS])
     known = F.array(*(F.lit(v[2]) for v in VISITS))[F.col("clip_id").cast("int")]
     said = said.withColumns({c: F.when(known, F.col(c)) for c in ("lat", "lng")})
+    said = said_by(spark.read.parquet(f"{sf_dir}/supplier.parquet"), "s_suppkey", said, len(VISITS))
     o = F.col("outlet")
     found = resolve.resolve_outlets(said, outlets(spark))
     return found.select("clip_id", F.when(o["margin"] > 0.25, F.get(o["candidates"], F.lit(0))["outlet_id"]).alias("outlet_id"), o["gps_candidates"].alias("near"), o["declared"].alias("declared"))
@@ -83,9 +91,11 @@ def _outlets(spark: SparkSession, sf_dir: str) -> DataFrame:
 OBSERVED = [(0, "demand_signal", "OUT-1182", "SKU-404", None, 18.0, "piece", None), (1, "competitor_promo", "OUT-1182", None, "COMP-WHEEL", None, None, -5.0)]
 
 
-@register("fixture_e2e_corrupted_clip", "select clip_id::bigint as clip_id, place::int as place, type, outlet_id, sku_id, competitor_brand, quantity::double as quantity, unit, price_delta::double as price_delta from (values " + values([(k, *r) for k in (0, 1) for r in OBSERVED]) + ") t(clip_id, place, type, outlet_id, sku_id, competitor_brand, quantity, unit, price_delta)")
+@register("fixture_e2e_corrupted_clip", "select s_suppkey as clip_id, place::int as place, type, outlet_id, sku_id, competitor_brand, quantity::double as quantity, unit, price_delta::double as price_delta from supplier, (values " + values(OBSERVED) + ") t(place, type, outlet_id, sku_id, competitor_brand, quantity, unit, price_delta)")
 def _end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = annotations(spark, clips(spark, [CLEAN, CORRUPTED]))
+    """Half of the suppliers say the clean text, half the corrupted one."""
+    said = said_by(spark.read.parquet(f"{sf_dir}/supplier.parquet"), "s_suppkey", clips(spark, [CLEAN, CORRUPTED]), 2)
+    known = annotations(spark, said)
     done = assemble.scored(assemble.assembled(known), known)
     o = F.col("observation")
     return done.select("clip_id", "place", *(o[c].alias(c) for c in ("type", "outlet_id", "sku_id", "competitor_brand", "quantity", "unit", "price_delta")))
@@ -240,9 +250,9 @@ def _matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("clip_id").agg((F.sum(F.when(equal & (F.col("clip_id") % 3 != 2), 1).otherwise(0))).cast("int").alias("crossed"), F.sum(F.when(F.col("t").isNull(), 1).otherwise(0)).cast("int").alias("spare"))
 
 
-@register("p8_price_text", bridge.ctes("observations") + "select observation_id, '৳' || regexp_replace(printf('%.3f', abs(price_delta)), '\\.?0+$', '') || case when price_delta < 0 then ' less' else ' more' end as words from observations where price_delta is not null and abs(price_delta) < 1000")
+@register("p8_price_text", bridge.ctes("observations") + "select observation_id, '৳' || regexp_replace(format('{:,.3f}', abs(price_delta)), '\\.?0+$', '') || case when price_delta < 0 then ' less' else ' more' end as words from observations where price_delta is not null")
 def _price_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = bridge.table(spark, sf_dir, "observations").filter("price_delta is not null and abs(price_delta) < 1000")
+    rows = bridge.table(spark, sf_dir, "observations").filter("price_delta is not null")
     return rows.select("observation_id", compat.price_text("price_delta").alias("words"))
 
 

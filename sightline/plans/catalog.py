@@ -82,16 +82,14 @@ def _brand_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.scoped_skus(bridge.table(spark, sf_dir, "skus"), ["Brand#11", "Brand#22", "Brand#33"]).select("company_id", "sku_id")
 
 
-RANGES = [("2024-01-10", "2024-01-20"), ("not a time", "2024-01-20"), (None, None)]
-
-
-@_register("f7_default_window", f"""select i, case when ok then a else timestamp '{AS_OF}' - interval 30 day end as start_at, case when ok then b else timestamp '{AS_OF}' end as end_at
-  from (select i, try_cast(x as timestamp) as a, try_cast(y as timestamp) as b, try_cast(x as timestamp) is not null and try_cast(y as timestamp) is not null as ok
-        from (values (0, '2024-01-10', '2024-01-20'), (1, 'not a time', '2024-01-20'), (2, null, null)) v(i, x, y))""")
+@_register("f7_default_window", f"""with v as (select event_id, case event_id % 4 when 0 then strftime(ts, '%Y-%m-%d') when 1 then 'not a time' when 2 then strftime(ts, '%Y-%m-%d') end as x, case when event_id % 4 < 2 then '2024-01-20' when event_id % 4 = 2 then '' end as y from events)
+  select event_id, case when ok then a else timestamp '{AS_OF}' - interval 30 day end as start_at, case when ok then b else timestamp '{AS_OF}' end as end_at
+  from (select event_id, try_cast(x as timestamp) as a, try_cast(y as timestamp) as b, try_cast(x as timestamp) is not null and try_cast(y as timestamp) is not null as ok from v)""")
 def _default_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both ends fall back together if one of them cannot be read."""
-    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(RANGES)], "i int, x string, y string")
-    return rows.select("i", *analytics.window_or_default("x", "y", F.lit(AS_OF).cast("timestamp")))
+    """Both ends fall back together if one of them cannot be read: ranges from the days of events, a text, blanks and nulls."""
+    k, day = F.col("event_id") % 4, F.date_format("ts", "yyyy-MM-dd")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.when(k.isin(0, 2), day).when(k == 1, "not a time").alias("x"), F.when(k < 2, "2024-01-20").when(k == 2, "").alias("y"))
+    return rows.select("event_id", *analytics.window_or_default("x", "y", F.lit(AS_OF).cast("timestamp")))
 
 
 @_register("o2_recent_feed", OBS + "select observation_id, recorded_at from scope order by recorded_at desc, observation_id limit 100")
@@ -421,17 +419,21 @@ PHRASES = [
 SPOKEN = [("হুইল", "Wheel"), ("প্রাণ", "PRAN"), ("প্রান", "PRAN"), ("এক্সেল", "Excel"), ("হারপিক", "Harpic"), ("নিউ", "New"), ("ম্যাঙ্গো", "mango")]
 
 
-@_register("fixture_t2_quantities", "select i::bigint as doc_id, n::bigint as n, v::double as value, u::varchar as unit from (values " + _values([(i, k + 1, v, u) for i, (_, found) in enumerate(PHRASES) for k, (v, u) in enumerate(found)]) + ") t(i, n, v, u)")
+@_register("fixture_t2_quantities", "select event_id as doc_id, n::bigint as n, v::double as value, u::varchar as unit from events join (values " + _values([(i, k + 1, v, u) for i, (_, found) in enumerate(PHRASES) for k, (v, u) in enumerate(found)]) + f") t(i, n, v, u) on event_id % {len(PHRASES)} = i")
 def _quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quantities.quantities(spark.createDataFrame([(i, p) for i, (p, _) in enumerate(PHRASES)], "doc_id long, text string"))
+    """Every event says one of the fixed phrases."""
+    phrases = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(PHRASES)], "i long, text string")
+    said = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("doc_id"), (F.col("event_id") % len(PHRASES)).alias("i")).join(F.broadcast(phrases), "i")
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("s"))
-    return found.select("doc_id", place.cast("long").alias("n"), "value", "unit")
+    return quantities.quantities(said.select("doc_id", "text")).select("doc_id", place.cast("long").alias("n"), "value", "unit")
 
 
-@_register("fixture_phonetic_bn", "select * from (values " + _values([(b, True) for b, _ in SPOKEN]) + ") t(spoken, same)")
+@_register("fixture_phonetic_bn", "select event_id, spoken, same from events join (values " + _values([(i, b, True) for i, (b, _) in enumerate(SPOKEN)]) + f") t(i, spoken, same) on event_id % {len(SPOKEN)} = i")
 def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(SPOKEN, "spoken string, written string")
-    return rows.select("spoken", (bangla.phonetic_key("spoken") == bangla.phonetic_key("written")).alias("same"))
+    """Every event says one of the fixed words."""
+    words = spark.createDataFrame([(i, *w) for i, w in enumerate(SPOKEN)], "i long, spoken string, written string")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("event_id") % len(SPOKEN)).alias("i")).join(F.broadcast(words), "i")
+    return rows.select("event_id", "spoken", (bangla.phonetic_key("spoken") == bangla.phonetic_key("written")).alias("same"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

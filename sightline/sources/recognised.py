@@ -59,14 +59,14 @@ def _spans(text: Column, words: Column) -> Column:
     def spans(texts: pd.Series, words: pd.Series) -> pd.Series:
         return pd.Series([[{"s": s, "e": e} for s, e in word_spans(t, list(w))] for t, w in zip(texts, words, strict=True)], dtype=object)
 
-    return F.pandas_udf(spans, "array<struct<s:int,e:int>>", F.PandasUDFType.SCALAR)(text, words)
+    return F.pandas_udf(spans, "array<struct<s:int,e:int>>")(text, words)
 
 
 def _segments_of(times: Column, starts: Column, ends: Column) -> Column:
     def found(times: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
         return pd.Series([first_holding(list(t), list(a), list(b)) for t, a, b in zip(times, starts, ends, strict=True)], dtype=object)
 
-    return F.pandas_udf(found, "array<int>", F.PandasUDFType.SCALAR)(times, starts, ends)
+    return F.pandas_udf(found, "array<int>")(times, starts, ends)
 
 
 def _empty(kind: str) -> Column:

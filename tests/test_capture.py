@@ -283,4 +283,4 @@ def test_reps_are_patched_within_their_tenant(spark):
 
 
 def test_sql_belongs_to_queries():
-    assert set(SQL) <= set(QUERIES) and {"t3_part_names"} == set(QUERIES) - set(SQL)
+    assert set(SQL) <= set(QUERIES) and {"t3_part_names", "t0_conversations"} == set(QUERIES) - set(SQL)

@@ -42,7 +42,7 @@ def test_replies_are_whole_or_faults(spark):
     keys = {r.clip_id: r.key for r in known.select("clip_id", replies.reply_key(replies.prompt(F.col("text"), F.col("outlet"), F.col("skus"), F.col("quantities"))).alias("key")).collect()}
     assert len(set(keys.values())) == 5 and all(k.startswith("observations:") and len(k) == 29 for k in keys.values())
     told = {0: [ENTRY, {**ENTRY, "quantity": 17, "priceDelta": 5, "skuId": None}], 1: [{**ENTRY, "skuId": "SKU-1"}], 2: [], 3: [{**ENTRY, "skuId": None, "quantity": None, "more": 1}]}
-    recorded = [(keys[k], json.dumps({"observations": v})) for k, v in told.items()] + [(keys[2], "zzz"), ("observations:0", "{}")]
+    recorded = [(keys[k], json.dumps({"observations": v})) for k, v in told.items()] + [(keys[2], "~ not the least"), ("observations:0", "{}")]
     table = spark.createDataFrame(recorded, "key string, raw string")
     found, errors = replies.assembled_from_replies(known, table)
     rows = {(r.clip_id, r.place): r for r in found.collect()}
