@@ -34,6 +34,11 @@ def map_mean(m: ColumnLike) -> Column:
     return F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, v: a + v), F.size(values))
 
 
+def card_confidence(m: ColumnLike) -> Column:
+    """What a card shows of an observation's confidences: their mean, 0 without any."""
+    return F.coalesce(map_mean(m), F.lit(0.0))
+
+
 def clamp01(x: ColumnLike) -> Column:
     """Held between 0 and 1; NaN is 0, null stays null."""
     return F.when(col(x).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.nanvl(col(x), F.lit(0.0)))))

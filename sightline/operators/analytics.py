@@ -148,7 +148,8 @@ def pipeline_stats(clips: DataFrame) -> DataFrame:
     extractors = extractor_counts(clips).agg(F.array_sort(F.collect_list(F.struct(F.negative("clips").alias("order"), "extractor", "extractor_model", "clips", "simulated"))).alias("extractors"))
     stages = stage_latency(clips).agg(F.array_sort(F.collect_list(F.struct("stage", "avg_ms", "p95_ms", "n"))).alias("stages"))  # a row a stage
     extractors = extractors.select(F.transform("extractors", lambda x: x.dropFields("order")).alias("extractors"))
-    return clip_counts(clips).crossJoin(first_llm(clips)).crossJoin(extraction_confidence(clips)).crossJoin(extractors).crossJoin(stages)  # one row each
+    parts = (first_llm(clips), extraction_confidence(clips), extractors, stages)  # a row and a column each
+    return clip_counts(clips).select("*", *(x.scalar().alias(x.columns[0]) for x in parts))
 
 
 def window_or_default(start: str, end: str, now: Column, days: int = 30) -> list[Column]:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.keyed_table import KeyedTable
 from .assemble import FIELDS
 from .quantities import shown
 
@@ -63,6 +66,32 @@ def clarifications(observations: DataFrame, clips: DataFrame, now: str, timeout_
     return rows.withColumns({"status": F.lit("pending"), "created_at": created, "expires_at": created + F.expr(f"interval {timeout_hours} hours")})
 
 
+def prompt_id() -> Column:
+    """One prompt for a field of an observation, however often it is built."""
+    return F.substring(F.sha2(F.concat_ws("/", "clip_id", "place", "field"), 256), 1, 24)
+
+
+def insert_prompts(table: KeyedTable, events: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch of ``clarifications``: adds new prompts to a table keyed by prompt_id and arms their timers.
+
+    A timer is armed by a ``create`` event (prompt_id, at, kind, value) in the folder that the stream of ``twins.prompts`` reads. A batch that
+    runs again adds neither a prompt nor an event: prompts are known by their id, and a batch's events have one place.
+    """
+
+    def insert(batch: DataFrame, number: int) -> None:
+        rows = batch.withColumn("prompt_id", prompt_id()).dropDuplicates(["prompt_id"]).persist()
+        try:
+            known = table.lookup(rows.select("prompt_id")).filter(F.col("batch") != number).select("prompt_id")
+            new = rows.join(known, "prompt_id", "left_anti").withColumn("batch", F.lit(number).cast("long"))
+            made = new.select("prompt_id", F.col("created_at").alias("at"), F.lit("create").alias("kind"), F.lit(None).cast("string").alias("value"))
+            table.insert(new, batch=("prompts", number))
+            made.write.mode("overwrite").parquet(f"{events.rstrip('/')}/batch={number}")
+        finally:
+            rows.unpersist()
+
+    return insert
+
+
 def public(prompts: DataFrame) -> DataFrame:
     """What a client may see of a prompt."""
     return prompts.select("clip_id", "place", "field", "kind", "question", "options", "current_value", "status", "expires_at")

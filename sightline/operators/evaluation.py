@@ -169,9 +169,12 @@ def write_snapshot(report: DataFrame, folder: str, day: str) -> None:
 
 
 def latest_snapshot(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """The rows of the last day's report."""
-    every = spark.read.schema(f"{schema}, day string").json(folder)
-    return every.join(every.agg(F.max("day").alias("day")), "day", "left_semi").drop("day")
+    """The rows of the last day's report; the folder is listed, and no other day is read. Without reports there are no rows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in files.listStatus(at)] if files.exists(at) else []
+    days = [x for x in names if x.startswith("day=")]
+    return spark.read.schema(schema).json(f"{folder.rstrip('/')}/{max(days)}") if days else spark.createDataFrame([], schema)
 
 
 def load_labels(spark: SparkSession, folder: str, schema: str, limit: int | None = None) -> DataFrame:

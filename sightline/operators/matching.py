@@ -25,7 +25,7 @@ def within_radius(points: DataFrame, outlets: DataFrame, radius_m: float) -> Dat
 
     An equi-join on grid cells: an outlet stands in one cell, a point looks in nine, and cells are at
     least a radius wide everywhere but near the poles; the exact distance decides. ``distance_m``.
-    Outlets across the 180th meridian are not found.
+    A point near the 180th meridian looks on its other side too.
     """
     step = radius_m / METRES_PER_DEGREE
     row = lambda c: F.floor(F.col(c) / step)
@@ -35,13 +35,50 @@ def within_radius(points: DataFrame, outlets: DataFrame, radius_m: float) -> Dat
     placed = placed.withColumn("_cell", F.floor(F.col("lng") * wide(F.col("_row")) / step))
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
     looking = points.withColumn("_row", F.explode(F.transform(near, lambda d: row("lat") + d)))
-    looking = looking.withColumn("_cell", F.explode(F.transform(near, lambda d: F.floor(F.col("lng") * wide(F.col("_row")) / step) + d)))
+    edge = 2 * step / wide(F.col("_row"))
+    turns = F.array_compact(F.array(F.lit(0.0), F.when(F.col("lng") > 180 - edge, -360.0), F.when(F.col("lng") < edge - 180, 360.0)))
+    cell = lambda turn: F.floor((F.col("lng") + turn) * wide(F.col("_row")) / step)
+    looking = looking.withColumn("_cell", F.explode(F.array_distinct(F.flatten(F.transform(turns, lambda t: F.transform(near, lambda d: cell(t) + d))))))
     o = placed.select("company_id", "_row", "_cell", "outlet_id", F.col("lat").alias("_lat"), F.col("lng").alias("_lng"))
     joined = looking.join(o, ["company_id", "_row", "_cell"])
     found = joined.withColumn("distance_m", haversine_m("lat", "lng", "_lat", "_lng")).filter(F.col("distance_m") <= radius_m)
     return found.select("point_id", "company_id", "outlet_id", "distance_m")
 
 
+def nearest_outlets(points: DataFrame, outlets: DataFrame, radius_m: float, most: int) -> DataFrame:
+    """point_id, outlet_id, distance_m, rank: of the outlets in reach the nearest first, then the least id."""
+    near = within_radius(points, outlets, radius_m)
+    return ranked(near, ["point_id"], [F.col("distance_m"), F.col("outlet_id")], most).select("point_id", "outlet_id", "distance_m", "rank")
+
+
+def with_portfolio(clips: DataFrame, reps: DataFrame, *fields: str) -> DataFrame:
+    """Clips with fields of their representative, one row each; null where there is none, and then nothing is out of scope."""
+    return clips.join(reps.select("rep_id", *fields), "rep_id", "left")
+
+
+def known_products(rows: DataFrame, skus: DataFrame) -> DataFrame:
+    """Rows (aliases, say) whose product is one of the given, of the same tenant."""
+    return rows.join(skus, ["company_id", "sku_id"], "left_semi")
+
+
+def unknown_products(rows: DataFrame, skus: DataFrame) -> DataFrame:
+    """Rows whose product is none of the given, null among them."""
+    return rows.join(skus, ["company_id", "sku_id"], "left_anti")
+
+
+def last_values(rows: DataFrame, key: str, at: str, value: str, most: int) -> DataFrame:
+    """key, values: the last ``most`` of each key, the earliest of them first; cut before they are gathered."""
+    few = ranked(rows, [key], [F.desc(at), F.desc(value)], most)
+    return few.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(at, value))), lambda x: x[value]).alias("values"))
+
+
+def first_values(rows: DataFrame, key: str, at: str, value: str, most: int) -> DataFrame:
+    """key, values: the first ``most`` different values of each key, in the order in which they were first seen; nulls are no values."""
+    seen = rows.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.min(at).alias("_first"))
+    few = ranked(seen, [key], [F.col("_first")], most)
+    return few.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_first", value))), lambda x: x[value]).alias("values"))
+
+
 def ranked(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows of each key, with their rank from 1."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

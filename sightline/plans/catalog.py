@@ -133,18 +133,18 @@ def _reps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("j1_clip_rep", bridge.ctes("clips") + f", {REPS} select clip_id, segment from clips left join reps using (rep_id)")
 def _clip_rep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bridge.table(spark, sf_dir, "clips").join(_reps(spark, sf_dir), "rep_id", "left").select("clip_id", "segment")
+    return matching.with_portfolio(bridge.table(spark, sf_dir, "clips"), _reps(spark, sf_dir), "segment").select("clip_id", "segment")
 
 
 @_register("j2_alias_semi", bridge.ctes("observations", "skus") + "select observation_id from observations o where exists (select 1 from skus s where s.active and s.sku_id = o.sku_id and s.company_id = o.company_id)")
 def _alias_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     skus = bridge.table(spark, sf_dir, "skus").filter("active")
-    return bridge.table(spark, sf_dir, "observations").join(skus, ["company_id", "sku_id"], "left_semi").select("observation_id")
+    return matching.known_products(bridge.table(spark, sf_dir, "observations"), skus).select("observation_id")
 
 
 @_register("j16_fk_antijoin", bridge.ctes("observations", "skus") + "select observation_id from observations o where not exists (select 1 from skus s where s.sku_id = o.sku_id and s.company_id = o.company_id)")
 def _fk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bridge.table(spark, sf_dir, "observations").join(bridge.table(spark, sf_dir, "skus"), ["company_id", "sku_id"], "left_anti").select("observation_id")
+    return matching.unknown_products(bridge.table(spark, sf_dir, "observations"), bridge.table(spark, sf_dir, "skus")).select("observation_id")
 
 
 POINT = {"point_id": "s_suppkey", "company_id": "concat('co', cast(s_suppkey % 3 as string))", "lat": "23.78 + cast((s_suppkey * 53) % 400 as double) * 0.0001", "lng": "90.40 + cast((s_suppkey * 29) % 400 as double) * 0.0001"}
@@ -211,9 +211,8 @@ def _greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("w6_last_n", OBS + "select rep_id, string_agg(observation_id, ',' order by recorded_at, observation_id) as last_ids from (select *, row_number() over (partition by rep_id order by recorded_at desc, observation_id desc) as r from scope) where r <= 5 group by 1")
 def _last_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = matching.ranked(_observations(spark, sf_dir), ["rep_id"], [F.desc("recorded_at"), F.desc("observation_id")], 5)
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("recorded_at", "observation_id"))), lambda x: x["observation_id"])
-    return rows.groupBy("rep_id").agg(F.array_join(ids, ",").alias("last_ids"))
+    rows = matching.last_values(_observations(spark, sf_dir), "rep_id", "recorded_at", "observation_id", 5)
+    return rows.select("rep_id", F.array_join("values", ",").alias("last_ids"))
 
 
 TRIM = "regexp_replace(regexp_replace(w, '^[।,.;:!?\"''()\\[\\]{}—–\\-]+', ''), '[।,.;:!?\"''()\\[\\]{}—–\\-]+$', '')"
@@ -388,10 +387,8 @@ def _prf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("u2_distinct_first_seen", OBS + "select rep_id, string_agg(quantity::bigint::varchar, ',' order by first_id) as quantities from (select *, row_number() over (partition by rep_id order by first_id) as r from (select rep_id, quantity, min(observation_id) as first_id from scope where quantity is not null group by 1, 2)) where r <= 3 group by 1")
 def _first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = _observations(spark, sf_dir).filter("quantity is not null").groupBy("rep_id", "quantity").agg(F.min("observation_id").alias("first_id"))
-    few = matching.ranked(seen, ["rep_id"], [F.col("first_id")], 3)
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("first_id", "quantity"))), lambda x: x["quantity"].cast("long").cast("string"))
-    return few.groupBy("rep_id").agg(F.array_join(listed, ",").alias("quantities"))
+    rows = matching.first_values(_observations(spark, sf_dir), "rep_id", "observation_id", "quantity", 3)
+    return rows.select("rep_id", F.array_join(F.transform("values", lambda x: x.cast("long").cast("string")), ",").alias("quantities"))
 
 
 @_register("u3_array_except", OBS + "select observation_id, array_to_string(list_filter([case when c_skuId < 0.8 then 'skuId' end, case when c_quantity < 0.8 then 'quantity' end], lambda x: x is not null), ',') as open_fields from scope")

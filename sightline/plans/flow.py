@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import compat
@@ -277,3 +277,17 @@ def _outlet_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = _read(spark, sf_dir, "supplier").selectExpr("s_suppkey as clip_id", "concat('co', cast(s_suppkey % 3 as string)) as company_id", "'আজ' as text", "23.78D + s_suppkey % 400 * 0.0001D as lat", "90.4D + s_suppkey * 3 % 400 * 0.0001D as lng", "cast(null as string) as declared_outlet_id")
     found = resolve.resolve_outlets(said, bridge.table(spark, sf_dir, "outlets")).withColumn("top", F.get("outlet.candidates", F.lit(0))).filter("top is not null")
     return found.select("clip_id", "top.outlet_id", "top.distance_m", "top.score", F.col("outlet.gps_candidates").alias("near"))
+
+
+@register("o6_nearest_outlets", bridge.ctes("outlets") + """, c as (select s_suppkey, 'co' || s_suppkey % 3 as company_id, 23.78::double + s_suppkey % 400 * 0.0001::double as lat, 90.4::double + s_suppkey * 3 % 400 * 0.0001::double as lng from supplier),
+  d as (select s_suppkey as point_id, outlet_id, 2 * 6371000.0::double * asin(least(1, sqrt(pow(sin((radians(o.lat) - radians(c.lat)) / 2), 2) + cos(radians(c.lat)) * cos(radians(o.lat)) * pow(sin((radians(o.lng) - radians(c.lng)) / 2), 2)))) as m from c join outlets o using (company_id) where active),
+  r as (select *, row_number() over (partition by point_id order by m, outlet_id) as rank from d where m <= 600)
+  select point_id, outlet_id, rank::int as rank from r where rank <= 3""")
+def _nearest_outlets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = _read(spark, sf_dir, "supplier").selectExpr("s_suppkey as point_id", "concat('co', cast(s_suppkey % 3 as string)) as company_id", "23.78D + s_suppkey % 400 * 0.0001D as lat", "90.4D + s_suppkey * 3 % 400 * 0.0001D as lng")
+    return matching.nearest_outlets(points, bridge.table(spark, sf_dir, "outlets"), 600.0, 3).drop("distance_m")
+
+
+@register("a20_card_confidence", bridge.ctes("observations") + "select observation_id, round(coalesce(list_avg(list_filter([c_skuId, c_outletId, c_quantity], lambda x: x is not null)), 0), 9) as confidence from observations")
+def _card_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bridge.table(spark, sf_dir, "observations").select("observation_id", F.round(compat.card_confidence("field_confidence"), 9).alias("confidence"))

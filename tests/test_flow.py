@@ -1,5 +1,6 @@
 """The whole flow and its ends: extraction, replies, recogniser replies, uploads, traces, scratch tables."""
 
+import datetime
 import json
 import random
 
@@ -7,9 +8,11 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from sightline.operators import assemble, extract, quantities, replies, resolve
+from sightline.functions import bangla, sql, text
+from sightline.operators import assemble, clarify, evaluation, extract, matching, quantities, replies, resolve
 from sightline.plans import capture, flow
 from sightline.sources import bridge, recognised, scratch, traces, uploads
+from sightline.sources.keyed_table import KeyedTable
 
 SF = "/root/testdata/sf0.001"
 
@@ -181,3 +184,46 @@ def test_scratch_tables_are_removed_by_purpose(spark):
     assert two.count() == 4 and other.count() == 5
     with pytest.raises(Exception, match="(?i)not.exist|PATH_NOT_FOUND|FILE_NOT_EXIST"):
         spark.range(1).crossJoin(one).collect()
+
+
+def test_functions_in_sql(spark):
+    assert {"latin_key", "phonetic_key", "haversine_m"} <= set(sql.register(spark))
+    words = spark.createDataFrame([("Phones",), ("ম্যাঙ্গো",), ("হুইল",), ("(১২),",), (None,), ("White  Plus",)], "w string")
+    words.createOrReplaceTempView("some_words")
+    named = {"latin_key": text.latin_key, "bangla_key": bangla.bangla_key, "phonetic_key": bangla.phonetic_key, "key_skeleton": text.skeleton, "strip_edges": text.strip_edges, "normal_word": bangla.normal_word, "western_digits": bangla.western_digits}
+    mine = words.select(*(f("w").alias(name) for name, f in named.items()))
+    theirs = spark.sql("select " + ", ".join(f"{name}(w) as {name}" for name in named) + " from some_words")
+    assert sorted(map(str, mine.collect())) == sorted(map(str, theirs.collect()))
+    row = spark.sql("select half_up(2.345, 2) as a, haversine_m(0, 0, 0, 1) as b, key_ratio('abc', 'abd') as c, key_ratio('', '') as d, confidence_tone(0.7) as e").first()
+    assert (row.a, row.c, row.d, row.e) == (2.35, pytest.approx(2 / 3), 1.0, "mid") and row.b == pytest.approx(111194.93, abs=0.01)
+
+
+def test_points_look_across_the_180th_meridian(spark):
+    outlets = spark.createDataFrame([("c", f"O{k}", lat, lng, True) for k, (lat, lng) in enumerate([(0.0, 179.9995), (0.0, -179.9995), (60.0, -179.999), (60.0, 179.999), (0.0, 0.0)])], "company_id string, outlet_id string, lat double, lng double, active boolean")
+    points = spark.createDataFrame([(1, "c", 0.0, 179.9999), (2, "c", 0.0, -179.9998), (3, "c", 60.0, 179.9995), (4, "c", 0.0, 0.0001)], "point_id int, company_id string, lat double, lng double")
+    got = {(r.point_id, r.outlet_id) for r in matching.within_radius(points, outlets, 120.0).collect()}
+    every = points.join(outlets.select("company_id", "outlet_id", F.col("lat").alias("a"), F.col("lng").alias("b")), "company_id")
+    assert got == {(r.point_id, r.outlet_id) for r in every.filter(text.haversine_m("lat", "lng", "a", "b") <= 120.0).collect()} and len(got) == 7
+    few = {(r.point_id, r.outlet_id, r.rank) for r in matching.nearest_outlets(points, outlets, 120.0, 1).collect()}
+    assert few == {(1, "O0", 1), (2, "O1", 1), (3, "O3", 1), (4, "O4", 1)}
+
+
+def test_last_snapshot_alone_is_read(spark, tmp_path):
+    for day in ("2024-01-01", "2024-01-02"):
+        evaluation.write_snapshot(spark.createDataFrame([(day, 0.5)], "run_at string, accuracy double"), str(tmp_path), day)
+    last = evaluation.latest_snapshot(spark, str(tmp_path), "run_at string, accuracy double")
+    assert last.first().run_at == "2024-01-02" and all("2024-01-02" in f for f in last.inputFiles())
+    assert evaluation.latest_snapshot(spark, str(tmp_path / "none"), "run_at string, accuracy double").count() == 0
+
+
+def test_prompts_are_inserted_with_their_timers(spark, tmp_path):
+    schema = "clip_id long, place int, field string, created_at timestamp"
+    table = KeyedTable.create(spark, str(tmp_path / "prompts"), schema + ", prompt_id string, batch long", ["prompt_id"], 4)
+    asked = lambda *clips: spark.createDataFrame([(c, 0, "skuId", datetime.datetime(2024, 1, 1)) for c in clips], schema)
+    insert = clarify.insert_prompts(table, str(tmp_path / "events"))
+    insert(asked(1, 2), 0)
+    insert(asked(2, 3, 3), 1)
+    insert(asked(2, 3, 3), 1)  # a batch that runs again
+    events = spark.read.parquet(str(tmp_path / "events"))
+    assert sorted(r.clip_id for r in table.read().collect()) == [1, 2, 3]
+    assert events.count() == 3 and events.select("prompt_id").distinct().count() == 3 and {r.kind for r in events.collect()} == {"create"}
