@@ -120,8 +120,12 @@ def overlap_confidence(words: Column, s: Column, e: Column) -> Column:
 
     An empty span is 0; without overlap the mean of all words; without words 0.5.
     """
-    shared = lambda w: F.greatest(F.lit(0), F.least(e, w["e"]) - F.greatest(s, w["s"]))
-    weight = F.aggregate(words, F.lit(0.0), lambda a, w: a + shared(w))
-    total = F.aggregate(words, F.lit(0.0), lambda a, w: a + shared(w) * w["conf"])
-    everything = F.aggregate(words, F.lit(0.0), lambda a, w: a + w["conf"])
-    return F.when(e <= s, 0.0).when(F.size(words) == 0, 0.5).when(weight > 0, total / F.nullif(weight, F.lit(0.0))).otherwise(everything / F.nullif(F.size(words), F.lit(0)))
+    start = F.struct(F.lit(0.0).alias("weight"), F.lit(0.0).alias("total"))
+
+    def add(sums: Column, w: Column) -> Column:
+        shared = F.greatest(F.lit(0), F.least(e, w["e"]) - F.greatest(s, w["s"]))
+        return F.struct((sums["weight"] + shared).alias("weight"), (sums["total"] + shared * w["conf"]).alias("total"))
+
+    heard = F.aggregate(words, start, add, lambda sums: F.when(sums["weight"] > 0, sums["total"] / F.nullif(sums["weight"], F.lit(0.0))))
+    everything = F.aggregate(words, F.lit(0.0), lambda a, w: a + w["conf"]) / F.nullif(F.size(words), F.lit(0))  # worked out only where nothing is shared
+    return F.when(e <= s, 0.0).when(F.size(words) == 0, 0.5).otherwise(F.coalesce(heard, everything))
