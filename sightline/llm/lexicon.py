@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import contextlib
 import hashlib
+import heapq
 import json
 import os
 import tempfile
@@ -31,6 +32,8 @@ LEXICON_WORDS = 1 << 15
 MEMO_WORDS = 200_000
 SLICE_BYTES = 1 << 21
 NO_RANK = np.int64(1) << 40
+#: Bytes from which a word is merged by itself.
+LONG_WORD = 1 << 10
 
 
 class Merges:
@@ -63,7 +66,10 @@ class Merges:
         return np.where(self.keys[at] == key, self.ranks[at], NO_RANK)
 
     def ids(self, found: list[bytes]) -> list[list[int]]:
-        """ids of each word: in every round each word merges all places of its lowest-ranked pair."""
+        """ids of each word: long words one by one; of the others, in every round each merges all places of its lowest-ranked pair."""
+        if any(len(w) > LONG_WORD for w in found):
+            short = iter(self.ids([w for w in found if len(w) <= LONG_WORD]))
+            return [self.long_ids(w) if len(w) > LONG_WORD else next(short) for w in found]
         out: list = [None] * len(found)
         sizes = np.array([len(w) for w in found], np.int64)
         raw = np.frombuffer(b"".join(found), np.uint8)
@@ -94,6 +100,40 @@ class Merges:
             symbols, word = symbols[keep], word[keep]
         return out
 
+    def long_ids(self, word: bytes) -> list[int]:
+        """ids of one word, in time that grows little faster than its length: pairs wait in a heap by rank and place, symbols are a linked list."""
+        raw = np.frombuffer(word, np.uint8)
+        symbols = self.inner[raw]
+        symbols[-1] = self.final[raw[-1]]
+        rank = self.rank(symbols[:-1], symbols[1:])
+        places = np.flatnonzero(rank < NO_RANK)
+        waiting = list(zip(rank[places].tolist(), places.tolist(), symbols[places].tolist(), symbols[places + 1].tolist(), strict=True))
+        heapq.heapify(waiting)
+        at, n = symbols.tolist(), len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        known: dict[int, int] = {}
+
+        def wait(left: int, right: int) -> None:
+            key = at[left] << 20 | at[right]
+            if key not in known:
+                known[key] = int(self.rank(np.array([at[left]]), np.array([at[right]]))[0])
+            if known[key] < NO_RANK:
+                heapq.heappush(waiting, (known[key], left, at[left], at[right]))
+
+        while waiting:
+            r, k, left, right = heapq.heappop(waiting)
+            following = after[k]
+            if at[k] != left or following >= n or at[following] != right:
+                continue  # one of the two has been merged meanwhile
+            at[k], at[following] = int(self.made[r]), -1
+            after[k] = after[following]
+            if after[k] < n:
+                before[after[k]] = k
+                wait(k, after[k])
+            if before[k] >= 0:
+                wait(before[k], k)
+        return [x for x in at if x >= 0]
+
     def slow_words(self, text: str) -> list[bytes | int]:
         """Words of any text by the library's own normaliser and splitter; special tokens as their ids."""
         out: list[bytes | int] = []
@@ -214,10 +254,10 @@ def merges(path: str) -> Merges:
 
 
 def mapped(block: bytes) -> Lexicon:
-    """The block as a memory-mapped file of this machine, shared by its workers."""
+    """The block as a memory-mapped file of this machine, shared by its workers; a file that is not the block is written anew."""
     name = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(block).hexdigest()[:24]}.bin")
     if name not in _lexicons:
-        if not os.path.exists(name):
+        if not _holds(name, block):
             with tempfile.NamedTemporaryFile(dir=os.path.dirname(name), delete=False) as f:
                 f.write(block)
             with contextlib.suppress(OSError):
@@ -226,6 +266,14 @@ def mapped(block: bytes) -> Lexicon:
     return _lexicons[name]
 
 
+def _holds(name: str, block: bytes) -> bool:
+    try:
+        with open(name, "rb") as f:
+            return f.read(len(block) + 1) == block
+    except OSError:
+        return False
+
+
 def word_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """word (binary), n: how often each BPE word occurs in the whole texts of ``docs``."""
 
@@ -271,7 +319,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, size: int = LEXICON_WORD
     ids are those of Tokenizer.encode(text, add_special_tokens=False), spellings of special tokens
     included; decoded is Tokenizer.decode(ids, skip_special_tokens=False), which for a file without
     a decoder joins token strings by one space. ids_sha256 digests the decimal ids, joined by one
-    space. Null and empty texts have no tokens and decode to ''. Equal rows give equal rows; a
+    space. A text and a word may have any length. Null and empty texts have no tokens and decode to ''. Equal rows give equal rows; a
     null doc_id stays null; other columns are ignored; no rows give no rows.
     """
     block = docs.sparkSession.sparkContext.broadcast(build_lexicon(docs, tokenizer_path, size))

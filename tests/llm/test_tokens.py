@@ -126,3 +126,32 @@ def test_empty_tables(spark):
     assert token_files.read_token_files(token_files.write_token_files(none, BYTE, 2)).count() == 0
     assert lexicon.encode_decode(none, WORD).count() == 0
     assert fingerprints.compare_with_next(none).count() == 0
+
+
+def test_long_words_equal_the_library():
+    rules, library, rng = lexicon.Merges(WORD), Tokenizer.from_file(WORD), random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = ["a" * 5000, "ab" * 3000 + "a", "the" * 2000, "".join(rng.choice(letters) for _ in range(20_000)), "".join(rng.choice(["ing", "er", "th", "e", "n", "straße", "é"]) for _ in range(4000)), "日本語" * 800]
+    for text in texts:
+        for word in rules.slow_words(text):
+            shown = "".join(rules.letters[b] for b in word)
+            assert len(word) > lexicon.LONG_WORD and rules.long_ids(word) == rules.ids([word])[0]
+            assert "".join(rules.token[i] for i in rules.long_ids(word)) == shown + rules.end
+        assert [i for w in rules.slow_words(text) for i in rules.ids([w])[0]] == library.encode(text, add_special_tokens=False).ids
+    short = ["hello", "aaaaaaa", "straße", "x"]
+    assert [rules.long_ids(w.encode()) for w in short] == rules.ids([w.encode() for w in short])
+
+
+def test_a_word_of_a_megabyte(spark):
+    rows = [(1, "x" * (1 << 20), "s"), (2, "word " + "lo" * (1 << 18), "s")]
+    library = Tokenizer.from_file(WORD)
+    got = {r.doc_id: r.n_tokens for r in lexicon.encode_decode(frame(spark, rows), WORD).collect()}
+    assert got == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t, _ in rows}
+
+
+def test_a_file_that_is_not_the_lexicon_is_not_trusted(tmp_path, monkeypatch):
+    monkeypatch.setattr(lexicon.tempfile, "gettempdir", lambda: str(tmp_path))
+    block = lexicon.compile_lexicon([(b"ab", [7]), (b"abc", [8, 9])])
+    name = tmp_path / f"lexicon-{hashlib.sha256(block).hexdigest()[:24]}.bin"
+    name.write_bytes(block[:-1])
+    assert lexicon.mapped(block).find([b"ab", b"abc", b"x"]).tolist() == [0, 1, -1] and name.read_bytes() == block
