@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from ..functions import bangla_values as values
 from ..functions.bangla import normal_word, phonetic_key, western_digits
 from ..functions.compat import half_up
-from ..functions.text import ratio, tokens
+from ..functions.text import tokens
 from ..sources.scratch import written
 from .resolve import similar_keys
 
@@ -54,8 +54,7 @@ def classify(words: DataFrame) -> DataFrame:
     exact = rest.join(F.broadcast(lexicon), "form").withColumns({"confidence": F.when(F.col("canonical"), 1.0).otherwise(VARIANT_CONFIDENCE), "basis": none()}).select(columns)
     rest = rest.join(F.broadcast(lexicon), "form", "left_anti").filter((F.length("form") >= 2) & (F.col("own") != ""))
     forms = lexicon.filter("kind <> 'unit' and key <> ''").select(F.col("key").alias("right"), F.struct((-F.col("ord")).alias("order"), "kind", "number", "unit", "word").alias("k"))
-    near = similar_keys(rest.select(F.col("own").alias("key")), forms.select(F.col("right").alias("key")), FUZZY_THRESHOLD)
-    near = near.withColumn("score", ratio("left", "right")).filter(F.col("score") >= FUZZY_THRESHOLD)  # vowels count in numerals
+    near = similar_keys(rest.select(F.col("own").alias("key")), forms.select(F.col("right").alias("key")), FUZZY_THRESHOLD, bones=False).withColumnRenamed("likeness", "score")
     near = near.join(F.broadcast(forms), "right").groupBy(F.col("left").alias("own")).agg(F.max(F.struct("score", "k")).alias("best")).join(rest.select("token", "own"), "own")
     near = near.select("token", "best.k.kind", "best.k.number", "best.k.unit", "best.k.word", (F.col("best.score") * FUZZY_CONFIDENCE).alias("confidence"), none().alias("basis"))
     return literal.unionByName(joined).unionByName(exact).unionByName(near)

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.bangla import phonetic_key
 from ..functions.compat import clamp01, half_up
-from ..functions.text import PACK_TOKEN, haversine_m, key_similarity, latin_key, proximity, skeleton, tokens
+from ..functions.text import PACK_TOKEN, haversine_m, key_similarity, latin_key, proximity, ratio, skeleton, tokens
 from ..sources.scratch import written
 from .matching import greedy_spans, within_radius
 
@@ -34,15 +34,16 @@ def folded(word: Column) -> Column:
     return latin_key(phonetic_key(word))
 
 
-def similar_keys(left: DataFrame, right: DataFrame, floor: float = TOKEN_FLOOR) -> DataFrame:
+def similar_keys(left: DataFrame, right: DataFrame, floor: float = TOKEN_FLOOR, bones: bool = True) -> DataFrame:
     """(left, right, likeness) of the keys, each a column ``key``, whose likeness is ``floor`` or more: exactly those.
 
     Keys (or skeletons) of length n within d edits share one of d + 1 segments of the other, at most d places
-    away. So both sides meet on (length, segment number, segment), and pairs are then measured.
+    away. So both sides meet on (length, segment number, segment), and pairs are then measured. Without ``bones``
+    vowels count: keys must be alike themselves.
     """
     left, right = (x.filter("key <> ''").select("key").distinct() for x in (left, right))
     met = None
-    for kind, form, least in (("key", lambda k: k, floor), ("bones", skeleton, floor / SKELETON_SHARE)):
+    for form, least in ((lambda k: k, floor), (skeleton, floor / SKELETON_SHARE))[: 1 + bones]:
         edits = lambda n: F.floor(n * ((1 - least) / least) + 1e-9).cast("int")  # noqa: B023, E731
         bound = lambda n, i: F.floor(n * i / (edits(n) + 1)).cast("int")  # noqa: B023, E731
         r = right.withColumn("form", form(F.col("key"))).filter("form <> ''").withColumn("n", F.length("form"))
@@ -60,7 +61,7 @@ def similar_keys(left: DataFrame, right: DataFrame, floor: float = TOKEN_FLOOR)
         l = l.select("left", "n", "i", F.col("form").substr(F.col("at") + 1, F.col("size")).alias("piece")).distinct()  # noqa: E741
         pairs = l.join(r, ["n", "i", "piece"]).select("left", "right")
         met = pairs if met is None else met.union(pairs)
-    alike = key_similarity("left", "right")
+    alike = key_similarity("left", "right") if bones else ratio("left", "right")
     return met.distinct().withColumn("likeness", alike).filter(F.col("likeness") >= floor)
 
 
