@@ -1,3 +1,3 @@
 """Registered queries; importing the package registers all of them."""
 
-from . import capture, catalog, flow  # noqa: F401
+from . import capture, catalog, flow, parts  # noqa: F401
