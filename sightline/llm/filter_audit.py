@@ -23,9 +23,9 @@ FILTERS = "ABCDE"
 COPY = 1 << FILTERS.index("E")
 CAPITALS = bytes(range(65, 91))
 MARKS = b"#$%&*|"
-#: Text that a task folds before it sends what it has, and that a partition of texts should hold.
+#: Text that a task folds before it sends what it has, and that a partition of texts holds at most, beside what spark.sql.shuffle.partitions asks.
 FOLD_BYTES = 64 << 20
-PART_BYTES = 32 << 20
+PART_BYTES = 128 << 20
 
 COUNTS = ["kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
 OUT = "part string, filter_order string, step int, " + ", ".join(f"{c} long" for c in COUNTS)

@@ -18,8 +18,9 @@ from .store import materialize, row_key
 #: Words of text before A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Text that one partition of the position table comes from: a word's row takes some 80 bytes in its sort.
-PART_BYTES = 16 << 20
+#: Text that one partition of the position table comes from at most, beside what spark.sql.shuffle.partitions asks: a word's
+#: row takes some 80 bytes in its sort, which spills where memory ends, and more partitions would burden the shuffle of a large input.
+PART_BYTES = 128 << 20
 
 ROW = ["row_a", "row_b", "copy"]
 
