@@ -291,3 +291,23 @@ def _nearest_outlets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("a20_card_confidence", bridge.ctes("observations") + "select observation_id, round(coalesce(list_avg(list_filter([c_skuId, c_outletId, c_quantity], lambda x: x is not null)), 0), 9) as confidence from observations")
 def _card_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bridge.table(spark, sf_dir, "observations").select("observation_id", F.round(compat.card_confidence("field_confidence"), 9).alias("confidence"))
+
+
+OFFERED_SQL = """select p_partkey as k, case p_partkey % 5 when 0 then '' when 1 then 'O' || p_partkey % 100 when 2 then 'O' || p_partkey % 100 || ',O' || (p_partkey % 100 + 1)
+  else 'O' || p_partkey % 100 || ',O' || (p_partkey % 100 + 1) || ',O' || (p_partkey % 100 + 2) || ',O' || (p_partkey % 100 + 3) end as outlets, case when p_partkey % 3 = 0 then 'C' || p_partkey % 50 else '' end as rival from part"""
+
+
+@register("u1_offered", f"select k as clip_id, outlets as outlet_ids, 'S' || k || ',S' || (k + 1) as sku_ids, rival as competitor_brands from ({OFFERED_SQL})")
+def _offered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What clips of many shapes offer to choose from."""
+    known = _known(spark, sf_dir)
+    words = assemble.vocabulary(F.col("outlet"), F.col("skus"))
+    return known.select("clip_id", *(F.array_join(words[c], ",").alias(c) for c in ("outlet_ids", "sku_ids", "competitor_brands")))
+
+
+@register("t5d_assembled", f"""with o as ({OFFERED_SQL}) select k as clip_id, 0 as place, 'demand_signal' as type, nullif(split_part(outlets, ',', 1), '') as outlet_id, 'S' || k as sku_id, null::varchar as competitor_brand, (k % 9)::double + 0.5 as quantity, 'kg' as unit, 'medium' as severity from o
+  union all select k, 1, 'competitor_promo', nullif(split_part(outlets, ',', 1), ''), null, rival, null, null, 'high' from o where rival <> ''""")
+def _assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A demand signal for each clip, and a promotion where a competitor was heard."""
+    found = assemble.assembled(_known(spark, sf_dir))
+    return found.select("clip_id", "place", *(F.col("observation")[c].alias(c) for c in ("type", "outlet_id", "sku_id", "competitor_brand", "quantity", "unit", "severity")))
