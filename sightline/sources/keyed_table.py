@@ -131,6 +131,8 @@ class KeyedTable:
         full = [b for b in touched if len(self.state["folders"].get(b, [])) >= MOST_FOLDERS]
         commit = uuid.uuid4().hex
         written = self._write(merged(self._rows(touched), rows), commit)
+        if not set(written) <= set(touched):
+            raise ValueError("there are rows of keys that the commit is not about")
         if adds and full:  # what the buckets held is written as one folder beside what is new
             written |= {b: [*found, *written.get(b, [])] for b, found in self._write(self._rows(full), f"{commit}-whole").items()}
         folders = dict(self.state["folders"])

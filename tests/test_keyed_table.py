@@ -41,6 +41,13 @@ def test_insert_upsert_and_replace_equal_their_folds(spark, table, rows):
     assert not table.read().filter("k = 3").count()
 
 
+def test_rows_of_other_keys_are_refused(spark, table, rows):
+    table.upsert(rows([(k, "a", k) for k in range(20)]))
+    with pytest.raises(ValueError):
+        table.replace(spark.createDataFrame([(1,)], "k long"), rows([(k, "b", k) for k in range(20)]))
+    assert table.read().filter("v = 'a'").count() == 20
+
+
 def test_a_batch_counts_once(table, rows):
     add = lambda there, given: there.unionByName(given).groupBy("k", "v").agg(F.sum("n").alias("n"))
     assert table.merge(rows([(1, "a", 5)]), add, ("s", 0)) and table.merge(rows([(1, "a", 2), (2, "a", 1)]), add, ("s", 1))
