@@ -52,6 +52,7 @@ def similar_keys(left: DataFrame, right: DataFrame, floor: float = TOKEN_FLOOR,
         m = F.col("m")
         lengths = F.sequence(F.greatest(F.lit(1), F.ceil(m * least - 1e-9).cast("int")), F.floor(m / least + 1e-9).cast("int"))
         l = left.withColumn("form", form(F.col("key"))).filter("form <> ''").withColumn("m", F.length("form")).select("key", "form", "m", F.explode(lengths).alias("n"))  # noqa: E741
+        l = l.join(F.broadcast(r.select("n").distinct()), "n", "left_semi")  # a row a length: others have no counterpart  # noqa: E741
         l = l.select("*", F.explode(F.sequence(F.lit(0), edits(F.col("n")))).alias("i"))  # noqa: E741
         size = bound(F.col("n"), F.col("i") + 1) - bound(F.col("n"), F.col("i"))
         start, d = bound(F.col("n"), F.col("i")), edits(F.col("n"))
@@ -185,7 +186,8 @@ def resolve_products(transcripts: DataFrame, skus: DataFrame, aliases: DataFrame
     members, keyed = product_classes(written(product_keys(skus)))
     single = spoken.filter("n = 1").select("clip_id", "company_id", "at", "own", F.col("fold").alias("key"))
     joined = spoken.filter("m > 1").select("clip_id", "company_id", "at", "n", latin_key("joined").alias("key"))
-    alike = written(similar_keys(single.select("key").union(joined.select("key")), keyed.select("key")))
+    brands = keyed.filter("kind = 'brand'").select("key")
+    alike = written(similar_keys(single.select("key"), keyed.select("key")).union(similar_keys(joined.select("key"), brands, BRAND_FLOOR)).distinct())
     alike = alike.join(keyed, F.col("right") == F.col("key")).drop("right", "key")
     floor = F.when(F.col("kind") == "core", TOKEN_FLOOR).when(F.col("kind") == "pack", PACK_FLOOR).otherwise(BRAND_FLOOR)
     alike = alike.filter(F.col("likeness") >= floor).withColumnRenamed("left", "key")
