@@ -248,14 +248,19 @@ def with_name_scores(rows: DataFrame, longest: int) -> DataFrame:
     names the outlet. Each likeness of a part and a token is measured once.
     """
     measured = F.transform("parts", lambda p: F.struct(p["weight"].alias("weight"), F.transform("folds", lambda f: F.when(f.isNull(), 0.0).otherwise(key_similarity(p["fold"], f))).alias("to")))
-    rows = rows.withColumn("alike", measured).withColumn("total", F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["weight"]))
+    whole = F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["weight"])
     last = F.size("folds")
     places = F.when(last > 0, F.sequence(F.lit(0), last - 1)).otherwise(F.array().cast("array<int>"))
     spans = F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), last - i)), lambda n: F.struct(i.alias("at"), n.alias("n")))))
-    rows = rows.withColumn("spans", F.filter(spans, lambda r: F.exists(F.slice("folds", r["at"] + 1, r["n"]), lambda f: f.isNotNull())))
-    score = lambda r: F.aggregate("alike", F.lit(0.0), lambda a, p: a + p["weight"] * F.array_max(F.slice(p["to"], r["at"] + 1, r["n"]))) / F.nullif("total", F.lit(0.0))
-    runs = F.transform("spans", lambda r: F.struct(r["at"].alias("at"), r["n"].alias("n"), F.coalesce(score(r), F.lit(0.0)).alias("score")))
-    return rows.withColumn("runs", F.coalesce(runs, F.array().cast("array<struct<at:int,n:int,score:double>>"))).drop("alike", "total", "spans")
+    spans = F.filter(spans, lambda r: F.exists(F.slice("folds", r["at"] + 1, r["n"]), lambda f: f.isNotNull()))
+
+    def scores(known: Column) -> Column:
+        score = lambda r: F.aggregate(known["alike"], F.lit(0.0), lambda a, p: a + p["weight"] * F.array_max(F.slice(p["to"], r["at"] + 1, r["n"]))) / F.nullif(known["total"], F.lit(0.0))
+        return F.transform(spans, lambda r: F.struct(r["at"].alias("at"), r["n"].alias("n"), F.coalesce(score(r), F.lit(0.0)).alias("score")))
+
+    # an array of one binds what is measured to a name; the optimizer would put the column's expression into each run
+    runs = F.get(F.transform(F.array(F.struct(measured.alias("alike"), whole.alias("total"))), scores), F.lit(0))
+    return rows.withColumn("runs", F.coalesce(runs, F.array().cast("array<struct<at:int,n:int,score:double>>")))
 
 
 OUTLET = "struct<s:int,e:int,raw:string,candidates:array<struct<outlet_id:string,name:string,distance_m:double,name_score:double,score:double>>,margin:double,gps_candidates:int,declared:boolean>"
