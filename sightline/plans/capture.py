@@ -203,7 +203,8 @@ def _declared(spark: SparkSession, sf_dir: str) -> DataFrame:
   select row::int as row, case when a and b then 'skuId: String must contain at least 1 character(s); name: String must contain at least 1 character(s)' when a then 'skuId: String must contain at least 1 character(s)' else 'name: String must contain at least 1 character(s)' end as reason from b where a or b""")
 def _import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as the rows of a file, some of whose cells are blank."""
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("cast(p_partkey + 1 as int) as row", "p_name", "p_brand as brand")
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", F.col("p_brand").alias("brand"))
+    parts = imports.numbered(parts, "p_partkey").withColumn("row", F.col("row").cast("int"))
     cells = parts.select("row", F.when(F.col("row") % 7 == 0, "").otherwise(F.concat(F.lit("S"), "row")).alias("skuId"), F.when(F.col("row") % 11 == 0, "").otherwise(F.col("p_name")).alias("name"), "brand")
     return imports.sku_rows(cells, COMPANY)[1]
 

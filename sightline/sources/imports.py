@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.compat import parse_bool, split_list
+from .scratch import written
 
 # The wording of reasons.
 EMPTY_TEXT = "String must contain at least 1 character(s)"
@@ -30,6 +31,16 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return filled.withColumn("row", F.row_number().over(Window.partitionBy("_file").orderBy("_at")) + 1).drop("_file", "_at")
 
 
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """Rows with ``row``: their place by ``key``, from 2 as behind a header. Ranges are sorted by tasks, and only their counts are gathered."""
+    sorted_rows = written(rows.repartitionByRange(F.col(key).asc_nulls_last()).sortWithinPartitions(F.col(key).asc_nulls_last()).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("_at", 33)
+    counts = sorted_rows.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))  # one row a task
+    before = counts.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("before"))
+    placed = sorted_rows.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return placed.withColumn("row", F.col("before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 2).drop("_at", "_part", "before")
+
+
 def require_headers(rows: DataFrame, required: list[str]) -> None:
     missing = [c for c in required if c not in rows.columns]
     if missing:
