@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import haversine_m
+from ..sources.scratch import written
 
 METRES_PER_DEGREE = 111_000.0
 
@@ -40,15 +41,46 @@ def within_radius(points: DataFrame, outlets: DataFrame, radius_m: float) -> Dat
     cell = lambda turn: F.floor((F.col("lng") + turn) * wide(F.col("_row")) / step)
     looking = looking.withColumn("_cell", F.explode(F.array_distinct(F.flatten(F.transform(turns, lambda t: F.transform(near, lambda d: cell(t) + d))))))
     o = placed.select("company_id", "_row", "_cell", "outlet_id", F.col("lat").alias("_lat"), F.col("lng").alias("_lng"))
-    joined = looking.join(o, ["company_id", "_row", "_cell"])
+    joined = meeting(looking, o, ["company_id", "_row", "_cell"], "point_id")
     found = joined.withColumn("distance_m", haversine_m("lat", "lng", "_lat", "_lng")).filter(F.col("distance_m") <= radius_m)
     return found.select("point_id", "company_id", "outlet_id", "distance_m")
 
 
+#: Pairs that one task compares.
+PAIRS = 2_000_000
+
+
+def meeting(left: DataFrame, right: DataFrame, keys: list[str], by: str, most: int = PAIRS) -> DataFrame:
+    """``left`` joined with ``right`` on ``keys``, dealt over tasks by the pairs that come of it: some ``most`` each, or fewer.
+
+    Pairs grow faster than rows, so tasks dealt by rows would grow with them. A key of more pairs is cut: the side with more rows
+    is dealt over the cuts (``left`` by its column ``by``, ``right`` by all columns), the other side is at each of them.
+    """
+    n, m = (side.groupBy(*keys).agg(F.count("*").alias(c)) for side, c in ((left, "_n"), (right, "_m")))
+    met = n.join(m, keys).withColumn("_pairs", F.col("_n") * F.col("_m"))
+    large = met.filter(F.col("_pairs") > most).select(*keys, F.ceil(F.col("_pairs") / most).cast("int").alias("_cuts"), (F.col("_n") >= F.col("_m")).alias("_dealt"))
+    tasks = int((met.agg(F.sum("_pairs")).first()[0] or 0) / most)
+    if tasks < 1:
+        return left.join(right, keys)
+    every = F.sequence(F.lit(0), F.col("_cuts") - 1)
+    one = lambda *c: F.array(F.pmod(F.xxhash64(*c), F.col("_cuts")).cast("int"))
+    cut = lambda side, here, c: side.join(F.broadcast(large), keys, "left").withColumn("_cut", F.explode(F.when(F.col("_cuts").isNull(), F.array(F.lit(0))).when(here, one(*c)).otherwise(every))).drop("_cuts", "_dealt").repartition(2 * tasks, *keys, "_cut")
+    return cut(left, F.col("_dealt"), [by]).join(cut(right, ~F.col("_dealt"), right.columns), [*keys, "_cut"]).drop("_cut")
+
+
 def nearest_outlets(points: DataFrame, outlets: DataFrame, radius_m: float, most: int) -> DataFrame:
-    """point_id, outlet_id, distance_m, rank: of the outlets in reach the nearest first, then the least id."""
-    near = within_radius(points, outlets, radius_m)
-    return ranked(near, ["point_id"], [F.col("distance_m"), F.col("outlet_id")], most).select("point_id", "outlet_id", "distance_m", "rank")
+    """point_id, outlet_id, distance_m, rank: of the outlets in reach the nearest first, then the least id.
+
+    Points of one place see the same outlets, and outlets of one place are equally far. So places are compared, each with its
+    ``most`` least outlets, and a crowded place costs no more than an empty one.
+    """
+    place = ["company_id", "lat", "lng"]
+    few = ranked(outlets.filter("active").select(*place, "outlet_id", "active"), place, [F.col("outlet_id")], most).drop("rank")
+    seen = written(points.select(*place).filter("lat is not null and lng is not null").distinct().withColumn("point_id", F.monotonically_increasing_id()))
+    near = ranked(within_radius(seen, few, radius_m), ["point_id"], [F.col("distance_m"), F.col("outlet_id")], most)
+    back = near.select(F.col("point_id").alias("_seen"), "outlet_id", "distance_m").join(seen.withColumnRenamed("point_id", "_seen"), "_seen")
+    found = points.join(back, place).select("point_id", "outlet_id", "distance_m")
+    return ranked(found, ["point_id"], [F.col("distance_m"), F.col("outlet_id")], most)
 
 
 def with_portfolio(clips: DataFrame, reps: DataFrame, *fields: str) -> DataFrame:

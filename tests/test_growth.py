@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from sightline.operators import matching
 from sightline.sources import imports
 
 
@@ -12,3 +13,29 @@ def test_rows_of_a_file_are_numbered_by_place_not_by_key(spark):
     assert imports.numbered(rows.limit(0), "k").count() == 0
     many = imports.numbered(spark.range(1000).select((F.col("id") * 3).alias("k")), "k")
     assert many.filter(F.col("row") != F.col("k") / 3 + 2).count() == 0
+
+
+PLACED = "company_id string, lat double, lng double"
+
+
+def test_crowded_places_are_compared_once(spark, monkeypatch):
+    points = spark.createDataFrame([(k, "c", 23.0 + k % 2 * 0.001, 90.0) for k in range(40)] + [(99, "c", None, 90.0)], f"point_id long, {PLACED}")
+    outlets = spark.createDataFrame([(f"o{k:02}", "c", 23.0 + k % 3 * 0.0005, 90.0, k != 1) for k in range(60)], f"outlet_id string, {PLACED}, active boolean")
+    met = []
+    within = matching.within_radius
+    monkeypatch.setattr(matching, "within_radius", lambda p, o, r: met.append((p.count(), o.count())) or within(p, o, r))
+    got = matching.nearest_outlets(points, outlets, 120.0, 3).collect()
+    monkeypatch.undo()
+    assert met == [(2, 9)]  # two places of points, three of outlets with three outlets each
+    every = within(points, outlets, 120.0)
+    want = matching.ranked(every, ["point_id"], [F.col("distance_m"), F.col("outlet_id")], 3).collect()
+    assert {(r.point_id, r.rank, r.outlet_id) for r in got} == {(r.point_id, r.rank, r.outlet_id) for r in want} and len(got) == 120
+
+
+def test_crowded_keys_are_cut_over_tasks(spark):
+    left = spark.range(60).select(F.lit("a").alias("k"), F.col("id").alias("x")).unionByName(spark.createDataFrame([("b", 1), (None, 2)], "k string, x long"))
+    right = spark.range(20).select(F.lit("a").alias("k"), F.col("id").alias("y")).unionByName(spark.range(30).select(F.lit("b").alias("k"), F.col("id").alias("y")))
+    dealt = matching.meeting(left, right, ["k"], "x", most=50)
+    want = left.join(right, ["k"])
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, want.collect())) and dealt.count() == 1230
+    assert max(r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()) < 600
