@@ -67,19 +67,36 @@ def wer(reference: Column, heard: Column) -> Column:
 
     Each distinct word of the two texts becomes one letter, so that the edit distance of strings is that of words.
     """
-    words = lambda x: F.transform(tokens(x), lambda t: t["text"])
-    a, b = words(F.coalesce(reference, F.lit(""))), words(F.coalesce(heard, F.lit("")))
-    known = F.array_distinct(F.concat(a, b))
-    letter = lambda w: F.lpad(F.hex(F.array_position(known, w) + 0xFF), 4, "0")
-    spelt = lambda ws: F.decode(F.unhex(F.array_join(F.transform(ws, letter), "")), "UTF-16BE")
-    distance = F.when(F.size(known) > MOST_WORDS, F.raise_error(F.lit("too many distinct words for one word error rate"))).otherwise(F.levenshtein(spelt(a), spelt(b)))
-    return F.when(F.size(a) == 0, F.when(F.size(b) == 0, 0.0).otherwise(1.0)).otherwise(distance / F.nullif(F.size(a), F.lit(0)))
+    words = lambda x: F.transform(tokens(F.coalesce(x, F.lit(""))), lambda t: t["text"])
+    # arrays of one bind what is worked out to names; the optimizer would put the expressions into each word
+    bound = lambda x, of: F.get(F.transform(F.array(x), of), F.lit(0))
+
+    def rate(said: Column) -> Column:
+        a, b = said["a"], said["b"]
+        letter = lambda known, w: F.lpad(F.hex(F.array_position(known, w) + 0xFF), 4, "0")
+        spelt = lambda known, ws: F.decode(F.unhex(F.array_join(F.transform(ws, lambda w: letter(known, w)), "")), "UTF-16BE")
+        far = lambda known: F.when(F.size(known) > MOST_WORDS, F.raise_error(F.lit("too many distinct words for one word error rate"))).otherwise(F.levenshtein(spelt(known, a), spelt(known, b)))
+        distance = bound(F.array_distinct(F.concat(a, b)), far)
+        return F.when(F.size(a) == 0, F.when(F.size(b) == 0, 0.0).otherwise(1.0)).otherwise(distance / F.nullif(F.size(a), F.lit(0)))
+
+    return bound(F.struct(words(reference).alias("a"), words(heard).alias("b")), rate)
+
+
+def with_wer(rows: DataFrame) -> DataFrame:
+    """Rows of (reference, heard) with ``wer``; equal pairs are compared once."""
+    pairs = rows.select(F.col("reference").alias("_r"), F.col("heard").alias("_h")).distinct().withColumn("wer", wer(F.col("_r"), F.col("_h")))
+    return rows.join(pairs, F.col("reference").eqNullSafe(F.col("_r")) & F.col("heard").eqNullSafe(F.col("_h"))).drop("_r", "_h")
 
 
 def error_rates(clips: DataFrame) -> DataFrame:
-    """One row: scored clips, and the means of their word and character error rates, of (reference, heard); 0 for none."""
-    rates = clips.select(wer(F.col("reference"), F.col("heard")).alias("w"), cer(F.col("reference"), F.col("heard")).alias("c"))
-    return rates.agg(F.count("*").alias("clips"), *(half_up(F.coalesce(F.avg(x), F.lit(0.0)), 4).alias(n) for x, n in (("w", "wer"), ("c", "cer"))))
+    """One row: scored clips, and the means of their word and character error rates, of (reference, heard); 0 for none.
+
+    Equal pairs are compared once, for as many clips as they are.
+    """
+    pairs = clips.groupBy("reference", "heard").agg(F.count("*").alias("n"))
+    rates = pairs.select("n", wer(F.col("reference"), F.col("heard")).alias("w"), cer(F.col("reference"), F.col("heard")).alias("c"))
+    mean = lambda x: F.try_divide(F.sum(F.col(x) * F.col("n")), F.sum(F.when(F.col(x).isNotNull(), F.col("n"))))
+    return rates.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("clips"), *(half_up(F.coalesce(mean(x), F.lit(0.0)), 4).alias(n) for x, n in (("w", "wer"), ("c", "cer"))))
 
 
 # The fields of an observation that are scored, by column and by name.

@@ -215,7 +215,8 @@ def _wer(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = F.concat_ws(" ", F.slice(F.split("p_name", " "), 2, 99))
     k = F.col("p_partkey") % 4
     heard = F.when(k == 0, F.col("p_name")).when(k == 1, F.concat("p_name", F.lit(" zz"))).when(k == 2, rest).otherwise(F.concat(F.lit("yy "), rest, F.lit(" zz")))
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.round(evaluation.wer(F.col("p_name"), heard), 9).alias("wer"))
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_name").alias("reference"), heard.alias("heard"))
+    return evaluation.with_wer(rows).select("p_partkey", F.round("wer", 9).alias("wer"))
 
 
 @register("o5_alias_queue", bridge.ctes("observations") + "select company_id, sku_id as surface, count(*) as occurrences, max(recorded_at) as last_seen from observations where sku_id is not null group by 1, 2 order by occurrences desc, last_seen desc, company_id, surface limit 50")

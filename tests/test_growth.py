@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sightline.operators import matching
+from sightline.operators import evaluation, matching
 from sightline.sources import imports
 
 
@@ -39,3 +39,11 @@ def test_crowded_keys_are_cut_over_tasks(spark):
     want = left.join(right, ["k"])
     assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, want.collect())) and dealt.count() == 1230
     assert max(r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()) < 600
+
+
+def test_equal_pairs_of_texts_are_compared_once(spark):
+    rows = spark.createDataFrame([("a b", "a b"), ("a b", "a c"), ("a b", "a c"), ("", "x"), (None, None), ("a", None)], "reference string, heard string")
+    assert sorted(r.wer for r in evaluation.with_wer(rows).collect()) == [0.0, 0.0, 0.5, 0.5, 1.0, 1.0]
+    assert evaluation.error_rates(rows).first().wer == 0.5 and evaluation.error_rates(rows).first().clips == 6
+    plan = evaluation.error_rates(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct") == 1  # what the words are is worked out once, not for each of them
