@@ -101,6 +101,9 @@ def _end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("clip_id", "place", *(o[c].alias(c) for c in ("type", "outlet_id", "sku_id", "competitor_brand", "quantity", "unit", "price_delta")))
 
 
+#: Made-up clips that one task has.
+CLIPS_A_TASK = 100_000
+
 CANDIDATE = "struct<outlet_id:string,name:string,distance_m:double,name_score:double,score:double>"
 
 
@@ -110,7 +113,9 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _annotated_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A clip and an observation for each event: one word spans all, margins and scores are arithmetic on event_id."""
-    rows = _events(spark, sf_dir).selectExpr(
+    keys = _events(spark, sf_dir).select("event_id")
+    # keys are dealt by number, for what is made of them is wide, and partitions that Spark sizes by their compressed bytes are then too large
+    rows = keys.repartition(1 + keys.count() // CLIPS_A_TASK, "event_id").selectExpr(
         "event_id as clip_id",
         "array(named_struct('w', 'x', 's', 0, 'e', 10, 'conf', cast(event_id % 101 as double) / 100)) as words",
         f"""named_struct('s', if(event_id % 4 = 0, null, 0), 'e', if(event_id % 4 = 0, null, 10), 'raw', 'x', 'candidates',
