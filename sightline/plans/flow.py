@@ -99,6 +99,10 @@ def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("clip_id", "status", F.col("fault.message").alias("error"), "n_products", "n_quantities", "n_outlets", F.size("observations").alias("n_observations"), flags.alias("n_flags"), F.to_json(F.get("observations", F.lit(0))["observation"]).alias("first"))
 
 
+#: Parts of which one task makes clips.
+PARTS_A_TASK = 10_000
+
+
 def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotations made of each part: two products, a rival, two outlets and two quantities at most, by arithmetic on its key."""
     k = F.col("p_partkey")
@@ -112,7 +116,9 @@ def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
     amount = lambda v, unit: F.struct(F.lit(0).alias("s"), F.lit(1).alias("e"), v.cast("double").alias("value"), unit.cast("string").alias("unit"), F.lit("").alias("basis"), F.lit(0.9).alias("confidence"))
     amounts = F.array_compact(F.array(amount(k % 9 + 0.5, F.lit("kg")), F.when(k % 4 > 0, amount(k % 9 + 0.5, F.lit("litre"))), F.when(k % 4 > 1, amount(k % 13, F.lit(None)))))
     words = F.array(F.struct(F.lit("x").alias("w"), F.lit(0).alias("s"), F.length("p_name").alias("e"), F.lit(0.9).alias("conf")))
-    return _read(spark, sf_dir, "part").select(k.alias("clip_id"), F.col("p_name").alias("text"), words.alias("words"), outlet.alias("outlet"), F.when(k % 3 == 0, F.array(own, rival)).otherwise(F.array(own)).alias("skus"), amounts.alias("quantities"), "p_partkey")
+    parts = _read(spark, sf_dir, "part")
+    parts = parts.repartition(1 + parts.count() // PARTS_A_TASK, "p_partkey")  # a small file is one task, and much is made of its rows
+    return parts.select(k.alias("clip_id"), F.col("p_name").alias("text"), words.alias("words"), outlet.alias("outlet"), F.when(k % 3 == 0, F.array(own, rival)).otherwise(F.array(own)).alias("skus"), amounts.alias("quantities"), "p_partkey")
 
 
 @register("c2_outlet_questions", """select p_partkey as clip_id, case when p_partkey % 5 = 2 then 'Shop ' || p_partkey % 100 || ' নাকি Shop ' || (p_partkey % 100 + 1) || '?' else 'কোন দোকান?' end as question,
