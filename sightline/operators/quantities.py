@@ -90,8 +90,8 @@ def quantities(docs: DataFrame) -> DataFrame:
 
     Null texts and texts without a number have none. Of rows that share a doc_id each counts by itself.
     """
-    docs = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    found = docs.select("doc_id", "row", F.posexplode(tokens("text")).alias("place", "t")).select("doc_id", "row", "place", "t.s", "t.e", F.col("t.text").alias("token"))
+    texts = written(docs.select("text").filter("text is not null").distinct().withColumn("row", F.monotonically_increasing_id()))  # equal texts have equal quantities
+    found = texts.select("row", F.posexplode(tokens("text")).alias("place", "t")).select("row", "place", "t.s", "t.e", F.col("t.text").alias("token"))
     runs = _runs(found.join(classify(found), "token", "left"), "row")
 
     # each prefix belongs to the next cardinal: the last one since the cardinal before
@@ -111,7 +111,7 @@ def quantities(docs: DataFrame) -> DataFrame:
     told = F.when(multiplies, F.concat(F.lit("× "), shown(F.col("number")), F.lit(" ("), F.col("word"), F.lit(")"))).when(F.col("prefix").isNotNull(), added).otherwise(plain)
     runs = runs.withColumns({"opens": opens, "base": base, "told": told})
     part = F.when(F.col("kind") != "prefix", F.struct("place", "opens", F.col("base").alias("number"), "told"))
-    gathered = runs.groupBy("doc_id", "row", "run").agg(
+    gathered = runs.groupBy("row", "run").agg(
         F.min("s").alias("s"),
         F.max("e").alias("e"),
         F.min("confidence").alias("confidence"),
@@ -127,4 +127,5 @@ def quantities(docs: DataFrame) -> DataFrame:
     basis = F.concat_ws(" ", F.transform("parts", lambda x: x["told"]), F.when(has_unit, F.col("after.unit")))
     confidence = F.when(has_unit, F.least("confidence", "after.confidence")).otherwise(F.col("confidence"))
     end = F.when(has_unit, F.col("after.e")).otherwise(F.col("e"))
-    return gathered.select("doc_id", "s", end.alias("e"), half_up(value, 6).alias("value"), unit.alias("unit"), basis.alias("basis"), half_up(confidence, 4).alias("confidence"))
+    stated = gathered.select("row", "s", end.alias("e"), half_up(value, 6).alias("value"), unit.alias("unit"), basis.alias("basis"), half_up(confidence, 4).alias("confidence"))
+    return docs.select("doc_id", "text").join(texts.join(stated, "row").drop("row"), "text").drop("text")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sightline.operators import evaluation, matching
+from sightline.operators import evaluation, matching, resolve
 from sightline.sources import imports
 
 
@@ -47,3 +47,11 @@ def test_equal_pairs_of_texts_are_compared_once(spark):
     assert evaluation.error_rates(rows).first().wer == 0.5 and evaluation.error_rates(rows).first().clips == 6
     plan = evaluation.error_rates(rows)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_distinct") == 1  # what the words are is worked out once, not for each of them
+
+
+def test_rows_of_a_class_get_what_was_found_for_it(spark):
+    rows = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, "a", ["x"]), (4, None, None)], "clip_id long, text string, brands array<string>")
+    classes = resolve.classed(rows.filter("text is not null"), "text", "brands")
+    assert classes.count() == 2
+    found = resolve.of_class(rows, classes, classes.select("clip_id", F.size("brands").alias("n")), "text", "brands")
+    assert {r.clip_id: r.n for r in found.collect()} == {1: -1, 2: -1, 3: 1, 4: None} or {r.clip_id: r.n for r in found.collect()} == {1: None, 2: None, 3: 1, 4: None}
