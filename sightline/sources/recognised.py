@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import heapq
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,18 +56,27 @@ def first_holding(times: list[float], starts: list[float], ends: list[float]) ->
     return out
 
 
+def _lists(of_rows: list[list], values: pa.Array) -> pa.ListArray:
+    """Flat values as lists, one a row, as long as the rows' own."""
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, of_rows)]), pa.int32()), values)
+
+
 def _spans(text: Column, words: Column) -> Column:
-    def spans(texts: pd.Series, words: pd.Series) -> pd.Series:
-        return pd.Series([[{"s": s, "e": e} for s, e in word_spans(t, list(w))] for t, w in zip(texts, words, strict=True)], dtype=object)
+    def spans(texts: pa.Array, words: pa.Array) -> pa.Array:
+        # two numbers a word: an object a word would be some hundred times the batch
+        found = [np.array(word_spans(t.as_py(), w.as_py()), np.int32).reshape(-1, 2) for t, w in zip(texts, words, strict=True)]
+        flat = np.concatenate([np.empty((0, 2), np.int32), *found])
+        return _lists(found, pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, k])) for k in (0, 1)], ["s", "e"]))
 
-    return F.pandas_udf(spans, "array<struct<s:int,e:int>>")(text, words)
+    return F.arrow_udf(spans, "array<struct<s:int,e:int>>")(text, words)
 
 
 def _segments_of(times: Column, starts: Column, ends: Column) -> Column:
-    def found(times: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-        return pd.Series([first_holding(list(t), list(a), list(b)) for t, a, b in zip(times, starts, ends, strict=True)], dtype=object)
+    def found(times: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+        of = [np.array(first_holding(t.as_py(), a.as_py(), b.as_py()), np.int32) for t, a, b in zip(times, starts, ends, strict=True)]
+        return _lists(of, pa.array(np.concatenate([np.empty(0, np.int32), *of])))
 
-    return F.pandas_udf(found, "array<int>")(times, starts, ends)
+    return F.arrow_udf(found, "array<int>")(times, starts, ends)
 
 
 def _empty(kind: str) -> Column:
