@@ -24,22 +24,25 @@ def tokens(text: ColumnLike) -> Column:
     empty = F.lit(None).cast("struct<at:int,found:array<struct<text:string,s:int,e:int>>>")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,s:int,e:int>>").alias("found"))
 
+    def trimmed(piece: Column) -> Column:
+        edged = piece.rlike(f"^[{EDGE}]|[{EDGE}]$")  # most are not, and need no more
+        lead = F.when(edged, F.length(F.regexp_extract(piece, f"^([{EDGE}]*)", 1))).otherwise(0)
+        core = F.when(piece.rlike(r"^\s"), "").when(edged, F.regexp_replace(F.regexp_replace(piece, f"^[{EDGE}]+", ""), f"[{EDGE}]+$", "")).otherwise(piece)
+        return F.struct(F.length(piece).alias("size"), lead.alias("lead"), core.alias("core"))
+
     def add(state: Column, piece: Column) -> Column:
-        lead = F.length(F.regexp_extract(piece, f"^([{EDGE}]*)", 1))
-        core = F.regexp_replace(F.regexp_replace(piece, f"^[{EDGE}]+", ""), f"[{EDGE}]+$", "")
-        begin = (state["at"] + lead).cast("int")
-        token = F.struct(core.alias("text"), begin.alias("s"), (begin + F.length(core)).cast("int").alias("e"))
-        keep = (core != "") & ~piece.rlike(r"^\s")
-        return F.struct((state["at"] + F.length(piece)).cast("int").alias("at"), F.when(keep, F.array_append(state["found"], token)).otherwise(state["found"]).alias("found"))
+        begin = (state["at"] + piece["lead"]).cast("int")
+        token = F.struct(piece["core"].alias("text"), begin.alias("s"), (begin + F.length(piece["core"])).cast("int").alias("e"))
+        return F.struct((state["at"] + piece["size"]).cast("int").alias("at"), F.when(piece["core"] != "", F.array_append(state["found"], token)).otherwise(state["found"]).alias("found"))
 
-    return F.coalesce(F.aggregate(pieces, start, add), empty)["found"]
+    return F.coalesce(F.aggregate(F.transform(pieces, trimmed), start, add), empty)["found"]
 
 
 def latin_key(word: ColumnLike) -> Column:
     """Phonetic key of a word in Latin script: groups, single letters, letters and digits only, runs collapsed."""
     s = F.lower(F.trim(F.regexp_replace(col(word), "[​-‍﻿]", "")))
     for pattern, sound in LATIN_GROUPS:
-        s = F.regexp_replace(s, pattern, sound)
+        s = F.replace(s, F.lit(pattern), F.lit(sound)) if pattern.isalpha() else F.regexp_replace(s, pattern, sound)  # letters alone need no pattern, which costs more
     s = F.regexp_replace(F.translate(s, LATIN_FROM, LATIN_TO), "x", "ks")
     return F.regexp_replace(F.regexp_replace(s, "[^a-z0-9]", ""), "(.)\\1+", "$1")
 
@@ -55,10 +58,10 @@ def ratio(a: ColumnLike, b: ColumnLike) -> Column:
     return F.when(longest == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.levenshtein(a, b) / longest))
 
 
-def key_similarity(a: ColumnLike, b: ColumnLike) -> Column:
-    """Lenient similarity of two phonetic keys: the better of keys and 0.95 times skeletons; 0 if one is empty."""
+def key_similarity(a: ColumnLike, b: ColumnLike, bones_a: Column | None = None, bones_b: Column | None = None) -> Column:
+    """Lenient similarity of two phonetic keys: the better of keys and 0.95 times skeletons, which may be given; 0 if one is empty."""
     a, b = col(a), col(b)
-    bones_a, bones_b = skeleton(a), skeleton(b)
+    bones_a, bones_b = (skeleton(k) if bones is None else bones for k, bones in ((a, bones_a), (b, bones_b)))
     full = ratio(a, b)
     bones = F.when((bones_a == "") | (bones_b == ""), full).otherwise(F.greatest(full, 0.95 * ratio(bones_a, bones_b)))
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(bones)

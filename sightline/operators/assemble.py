@@ -120,7 +120,8 @@ def with_confidences(rows: DataFrame, model_only: float = 0.9, saturates_at: flo
     rows = rows.withColumns({"_own": mention(o["sku_id"]), "_rival": mention(o["competitor_brand"]), "_amount": stated(o["quantity"]), "_price": stated(o["price_delta"]), "_shop": span(F.col("outlet"))})
     chosen = lambda m, value: F.get(F.filter(F.col(m)["candidates"], lambda c: c["sku_id"] == value), F.lit(0))
     rows = rows.withColumns({"_own_pick": chosen("_own", o["sku_id"]), "_rival_pick": chosen("_rival", o["competitor_brand"])})
-    rows = rows.withColumns({f"{m}_heard": overlap_confidence(F.col("words"), F.col(m)["s"], F.col(m)["e"]) for m in ("_own", "_rival", "_amount", "_price", "_shop")})
+    heard = lambda m: F.when(F.col(m)["s"].isNotNull(), overlap_confidence(F.col("words"), F.col(m)["s"], F.col(m)["e"]))
+    rows = rows.withColumns({f"{m}_heard": heard(m) for m in ("_own", "_rival", "_amount", "_price", "_shop")})
 
     def product(m: str, value: Column) -> Column:
         asr, pick = F.col(f"{m}_heard"), F.col(f"{m}_pick")

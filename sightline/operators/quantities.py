@@ -16,7 +16,7 @@ from ..functions import bangla_values as values
 from ..functions.bangla import normal_word, phonetic_key, western_digits
 from ..functions.compat import half_up
 from ..functions.text import tokens
-from ..sources.scratch import written
+from ..sources.scratch import spread, written
 from .resolve import similar_keys
 
 FUZZY_THRESHOLD, VARIANT_CONFIDENCE, FUZZY_CONFIDENCE = 0.85, 0.95, 0.9
@@ -66,17 +66,17 @@ def shown(x: Column) -> Column:
 
 
 def _runs(named: DataFrame, key: str) -> DataFrame:
-    """The tokens of each run of number words, with ``run`` and, at the last, ``after``: the unit that follows.
+    """The tokens of each run of number words, with ``run`` and, at the last, ``after``: the unit that follows. ``named`` are number words and units alone.
 
     A run is a stretch of number words from its first number or prefix on. A prefix that no number
     follows spoils what stands before it, so such a stretch counts only from behind it.
     """
     text = Window.partitionBy(key).orderBy("place")
     is_number = F.col("kind").isin("cardinal", "fraction", "prefix", "scale", "count")
-    gaps = F.sum(F.when(is_number, 0).otherwise(1)).over(text)
-    following = F.struct("kind", "unit", "e", "confidence")
-    rows = named.select("*", F.coalesce(is_number, F.lit(False)).alias("is_number"), F.coalesce(gaps, F.lit(0)).alias("run"), F.lead(following).over(text).alias("after"))
-    rows = rows.filter("is_number")
+    gaps = F.col("place") + 1 - F.sum(F.when(is_number, 1).otherwise(0)).over(text)  # tokens so far that are no number words
+    following = F.lead(F.struct("place", "kind", "unit", "e", "confidence")).over(text)
+    rows = named.select("*", is_number.alias("is_number"), gaps.alias("run"), following.alias("next"))
+    rows = rows.withColumn("after", F.when(F.col("next.place") == F.col("place") + 1, F.col("next"))).drop("next").filter("is_number")
     stretch = Window.partitionBy(key, "run")
     where = lambda *kinds: F.max(F.when(F.col("kind").isin(*kinds), F.col("place"))).over(stretch)
     spoilt = F.coalesce(where("prefix") > F.coalesce(where("cardinal"), F.lit(-1)), F.lit(False))
@@ -91,8 +91,9 @@ def quantities(docs: DataFrame) -> DataFrame:
     Null texts and texts without a number have none. Of rows that share a doc_id each counts by itself.
     """
     texts = written(docs.select("text").filter("text is not null").distinct().withColumn("row", F.monotonically_increasing_id()))  # equal texts have equal quantities
-    found = texts.select("row", F.posexplode(tokens("text")).alias("place", "t")).select("row", "place", "t.s", "t.e", F.col("t.text").alias("token"))
-    runs = _runs(found.join(classify(found), "token", "left"), "row")
+    found = spread(texts, "text", "row").select("row", F.posexplode(tokens("text")).alias("place", "t")).select("row", "place", "t.s", "t.e", F.col("t.text").alias("token"))
+    found = written(found)
+    runs = _runs(found.join(classify(found), "token"), "row")
 
     # each prefix belongs to the next cardinal: the last one since the cardinal before
     in_run = Window.partitionBy("row", "run").orderBy("place")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Folders that ``written`` has made, by application and what they are made for, and no ``clear`` has removed.
 _left: dict[tuple[str, str], list[str]] = {}
@@ -49,6 +50,15 @@ def written(df: DataFrame, kept: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Characters of texts that one task has.
+CHARACTERS_A_TASK = 250_000
+
+
+def spread(table: DataFrame, text: str, key: str) -> DataFrame:
+    """A stored table dealt by ``key`` over as many tasks as its texts need: a small file is one task, and much is made of its texts."""
+    return table.repartition(1 + (table.agg(F.sum(F.length(text))).first()[0] or 0) // CHARACTERS_A_TASK, key)
+
+
 def clear(spark: SparkSession, purpose: str = "") -> int:
     """Remove the intermediate tables made so far for a purpose; results that come from them must have been written or collected. How many there were."""
     paths = _left.pop((spark.sparkContext.applicationId, purpose), [])

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from sightline.functions import text
 from sightline.operators import evaluation, matching, resolve
-from sightline.sources import imports
+from sightline.sources import imports, scratch
 
 
 def test_rows_of_a_file_are_numbered_by_place_not_by_key(spark):
@@ -55,3 +56,36 @@ def test_rows_of_a_class_get_what_was_found_for_it(spark):
     assert classes.count() == 2
     found = resolve.of_class(rows, classes, classes.select("clip_id", F.size("brands").alias("n")), "text", "brands")
     assert {r.clip_id: r.n for r in found.collect()} == {1: -1, 2: -1, 3: 1, 4: None} or {r.clip_id: r.n for r in found.collect()} == {1: None, 2: None, 3: 1, 4: None}
+
+
+def test_windows_too_long_for_any_name_are_left_out(spark):
+    """Those that stay are all that are like a name."""
+    said = spark.createDataFrame([(1, "c", [(w,) for w in ("surf", "eksel", "", "international", "wat", "plus", "a")])], "clip_id int, company_id string, t array<struct<key:string>>")
+    names = spark.createDataFrame([("surpeksel",), ("luks",)], "key string")
+    got = {(r.at, r.n): r.key for r in resolve.joined_windows(said, 4, names, 0.85).collect()}
+    assert got[0, 2] == got[0, 3] == "surpeksel" and (4, 2) in got and not any(at <= 3 < at + n for at, n in got)
+    near = resolve.similar_keys(spark.createDataFrame([(k,) for k in got.values()], "key string"), names, 0.85)
+    assert [(r.left, r.right) for r in near.collect()] == [("surpeksel", "surpeksel")]
+
+
+def test_best_run_is_the_best_of_all_runs(spark):
+    """Against all runs of up to three tokens: the first and shortest of the best, or none below the floor."""
+    texts = ["", "x", "bijoy store", "the store of bijoy", "new alam store enterprise bijoy store", "store store", "rahman the new stor alam", "qq bijoi"]
+    names = ["Bijoy Store", "Rahman Store", "New Alam Enterprise", "", None]
+    folds = resolve.folded
+    token = lambda w: F.struct(F.nullif(folds(w), F.lit("")).alias("fold"), text.skeleton(F.nullif(folds(w), F.lit(""))).alias("bones"))
+    rows = spark.createDataFrame([(t, n) for t in texts for n in names], "t string, name string").select("t", "name", F.transform(F.filter(F.split("t", " "), lambda w: w != ""), token).alias("folds"), resolve.name_parts(F.col("name")).alias("parts"))
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    runs = rows.select("t", "name", "parts", "folds", F.posexplode("folds").alias("at", "_")).withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(3), F.size("folds") - F.col("at")))))
+    score = resolve.run_score(F.col("parts"), resolve.part_likeness(F.col("parts"), F.slice("folds", F.col("at") + 1, F.col("n"))))
+    every = runs.select("t", "name", score.alias("score"), (-F.col("at")).alias("a"), (-F.col("n")).alias("b")).filter("score >= 0.6").collect()
+    want = {(t, n): max(((r.score, r.a, r.b) for r in every if (r.t, r.name) == (t, n)), default=None) for t in texts for n in names}
+    got = {(r.t, r.name): r.x and tuple(r.x) for r in rows.select("t", "name", resolve.best_run(F.col("parts"), F.col("folds"), 3, 0.6).alias("x")).collect()}
+    assert got == want and sum(x is not None for x in got.values()) == 7
+
+
+def test_texts_are_dealt_by_their_characters(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "CHARACTERS_A_TASK", 100)
+    table = spark.createDataFrame([(k, "x" * 50) for k in range(20)] + [(99, None)], "clip_id long, text string")
+    assert scratch.spread(table, "text", "clip_id").rdd.getNumPartitions() == 11 and scratch.spread(table, "text", "clip_id").count() == 21
+    assert scratch.spread(table.limit(0), "text", "clip_id").rdd.getNumPartitions() == 1
