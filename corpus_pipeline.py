@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet
 into the shared folder and rereads it as the next stage's docs. A stage first removes the intermediate
-tables of the one before it, whose result must have been written by then.
+tables of the one before it, whose result must have been written by then. Stages hold the session's Arrow batches
+to BATCH_BYTES: at Spark's 64 MB both sides of each Python task hold all texts of a partition at once.
 """
 
 from __future__ import annotations
@@ -18,6 +19,16 @@ from sightline.llm.store import clear, made_for, materialize, row_key
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Lower the session's limit of an Arrow batch to BATCH_BYTES; one that is lower stays. It holds when the stage's result is written, so it is left set."""
+    limit = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if limit > BATCH_BYTES:
+        spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+
 
 def _after(before: str | None) -> Callable[[Stage], Stage]:
     """A stage that begins by removing what the one before it left."""
@@ -25,6 +36,7 @@ def _after(before: str | None) -> Callable[[Stage], Stage]:
     def wrap(stage: Stage) -> Stage:
         @wraps(stage)
         def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            _small_batches(spark)
             if before:
                 clear(spark, before)
             with made_for(stage.__name__):

@@ -29,8 +29,9 @@ from .store import materialize
 from .textkit import slices
 
 LEXICON_WORDS = 1 << 15
+#: These two set what a task holds besides its batch.
 MEMO_WORDS = 200_000
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 NO_RANK = np.int64(1) << 40
 #: Bytes from which a word is merged by itself.
 LONG_WORD = 1 << 10

@@ -4,6 +4,8 @@ import hashlib
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -94,3 +96,20 @@ def test_a_stage_removes_what_the_one_before_left(spark):
     before = left()
     cut = materialize(corpus_pipeline.cut_repeats(spark, single, SF), kept=True)
     assert before and not before & left() and cut.count() == single.count() == 3
+
+
+def test_batches_of_texts_are_small(spark):
+    """A stage's Python tasks get a few MB of texts at once, however many rows a partition has; a lower limit of the session stays."""
+    seen = lambda batches: (pa.RecordBatch.from_pydict({"bytes": [b.nbytes], "rows": [b.num_rows]}) for b in batches)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    long = spark.range(3000).select(F.repeat(F.lit("word "), 1000).alias("text")).repartition(1)
+    corpus_pipeline.STAGES[0][1](spark, docs, SF)
+    try:
+        got = long.mapInArrow(seen, "bytes long, rows long").collect()
+        assert sum(r.rows for r in got) == 3000
+        assert max(r.bytes for r in got) < corpus_pipeline.BATCH_BYTES + (1 << 20)
+        spark.conf.set(corpus_pipeline.BATCH_LIMIT, "20k")
+        corpus_pipeline.STAGES[0][1](spark, docs, SF)
+        assert spark.conf.get(corpus_pipeline.BATCH_LIMIT) == "20k"
+    finally:
+        spark.conf.unset(corpus_pipeline.BATCH_LIMIT)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sightline.llm import fingerprints, lexicon, token_files
+from sightline.llm import fingerprints, lexicon, pretokens, textkit, token_files
 
 from .test_core import SCHEMA, corpus, frame, odd_rows
 
@@ -155,3 +156,15 @@ def test_a_file_that_is_not_the_lexicon_is_not_trusted(tmp_path, monkeypatch):
     name = tmp_path / f"lexicon-{hashlib.sha256(block).hexdigest()[:24]}.bin"
     name.write_bytes(block[:-1])
     assert lexicon.mapped(block).find([b"ab", b"abc", b"x"]).tolist() == [0, 1, -1] and name.read_bytes() == block
+
+
+def test_splitting_takes_little_memory(spark):
+    """What a counting or encoding task holds while it splits does not grow with its texts."""
+    words = [f"w{k % 977}x" for k in range(400_000)]
+    column = pa.array([" ".join(words[k : k + 400]) for k in range(0, len(words), 400)])
+    tracemalloc.start()
+    for part in textkit.slices(column, lexicon.SLICE_BYTES):
+        pretokens.split(part, clip=True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
