@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import bangla_values as values
 from .compat import ColumnLike, col
-from .text import latin_key
+from .text import latin_key, latin_keys
 
 VIRAMA, NUKTA = "্", "়"
 #: Letters with a nukta, in two code points or one, and their sounds.
@@ -43,6 +43,12 @@ def phonetic_key(word: ColumnLike) -> Column:
     return F.when(col(word).rlike("[ঀ-৿]"), bangla_key(word)).otherwise(latin_key(word))
 
 
+def phonetic_lines(lines: ColumnLike) -> Column:
+    """The ``phonetic_key`` of each of many words, one a line and without white space; where none is Bengali they are worked out together."""
+    each = F.array_join(F.transform(F.split(col(lines), "\n"), phonetic_key), "\n")
+    return F.when(col(lines).rlike("[ঀ-৿]"), each).otherwise(latin_keys(lines))
+
+
 def normal_word(word: ColumnLike) -> Column:
     """The form that number words are looked up by: no invisible signs, trimmed, lower case, nukta apart."""
     s = F.lower(F.trim(F.regexp_replace(col(word), INVISIBLE, "")))

@@ -40,11 +40,30 @@ def tokens(text: ColumnLike) -> Column:
 
 def latin_key(word: ColumnLike) -> Column:
     """Phonetic key of a word in Latin script: groups, single letters, letters and digits only, runs collapsed."""
-    s = F.lower(F.trim(F.regexp_replace(col(word), "[​-‍﻿]", "")))
+    return _sounds(F.trim(F.regexp_replace(col(word), "[​-‍﻿]", "")))
+
+
+def latin_keys(lines: ColumnLike) -> Column:
+    """The ``latin_key`` of each of many words, one a line and without white space, worked out together: that costs less than one by one."""
+    return _sounds(F.regexp_replace(col(lines), "[​-‍﻿]", ""), start="(?<![^\n])", end="(?![^\n])", kept="\n")
+
+
+def folded_keys(lines: ColumnLike) -> Column:
+    """The ``latin_key`` of each of many phonetic keys, one a line: most have no letter but those that such keys are made of, and take fewer steps."""
+    s = col(lines)
+    for pattern, sound in LATIN_GROUPS:
+        if not set(pattern) & set(LATIN_FROM):
+            s = F.replace(s, F.lit(pattern), F.lit(sound)) if pattern.isalpha() else F.regexp_replace(s, pattern.replace("$", "(?![^\n])"), sound)
+    return F.when(col(lines).rlike(f"[{LATIN_FROM}x]"), latin_keys(lines)).otherwise(F.regexp_replace(s, "(.)\\1+", "$1"))
+
+
+def _sounds(s: Column, start: str = "^", end: str = "$", kept: str = "") -> Column:
+    """Keys of the words of a string: patterns of where one starts and ends, and the character kept between them."""
+    s = F.lower(s)
     for pattern, sound in LATIN_GROUPS:
-        s = F.replace(s, F.lit(pattern), F.lit(sound)) if pattern.isalpha() else F.regexp_replace(s, pattern, sound)  # letters alone need no pattern, which costs more
+        s = F.replace(s, F.lit(pattern), F.lit(sound)) if pattern.isalpha() else F.regexp_replace(s, pattern.replace("^", start).replace("$", end), sound)  # letters alone need no pattern, which costs more
     s = F.regexp_replace(F.translate(s, LATIN_FROM, LATIN_TO), "x", "ks")
-    return F.regexp_replace(F.regexp_replace(s, "[^a-z0-9]", ""), "(.)\\1+", "$1")
+    return F.regexp_replace(F.regexp_replace(s, f"[^a-z0-9{kept}]", ""), "(.)\\1+", "$1")
 
 
 def skeleton(key: ColumnLike) -> Column:

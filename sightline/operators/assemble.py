@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.compat import clamp01, half_up, trimmed
+from ..functions.text import transcript_words
 from .matching import overlap_confidence
 
 QUANTITY_EPSILON = 1e-6
@@ -111,7 +112,8 @@ def margin_factor(margin: Column, saturates_at: float = 0.3, floor: float = 0.55
 def with_confidences(rows: DataFrame, model_only: float = 0.9, saturates_at: float = 0.3, floor: float = 0.55) -> DataFrame:
     """Rows of (observation, words, outlet, skus, quantities) with ``sure``: each field's confidence, not yet rounded, null for null fields.
 
-    What several fields need is a column of its own, so that it is worked out once.
+    What several fields need is a column of its own, so that it is worked out once. Where ``words`` are null, rows have a ``text`` whose words are
+    equally sure, and those of a mention alone are looked at.
     """
     o, factor = F.col("observation"), lambda m: margin_factor(m, saturates_at, floor)
     mention = lambda value: F.get(F.filter("skus", lambda a: F.exists(a["candidates"], lambda c: c["sku_id"] == value)), F.lit(0))
@@ -120,7 +122,13 @@ def with_confidences(rows: DataFrame, model_only: float = 0.9, saturates_at: flo
     rows = rows.withColumns({"_own": mention(o["sku_id"]), "_rival": mention(o["competitor_brand"]), "_amount": stated(o["quantity"]), "_price": stated(o["price_delta"]), "_shop": span(F.col("outlet"))})
     chosen = lambda m, value: F.get(F.filter(F.col(m)["candidates"], lambda c: c["sku_id"] == value), F.lit(0))
     rows = rows.withColumns({"_own_pick": chosen("_own", o["sku_id"]), "_rival_pick": chosen("_rival", o["competitor_brand"])})
-    heard = lambda m: F.when(F.col(m)["s"].isNotNull(), overlap_confidence(F.col("words"), F.col(m)["s"], F.col(m)["e"]))
+
+
+    def overlap(s: Column, e: Column) -> Column:
+        whole = overlap_confidence(F.col("words"), s, e)
+        return F.when(F.col("words").isNotNull(), whole).otherwise(overlap_confidence(transcript_words(F.col("text").substr(s + 1, e - s)), F.lit(0), e - s)) if "text" in rows.columns else whole
+
+    heard = lambda m: F.when(F.col(m)["s"].isNotNull(), overlap(F.col(m)["s"], F.col(m)["e"]))
     rows = rows.withColumns({f"{m}_heard": heard(m) for m in ("_own", "_rival", "_amount", "_price", "_shop")})
 
     def product(m: str, value: Column) -> Column:

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.compat import is_blank
 from ..functions.text import transcript_words
+from ..sources.scratch import written
 from .assemble import annotated, flagged, locked_numbers, said, valid_observation
+from .heard import with_rows
 from .quantities import quantities
 from .replies import with_replies
 from .resolve import resolve_outlets, resolve_products
@@ -24,9 +26,10 @@ def _fault(stage: str, message: Column) -> Column:
     return F.struct(F.lit(stage).alias("stage"), message.alias("message"), F.lit(True).alias("retryable"))
 
 
-def transcribed(clips: DataFrame) -> DataFrame:
-    """Clips with ``fault``: a transcript that is missing or blank, which another attempt may mend; ``words`` of equal confidence where a clip has none."""
-    rows = clips if "words" in clips.columns else clips.withColumn("words", transcript_words("text"))
+def transcribed(clips: DataFrame, spelt: bool = True) -> DataFrame:
+    """Clips with ``fault``: a transcript that is missing or blank, which another attempt may mend; ``words`` of equal confidence where a clip has none, null unless they are to be ``spelt``."""
+    words = transcript_words("text")
+    rows = clips if "words" in clips.columns else clips.withColumn("words", words if spelt else F.when(F.lit(False), words))
     message = F.when(F.col("text").isNull(), "there is no transcript").when(is_blank("text"), "the transcript is blank")
     return rows.select(*CLIP, F.when(message.isNotNull(), _fault(STAGES[0], message)).alias("fault"))
 
@@ -39,9 +42,10 @@ def extract(clips: DataFrame, skus: DataFrame, aliases: DataFrame, outlets: Data
     field_confidence, flagged_fields, status, rejected). With ``replies`` a model's recorded replies say what was observed, else
     rules do. ``seen`` gets how many clips there were and how many failed, as the rows are made; clip_id must be unique.
     """
-    heard = transcribed(clips)
-    good = heard.filter("fault is null").drop("fault")
-    known = annotated(good, resolve_outlets(good, outlets), resolve_products(good, skus, aliases), quantities(good.select(F.col("clip_id").alias("doc_id"), "text")))
+    heard = transcribed(clips, spelt=False)
+    good, texts = with_rows(heard.filter("fault is null").drop("fault"))
+    good = written(good)
+    known = annotated(good.drop("row"), resolve_outlets(good, outlets, heard=texts), resolve_products(good, skus, aliases, heard=texts), quantities(good.select(F.col("clip_id").alias("doc_id"), "row"), texts))
     if replies is None:
         rows = known.withColumns({"entries": said(F.col("outlet"), F.col("skus"), F.col("quantities"), F.col("text")), "error": F.lit(None).cast("string")})
     else:

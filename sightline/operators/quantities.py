@@ -15,8 +15,8 @@ from pyspark.sql.window import Window
 from ..functions import bangla_values as values
 from ..functions.bangla import normal_word, phonetic_key, western_digits
 from ..functions.compat import half_up
-from ..functions.text import tokens
-from ..sources.scratch import spread, written
+from ..sources.scratch import written
+from .heard import each, few, pieces, span, with_rows
 from .resolve import similar_keys
 
 FUZZY_THRESHOLD, VARIANT_CONFIDENCE, FUZZY_CONFIDENCE = 0.85, 0.95, 0.9
@@ -85,15 +85,15 @@ def _runs(named: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("first", first).filter("place >= first")
 
 
-def quantities(docs: DataFrame) -> DataFrame:
-    """doc_id and [s, e), value, unit, basis, confidence of each quantity in (doc_id, text).
+def quantities(docs: DataFrame, heard: DataFrame | None = None) -> DataFrame:
+    """doc_id and [s, e), value, unit, basis, confidence of each quantity in (doc_id, text), whose texts may have been ``heard``.
 
     Null texts and texts without a number have none. Of rows that share a doc_id each counts by itself.
     """
-    texts = written(docs.select("text").filter("text is not null").distinct().withColumn("row", F.monotonically_increasing_id()))  # equal texts have equal quantities
-    found = spread(texts, "text", "row").select("row", F.posexplode(tokens("text")).alias("place", "t")).select("row", "place", "t.s", "t.e", F.col("t.text").alias("token"))
-    found = written(found)
-    runs = _runs(found.join(classify(found), "token"), "row")
+    docs, heard = with_rows(docs, heard)  # equal texts have equal quantities
+    found = heard.select("row", F.posexplode(each("tokens")).alias("place", "token")).filter("token <> ''")
+    named = found.join(few(written(classify(found))), "token").withColumns({"s": F.col("place"), "e": F.col("place")})  # places for now
+    runs = _runs(named, "row")
 
     # each prefix belongs to the next cardinal: the last one since the cardinal before
     in_run = Window.partitionBy("row", "run").orderBy("place")
@@ -129,4 +129,8 @@ def quantities(docs: DataFrame) -> DataFrame:
     confidence = F.when(has_unit, F.least("confidence", "after.confidence")).otherwise(F.col("confidence"))
     end = F.when(has_unit, F.col("after.e")).otherwise(F.col("e"))
     stated = gathered.select("row", "s", end.alias("e"), half_up(value, 6).alias("value"), unit.alias("unit"), basis.alias("basis"), half_up(confidence, 4).alias("confidence"))
-    return docs.select("doc_id", "text").join(texts.join(stated, "row").drop("row"), "text").drop("text")
+    stated = stated.groupBy("row").agg(F.collect_list(F.struct(*stated.columns[1:])).alias("x"))
+    stated = stated.join(heard.select("row", "text"), "row").withColumn("pieces", pieces("text"))
+    placed = F.transform("x", lambda x: F.struct(x.alias("x"), span(F.col("pieces"), x["s"], x["e"]).alias("span")))
+    stated = stated.select("row", F.inline(F.transform(placed, lambda y: y["x"].withField("s", y["span"]["s"]).withField("e", y["span"]["e"]))))
+    return docs.select("doc_id", "row").join(stated, "row").drop("row")

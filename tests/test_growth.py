@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from sightline.functions import text
-from sightline.operators import evaluation, matching, resolve
+from sightline.functions import bangla, text
+from sightline.operators import evaluation, heard, matching, resolve
+from sightline.plans import capture
 from sightline.sources import imports, scratch
 
 
@@ -89,3 +90,54 @@ def test_texts_are_dealt_by_their_characters(spark, monkeypatch):
     table = spark.createDataFrame([(k, "x" * 50) for k in range(20)] + [(99, None)], "clip_id long, text string")
     assert scratch.spread(table, "text", "clip_id").rdd.getNumPartitions() == 11 and scratch.spread(table, "text", "clip_id").count() == 21
     assert scratch.spread(table.limit(0), "text", "clip_id").rdd.getNumPartitions() == 1
+
+
+ODD = ["", " ", "a", "  বিজয় স্টোরে, (Mango Juice) 250ml.", "what whe e ee the\nthht\ttht — «x» !! 日本 O'Neil's", "wheelপ্রাণ fcqv Ōsaka éclair\u200bphone -wh- -", "x" * 50 + " . , y"]
+
+
+def test_texts_are_heard_once(spark):
+    """Tokens, keys, folds and spans are those of each token alone, and a text that is said twice has one row."""
+    clips = spark.createDataFrame([(k, t) for k, t in enumerate([*ODD, ODD[3], None])], "clip_id int, text string")
+    rows, table = heard.with_rows(clips)
+    assert table.count() == len(ODD) and rows.filter("row is null").count() == 1 and rows.select("row").distinct().count() == len(ODD) + 1
+    found = table.withColumns({"w": F.transform(text.tokens("text"), lambda t: t["text"]), "p": heard.pieces("text")})
+    one = lambda key: F.array_join(F.transform("w", key), "\n")
+    assert found.filter(~(F.col("tokens").eqNullSafe(F.array_join("w", "\n")) & F.col("keys").eqNullSafe(one(bangla.phonetic_key)) & F.col("folds").eqNullSafe(one(resolve.folded)))).count() == 0
+    spans = F.flatten(F.transform("p", lambda _, i: F.transform(F.sequence(i, F.size("p") - 1), lambda j: F.struct(i.alias("i"), j.alias("j"), heard.span(F.col("p"), i, j).alias("x")))))
+    for r in found.select("text", text.tokens("text").alias("t"), F.when(F.size("p") > 0, spans).alias("spans")).collect():
+        for x in r.spans or []:
+            s, e = r.t[x.i].s, r.t[x.j].e
+            assert (x.x.s, x.x.e, x.x.raw) == (s, e, r.text[s:e])
+
+
+def test_windows_unlike_any_name_are_left_out(spark):
+    """Of all runs of tokens those like a name stay, and few others do; the letters that folding changes count as well."""
+    said = ["sur", "pek", "sel", "p", "ra", "an", "lu", "x", "sun", "", "silk", "srp", "eksl", "uit", "t", "plus", "b", "ab", "a", "mekanikal", "enterpis", "wit", "eplus", "national", "thing", "shun", "sil"]
+    table = spark.createDataFrame([(1, "c", [(w,) for w in said])], "clip_id int, company_id string, t array<struct<key:string>>")
+    runs = [(i, n) for n in (2, 3, 4) for i in range(len(said) - n + 1) if sum(w != "" for w in said[i : i + n]) > 1]
+    every = spark.createDataFrame([(i, n, "".join(said[i : i + n])) for i, n in runs], "at int, n int, whole string").withColumn("key", text.latin_key("whole"))
+    for some, hits, most in ((["pran", "surpeksel", "luks", "sunsilk", "huiteplus", "baba"], 10, len(runs) / 2), (["mekanikalenterpris"], 2, len(runs))):
+        names = spark.createDataFrame([(n,) for n in some], "key string")
+        got = {(r.at, r.n): r.key for r in resolve.joined_windows(table, 4, names, 0.85).collect()}
+        best = every.crossJoin(names.withColumnRenamed("key", "name")).groupBy("at", "n", "key").agg(F.max(text.key_similarity("key", "name")).alias("likeness")).collect()
+        like = {(r["at"], r.n): r.key for r in best if r.likeness >= 0.85}
+        assert like.items() <= got.items() and len(like) == hits and len(got) < most
+    assert resolve.sounds_like_some([f"nam{k}ofabrandthatislong" for k in range(resolve.WAYS + 1)], 0.85, 4) is None
+
+
+def test_few_keys_are_met_by_all(spark, monkeypatch):
+    """The same pairs as by segments."""
+    left, right = (spark.createDataFrame([(k,) for k in keys], "key string") for keys in (["pran", "prn", "paran", "luks", "lks", "", "kolgat", "kolgats", "a", "e", "rin", "ren", "n"], ["pran", "luks", "kolgat", "rin", "a", ""]))
+    pairs = lambda floor, bones: sorted((r.left, r.right, r.likeness) for r in resolve.similar_keys(left, right, floor, bones).collect())
+    few = [pairs(f, b) for f in (0.6, 0.7, 0.85) for b in (True, False)]
+    monkeypatch.setattr(resolve, "FEW_KEYS", 0)
+    assert few == [pairs(f, b) for f in (0.6, 0.7, 0.85) for b in (True, False)] and len(few[0]) > 8
+
+
+def test_outlets_are_looked_for_once_a_place(spark, monkeypatch):
+    met = []
+    within = resolve.within_radius
+    monkeypatch.setattr(resolve, "within_radius", lambda p, o, r: met.append(p.count()) or within(p, o, r))
+    found = resolve.resolve_outlets(capture.clips(spark, ["বিজয় স্টোরে", "রহমান স্টোরে", "", None]), capture.outlets(spark)).collect()
+    assert met == [1] and {r.clip_id: r.outlet.gps_candidates for r in found} == {0: 3, 1: 3, 2: 3, 3: 3}
+    assert {r.clip_id: r.outlet.raw for r in found} == {0: "বিজয় স্টোরে", 1: "রহমান স্টোরে", 2: None, 3: None}
