@@ -45,7 +45,9 @@ def extract(clips: DataFrame, skus: DataFrame, aliases: DataFrame, outlets: Data
     heard = transcribed(clips, spelt=False)
     good, texts = with_rows(heard.filter("fault is null").drop("fault"))
     good = written(good)
-    known = annotated(good.drop("row"), resolve_outlets(good, outlets, heard=texts), resolve_products(good, skus, aliases, heard=texts), quantities(good.select(F.col("clip_id").alias("doc_id"), "row"), texts))
+    # each is written, for one plan of all of them takes the driver much memory, and is planned anew as each of its stages ends
+    found = resolve_outlets(good, outlets, heard=texts), resolve_products(good, skus, aliases, heard=texts), quantities(good.select(F.col("clip_id").alias("doc_id"), "row"), texts)
+    known = annotated(good.drop("row"), *map(written, found))
     if replies is None:
         rows = known.withColumns({"entries": said(F.col("outlet"), F.col("skus"), F.col("quantities"), F.col("text")), "error": F.lit(None).cast("string")})
     else:
